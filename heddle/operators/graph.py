@@ -54,7 +54,9 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
         return down.distinct()
     if direction == "upstream":
         return up.distinct()
-    return down.union(up).distinct()
+    if direction == "both":
+        return down.union(up).distinct()
+    raise ValueError(f"direction {direction!r} is none of downstream, upstream, both")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

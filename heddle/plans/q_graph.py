@@ -155,7 +155,7 @@ FROM ids GROUP BY 1, 2, 3
 """)
 def _(t):
     seeds = t.sql("SELECT model_id, entity_id AS start FROM b_entity WHERE kind = 'object' AND layer_name = 'Gold'")
-    near = g.neighbourhood(seeds, t("b_entity"), t("b_transition"), "up")
+    near = g.neighbourhood(seeds, t("b_entity"), t("b_transition"), "upstream")
     return near.groupBy(M, "start", F.split_part("entity_id", F.lit(":"), F.lit(1)).alias("prefix")).agg(
         F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first_id"), F.max("entity_id").alias("last_id")
     )
