@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.functions.refs import parse_ref, qualify
@@ -143,25 +142,22 @@ def node_refs(block: DataFrame, context: DataFrame, names: DataFrame | None = No
     )
 
 
-def access(block: DataFrame, refs: DataFrame) -> DataFrame:
+def access(refs: DataFrame) -> DataFrame:
     """(execution_id, access, ref) per statement from `node_refs`.
 
     Paths beat the header, the header beats identifiers. A write has one target: its
     smallest path, else its first identifier. What a statement writes it does not also read.
     """
-    node = ["execution_id", "node_no"]
-    best = F.min("rank").over(W.partitionBy(*node))
-    first = refs.withColumn("_best", best).filter("rank = _best").drop("_best")
-    written = (
-        first.filter("kind = 'write'")
-        .groupBy(*node)
-        .agg(F.when(F.min("rank") == PATH_RANK, F.min("ref")).otherwise(F.min_by("ref", "pos")).alias("ref"))
+    node = refs.groupBy("execution_id", "node_no", "kind").agg(
+        F.min("rank").alias("_best"), F.collect_set(F.struct("rank", "pos", "ref")).alias("_all")
     )
-    writes = written.select("execution_id", "ref").distinct()
-    reads = first.filter("kind = 'read'").select("execution_id", "ref").distinct().join(writes, ["execution_id", "ref"], "left_anti")
-    return reads.select("execution_id", F.lit("read").alias("access"), "ref").union(
-        writes.select("execution_id", F.lit("write").alias("access"), "ref")
+    best = F.filter("_all", lambda r: r["rank"] == F.col("_best"))
+    by_place = F.array_min(F.transform(best, lambda r: F.struct(r["pos"], r["ref"])))["ref"]
+    target = F.when(F.col("_best") == PATH_RANK, F.array_min(best["ref"])).otherwise(by_place)
+    used = node.select(
+        "execution_id", "kind", F.explode(F.when(F.col("kind") == "write", F.array(target)).otherwise(best["ref"])).alias("ref")
     )
+    return used.groupBy("execution_id", "ref").agg(F.max("kind").alias("access")).select("execution_id", "access", "ref")
 
 
 def unrecognised(block: DataFrame, refs: DataFrame) -> DataFrame:

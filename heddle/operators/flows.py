@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.functions.refs import ref_parts
-from heddle.session import cut, small
+from heddle.session import cut, running_last, small
 
 FLOW_KEY = ["to_table", "to_column", "from_table", "from_column"]
 
@@ -83,60 +83,59 @@ def _none() -> Column:
     return F.expr(f"cast(array() as {PAIRS})")
 
 
-def _side(op: DataFrame, frame: DataFrame, which: str) -> DataFrame:
-    """Columns of an operation's input under the operation's own frame id."""
-    given = frame.withColumnRenamed("frame_id", which)
-    return op.select("nb_id", "frame_id", which).join(given, ["nb_id", which]).drop(which)
+def feed(op: DataFrame, frame: DataFrame) -> DataFrame:
+    """Columns of each operation's inputs under the operation's own frame id; `_side` 0 is left."""
+    wanted = op.select("nb_id", "frame_id", "op", "args", F.explode(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col("input_frame").alias("_in")),
+        F.struct(F.lit(1).alias("_side"), F.col("input_frame2").alias("_in")),
+    )).alias("_i")).select("nb_id", "frame_id", "op", "args", "_i.*").filter("_in is not null")
+    return wanted.join(frame.withColumnRenamed("frame_id", "_in"), ["nb_id", "_in"]).drop("_in")
 
 
-def join_frames(op: DataFrame, frame: DataFrame) -> DataFrame:
+def join_frames(fed: DataFrame) -> DataFrame:
     """Left columns, then the right's new ones; a shared name carries both sides' sources."""
-    left, right = _side(op, frame, "input_frame"), _side(op, frame, "input_frame2")
-    tagged = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
-    out = tagged.groupBy("nb_id", "frame_id", "column").agg(
+    out = fed.groupBy("nb_id", "frame_id", "column").agg(
         F.min(F.struct("_side", "ordinal")).alias("_o"),
         F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"),
         F.max(F.when(F.col("_side") == 0, F.col("transform"))).alias("transform"),
     )
+    # A window over the columns of one frame: as wide as a table is.
     place = F.row_number().over(W.partitionBy("nb_id", "frame_id").orderBy("_o"))
     return out.withColumn("ordinal", place).select(*FRAME)
 
 
-def _placed(frame: DataFrame) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("nb_id", "frame_id").orderBy("ordinal"))
-    return frame.withColumn("ordinal", place)
-
-
-def union_frames(op: DataFrame, frame: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(frames, abstained): the left's columns with the right's sources, matched by name
-    (unionByName) or by place (union); a union by place of unequal widths abstains."""
-    by_name = op.filter("op = 'unionByName'")
-    by_place = op.filter("op = 'union'")
-    named = _side(by_name, frame, "input_frame")
-    other = _side(by_name, frame, "input_frame2").select("nb_id", "frame_id", "column", F.col("sources").alias("_s"))
-    a = named.join(other, ["nb_id", "frame_id", "column"], "left")
-    left, right = _placed(_side(by_place, frame, "input_frame")), _placed(_side(by_place, frame, "input_frame2"))
-    width = lambda f, n: f.groupBy("nb_id", "frame_id").agg(F.count(F.lit(1)).alias(n))
-    widths = width(left, "_l").join(width(right, "_r"), ["nb_id", "frame_id"], "full")
-    equal = widths.filter("_l = _r").select("nb_id", "frame_id")
-    b = left.join(equal, ["nb_id", "frame_id"], "left_semi").join(
-        right.select("nb_id", "frame_id", "ordinal", F.col("sources").alias("_s")), ["nb_id", "frame_id", "ordinal"], "left"
+def union_frames(fed: DataFrame) -> DataFrame:
+    """The left's columns with the right's sources, matched by name (unionByName) or by
+    place (union); a union by place of unequal widths abstains, i.e. gives no rows."""
+    frame = W.partitionBy("nb_id", "frame_id")
+    rows = fed.select(
+        "*",
+        F.row_number().over(W.partitionBy("nb_id", "frame_id", "_side").orderBy("ordinal")).alias("_place"),
+        F.count_if(F.col("_side") == 0).over(frame).alias("_l"),
+        F.count_if(F.col("_side") == 1).over(frame).alias("_r"),
+    ).filter("op = 'unionByName' or _l = _r")
+    key = F.when(F.col("op") == "unionByName", F.col("column")).otherwise(F.col("_place").cast("string"))
+    left = F.col("_side") == 0
+    return (
+        rows.groupBy("nb_id", "frame_id", key.alias("_key"))
+        .agg(
+            *[F.max(F.when(left, F.col(c))).alias(c) for c in ("ordinal", "column", "transform")],
+            F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"),
+        )
+        .filter("column is not null")
+        .select(*FRAME)
     )
-    both = a.unionByName(b).withColumn("sources", F.array_union("sources", F.coalesce("_s", _none())))
-    return both.select(*FRAME), widths.filter("not (_l <=> _r)").select("nb_id", "frame_id")
 
 
-def project_frames(op: DataFrame, frame: DataFrame) -> DataFrame:
+def project_frames(op: DataFrame, fed: DataFrame) -> DataFrame:
     """select, and groupBy + agg: the named outputs in order, unnamed ones dropped; a name
     given twice keeps its first place and its last meaning."""
-    arg = op.select("nb_id", "frame_id", "input_frame", F.posexplode("args").alias("_pos", "_a")).filter("_a.out is not null")
-    arg = arg.select("nb_id", "frame_id", "input_frame", "_pos", "_a.out", "_a.expr", F.explode_outer("_a.refs").alias("_ref"))
-    fed = arg.join(
-        frame.select("nb_id", F.col("frame_id").alias("input_frame"), F.col("column").alias("_ref"), F.col("sources").alias("_s")),
-        ["nb_id", "input_frame", "_ref"],
-        "left",
+    arg = op.select("nb_id", "frame_id", F.posexplode("args").alias("_pos", "_a")).filter("_a.out is not null")
+    arg = arg.select("nb_id", "frame_id", "_pos", "_a.out", "_a.expr", F.explode_outer("_a.refs").alias("column"))
+    named = arg.join(
+        fed.select("nb_id", "frame_id", "column", F.col("sources").alias("_s")), ["nb_id", "frame_id", "column"], "left"
     )
-    per_arg = fed.groupBy("nb_id", "frame_id", "out", "_pos").agg(
+    per_arg = named.groupBy("nb_id", "frame_id", "out", "_pos").agg(
         F.array_distinct(F.flatten(F.collect_list(F.coalesce("_s", _none())))).alias("sources"), F.max("expr").alias("transform")
     )
     last = F.max(F.struct("_pos", "sources", "transform")).alias("_l")
@@ -144,31 +143,28 @@ def project_frames(op: DataFrame, frame: DataFrame) -> DataFrame:
     return one.select("nb_id", "frame_id", "ordinal", "column", "_l.sources", "_l.transform")
 
 
-def _single_input(op: DataFrame, frame: DataFrame) -> DataFrame:
-    """filter-like operations, withColumn, rename and drop."""
+def single_input_frames(fed: DataFrame) -> DataFrame:
+    """filter-like operations, withColumn, rename and drop; a rename of a column that is not there gives no rows."""
     arg = F.get("args", F.lit(0))
-    slim = op.select(
-        "nb_id", "frame_id", "input_frame", "op", arg["out"].alias("_out"), arg["expr"].alias("_expr"), arg["refs"].alias("_refs")
-    )
-    given = slim.join(frame.withColumnRenamed("frame_id", "input_frame"), ["nb_id", "input_frame"])
-    renamed = (F.col("op") == "rename") & F.array_contains("_refs", F.col("column"))
-    kept = given.filter(
-        ~((F.col("op") == "drop") & F.array_contains("_refs", F.col("column")))
-        & ~((F.col("op") == "withColumn") & (F.col("column") == F.col("_out")))
-    ).withColumn("column", F.when(renamed, F.col("_out")).otherwise(F.col("column")))
+    given = fed.select("*", arg["out"].alias("_out"), arg["expr"].alias("_expr"), arg["refs"].alias("_refs"))
+    named = F.array_contains("_refs", F.col("column"))
+    has = F.max(named).over(W.partitionBy("nb_id", "frame_id"))
+    given = given.withColumn("_has", has).filter("op <> 'rename' or _has")
+    renamed = (F.col("op") == "rename") & named
     mine = F.col("column") == F.col("_out")
+    kept = given.filter(~((F.col("op") == "drop") & named) & ~((F.col("op") == "withColumn") & mine)).withColumn(
+        "column", F.when(renamed, F.col("_out")).otherwise(F.col("column"))
+    )
     added = (
         given.filter("op = 'withColumn'")
-        .groupBy("nb_id", "frame_id", F.col("_out").alias("column"))
+        .groupBy("nb_id", "frame_id", F.col("_out").alias("_name"))
         .agg(
             F.coalesce(F.max(F.when(mine, F.col("ordinal"))), F.max("ordinal") + 1).alias("ordinal"),
-            F.array_distinct(
-                F.flatten(F.collect_list(F.when(F.array_contains("_refs", F.col("column")), F.col("sources"))))
-            ).alias("sources"),
+            F.array_distinct(F.flatten(F.collect_list(F.when(named, F.col("sources"))))).alias("sources"),
             F.coalesce(F.max("_expr"), F.max(F.when(mine, F.col("transform")))).alias("transform"),
         )
     )
-    return kept.select(*FRAME).unionByName(added.select(*FRAME))
+    return kept.select(*FRAME).unionByName(added.withColumnRenamed("_name", "column").select(*FRAME))
 
 
 PASSTHROUGH = "passthrough"
@@ -207,18 +203,18 @@ def frame_provenance(frame_op: DataFrame, table_column: DataFrame) -> tuple[Data
         ready = cut(ready.filter("input_frame2 is null or _second").select(*ops.columns))
         if ready.isEmpty():
             break
-        pool = reduce(DataFrame.unionByName, out)
-        one = ready.filter(F.col("op").isin(PASSTHROUGH, "withColumn", "rename", "drop"))
-        missing = one.filter("op = 'rename'").select(
-            "nb_id", "frame_id", F.col("input_frame"), F.get(F.get("args", F.lit(0))["refs"], F.lit(0)).alias("column")
-        ).join(pool.select("nb_id", F.col("frame_id").alias("input_frame"), "column"), ["nb_id", "input_frame", "column"], "left_anti")
-        one = one.join(missing.select("nb_id", "frame_id"), ["nb_id", "frame_id"], "left_anti")
-        parts = [
-            _single_input(one, pool),
-            project_frames(ready.filter("op in ('select', 'groupAgg')"), pool),
-            join_frames(ready.filter("op = 'join'"), pool),
-            union_frames(ready, pool)[0],
-        ]
+        fed = cut(feed(ready, reduce(DataFrame.unionByName, out)))
+        present = {r[0] for r in ready.select("op").distinct().collect()}  # at most the nine known verbs
+        parts = []
+        if present & {PASSTHROUGH, "withColumn", "rename", "drop"}:
+            parts.append(single_input_frames(fed.filter(F.col("op").isin(PASSTHROUGH, "withColumn", "rename", "drop"))))
+        if present & {"select", "groupAgg"}:
+            chosen = F.col("op").isin("select", "groupAgg")
+            parts.append(project_frames(ready.filter(chosen), fed.filter(chosen)))
+        if "join" in present:
+            parts.append(join_frames(fed.filter("op = 'join'")))
+        if present & {"union", "unionByName"}:
+            parts.append(union_frames(fed.filter("op in ('union', 'unionByName')")))
         made = cut(reduce(DataFrame.unionByName, [p.select(*FRAME) for p in parts]))
         out.append(made)
         known = cut(known.union(made.select("nb_id", "frame_id").distinct()))
@@ -355,8 +351,7 @@ def carry_schemas(requested: DataFrame, seen: DataFrame, live: DataFrame) -> Dat
     events = gap.filter("_live is null").select("sequence_id", "ref", "step", F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_from")).unionByName(
         earlier.select("sequence_id", "ref", F.col("_from").alias("step"), F.lit(2).alias("_kind"), F.col("_from").cast("int").alias("_from"))
     )
-    before = W.partitionBy("sequence_id", "ref").orderBy("step", "_kind").rowsBetween(W.unboundedPreceding, -1)
-    carried = events.withColumn("from_step", F.last("_from", ignorenulls=True).over(before)).filter("_kind = 1")
+    carried = running_last(events, ["sequence_id", "ref"], ["step", "_kind"], "_from", "from_step").filter("_kind = 1")
     filled = carried.select(
         "sequence_id", "step", "ref", F.when(F.col("from_step").isNotNull(), "carried").otherwise("unresolved").alias("status"), "from_step"
     )

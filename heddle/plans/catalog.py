@@ -1,4 +1,4 @@
 """All registered queries. Importing a module registers what it declares."""
 
-from . import bind_model, bind_text, q_flows, q_graph, q_text  # noqa: F401
+from . import bind_model, bind_text, q_flows, q_graph, q_runs, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -15,6 +15,23 @@ FROM b_line CROSS JOIN (VALUES (1), (2), (3), (4)) AS v(i)
 """)
 
 
+def _arg(out, expr, *refs):
+    """One argument of a frame operation, as a Spark SQL literal."""
+    text = lambda x: "cast(NULL AS string)" if x is None else f"'{x}'"
+    listed = ", ".join(f"'{r}'" for r in refs)
+    return f"named_struct('out', {text(out)}, 'expr', {text(expr)}, 'refs', cast(array({listed}) AS array<string>))"
+
+
+def _args(*items):
+    return "cast(array(" + ", ".join(items) + ") AS array<struct<out: string, expr: string, refs: array<string>>>)"
+
+
+def _inline(names, *rows):
+    """Rows of a Spark SQL ``inline`` with the given column names."""
+    made = [", ".join(f"'{n}', {v}" for n, v in zip(names, row)) for row in rows]
+    return "inline(array(" + ", ".join(f"named_struct({m})" for m in made) + "))"
+
+
 def _views(t):
     rows = t("b_view_flow")
     view = rows.select("nb_id", "view_key", (~F.col("broken")).alias("resolved"))
@@ -54,24 +71,22 @@ SELECT o_orderkey AS nb_id, concat('W/L/c_', cast(c_custkey AS string)) AS t1, c
 FROM orders JOIN customer ON o_custkey = c_custkey
 """)
 
-FRAME_OPS = """
-SELECT nb_id, v.frame_id, v.op, v.a AS input_frame, v.b AS input_frame2, v.args FROM (
-  SELECT nb_id, inline(array(
-    struct('f1' AS frame_id, 'read' AS op, t1 AS a, cast(null AS string) AS b, no AS args),
-    struct('f2', 'read', t2, null, no),
-    struct('f3', 'join', 'f1', 'f2', no),
-    struct('f4', 'withColumn', 'f3', null, array(struct('total' AS out, 'qty * price' AS expr, array('qty', 'price') AS refs))),
-    struct('f5', 'rename', 'f4', null, array(struct('label' AS out, null AS expr, array('name') AS refs))),
-    struct('f6', 'drop', 'f5', null, array(struct(null AS out, null AS expr, array('price') AS refs))),
-    struct('f7', CASE WHEN pr = '1' THEN 'explode' ELSE 'passthrough' END, 'f6', null, no),
-    struct('f8', 'select', 'f7', null, array(struct('id' AS out, null AS expr, array('id') AS refs), struct('twice', 'total * 2', array('total')),
-       struct(null, 'upper(label)', array('label')), struct('one', '1', no_refs))),
-    struct('f9', CASE pr WHEN '2' THEN 'groupAgg' WHEN '3' THEN 'union' ELSE 'unionByName' END, 'f8', CASE WHEN pr > '2' THEN CASE pr WHEN '3' THEN 'f2' ELSE 'f6' END END,
-       CASE WHEN pr = '2' THEN array(struct('id' AS out, null AS expr, array('id') AS refs), struct('s', 'sum(twice)', array('twice')), struct(null, 'max(one)', array('one'))) ELSE no END),
-    struct('f10', 'rename', 'f9', null, array(struct('x' AS out, null AS expr, array('nope') AS refs)))
-  )) AS (frame_id, op, a, b, args)
-  FROM (SELECT *, cast(array() AS array<struct<out: string, expr: string, refs: array<string>>>) AS no, cast(array() AS array<string>) AS no_refs FROM b_frame_seed)) v
-"""
+NONE, NO = "cast(NULL AS string)", _args()
+FRAME_OPS = "SELECT nb_id, " + _inline(
+    ("frame_id", "op", "input_frame", "input_frame2", "args"),
+    ("'f1'", "'read'", "t1", NONE, NO),
+    ("'f2'", "'read'", "t2", NONE, NO),
+    ("'f3'", "'join'", "'f1'", "'f2'", NO),
+    ("'f4'", "'withColumn'", "'f3'", NONE, _args(_arg("total", "qty * price", "qty", "price"))),
+    ("'f5'", "'rename'", "'f4'", NONE, _args(_arg("label", None, "name"))),
+    ("'f6'", "'drop'", "'f5'", NONE, _args(_arg(None, None, "price"))),
+    ("'f7'", "CASE WHEN pr = '1' THEN 'explode' ELSE 'passthrough' END", "'f6'", NONE, NO),
+    ("'f8'", "'select'", "'f7'", NONE, _args(_arg("id", None, "id"), _arg("twice", "total * 2", "total"), _arg(None, "upper(label)", "label"), _arg("one", "1"))),
+    ("'f9'", "CASE pr WHEN '2' THEN 'groupAgg' WHEN '3' THEN 'union' ELSE 'unionByName' END", "'f8'",
+     "CASE pr WHEN '2' THEN NULL WHEN '3' THEN 'f2' ELSE 'f6' END",
+     f"CASE WHEN pr = '2' THEN {_args(_arg('id', None, 'id'), _arg('s', 'sum(twice)', 'twice'), _arg(None, 'max(one)', 'one'))} ELSE {NO} END"),
+    ("'f10'", "'rename'", "'f9'", NONE, _args(_arg("x", None, "nope"))),
+) + " FROM b_frame_seed"
 
 FRAMES_EXPECTED = """
 WITH s AS (SELECT * FROM b_frame_seed),
@@ -114,7 +129,7 @@ def _frame(t, sql):
 
 TWO_FRAMES = """SELECT DISTINCT l_orderkey AS nb_id, 'a' AS frame_id, l_linenumber AS ordinal, concat('c', l_linenumber) AS column, 'A' AS src_ref, concat('a', l_linenumber) AS src_col FROM lineitem
 UNION ALL SELECT DISTINCT l_orderkey, 'b', 8 - l_linenumber, concat('c', l_linenumber + 2), 'B', concat('b', l_linenumber) FROM lineitem"""
-OP = "SELECT DISTINCT l_orderkey AS nb_id, 'out' AS frame_id, '{}' AS op, 'a' AS input_frame, 'b' AS input_frame2 FROM lineitem"
+OP = "SELECT DISTINCT l_orderkey AS nb_id, 'out' AS frame_id, '{}' AS op, 'a' AS input_frame, 'b' AS input_frame2, cast(NULL AS array<struct<out: string>>) AS args FROM lineitem"
 
 
 @query("flow_join_provenance", """
@@ -126,7 +141,7 @@ r AS (SELECT nb_id, col, cast(row_number() OVER (PARTITION BY nb_id ORDER BY o)
 SELECT c.nb_id, 'out' AS frame_id, r.ordinal, c.col AS "column", src_ref, src_col, cast(NULL AS varchar) AS transform FROM c JOIN r ON c.nb_id = r.nb_id AND c.col = r.col
 """)
 def _(t):
-    return flows.frame_flows(flows.join_frames(t.sql(OP.format("join")), _frame(t, TWO_FRAMES)))
+    return flows.frame_flows(flows.join_frames(flows.feed(t.sql(OP.format("join")), _frame(t, TWO_FRAMES))))
 
 
 @query("flow_union_provenance", """
@@ -142,7 +157,7 @@ def _(t):
     frame = _frame(t, TWO_FRAMES)
     out = []
     for how in ("unionByName", "union"):
-        made, _ = flows.union_frames(t.sql(OP.format(how)), frame)
+        made = flows.union_frames(flows.feed(t.sql(OP.format(how)), frame))
         out.append(flows.frame_flows(made).select("nb_id", "column", "src_ref", "src_col", F.lit(how).alias("how")))
     return out[0].union(out[1])
 
@@ -155,9 +170,9 @@ UNION ALL SELECT a.nb_id, 2, 'total', CASE WHEN x.n IS NULL THEN NULL ELSE 'A' E
 FROM (SELECT DISTINCT nb_id FROM l) a LEFT JOIN l x ON a.nb_id = x.nb_id AND x.n IN (2, 3)
 """.replace("concat('a', x.n)", "CASE WHEN x.n IS NULL THEN NULL ELSE concat('a', x.n) END"))
 def _(t):
-    op = t.sql("""SELECT DISTINCT l_orderkey AS nb_id, 'out' AS frame_id, 'a' AS input_frame, array(
-        struct('c1' AS out, cast(null AS string) AS expr, array('c1') AS refs), struct(null, 'count(1)', array('c2')), struct('total', 'sum(c2 + c3)', array('c2', 'c3'))) AS args FROM lineitem""")
-    return flows.frame_flows(flows.project_frames(op, _frame(t, TWO_FRAMES))).drop("frame_id")
+    args = _args(_arg("c1", None, "c1"), _arg(None, "count(1)", "c2"), _arg("total", "sum(c2 + c3)", "c2", "c3"))
+    op = t.sql(f"SELECT *, {args} AS args FROM (SELECT DISTINCT l_orderkey AS nb_id, 'out' AS frame_id, 'groupAgg' AS op, 'a' AS input_frame, cast(NULL AS string) AS input_frame2 FROM lineitem)")
+    return flows.frame_flows(flows.project_frames(op, flows.feed(op, _frame(t, TWO_FRAMES)))).drop("frame_id")
 
 
 STATEMENTS = "SELECT o_orderkey AS stmt_id, concat('T_', o_custkey) AS target_ref, concat('S_', o_orderpriority) AS source_ref FROM orders"
@@ -179,8 +194,8 @@ SELECT DISTINCT ok AS stmt_id, 'T' AS to_table, concat('c', ln) AS to_column, CA
 def _(t):
     rows = t.sql("""SELECT ok AS stmt_id, ln AS ordinal, 'T' AS target_ref, CASE WHEN ln = 6 THEN '' ELSE concat('c', ln) END AS to_column, 'upper(t.x)' AS expr, ln <> 3 AS is_column,
         array(struct(CASE ln WHEN 2 THEN 's' WHEN 3 THEN 't' WHEN 4 THEN 'who' END AS alias, concat('x', pk) AS column)) AS refs, 1 AS n_columns, 1 AS n_values FROM b_line
-        UNION ALL SELECT ok, ln, 'T', 'bad', 'y', true, array(struct('s', 'y')), 2, 1 FROM b_line""")
-    alias = t.sql("SELECT o_orderkey AS stmt_id, inline(array(struct('s' AS alias, 'S' AS ref), struct('t', 'T'))) FROM orders")
+        UNION ALL SELECT ok, ln, 'T', 'bad', 'y', true, array(struct('s' AS alias, 'y' AS column)), 2, 1 FROM b_line""")
+    alias = t.sql("SELECT o_orderkey AS stmt_id, " + _inline(("alias", "ref"), ("'s'", "'S'"), ("'t'", "'T'")) + " FROM orders")
     return flows.merge_assignments(rows, alias)
 
 
@@ -227,10 +242,13 @@ SELECT lid AS plan_id, v.to_column, v.from_table, v.from_column, v.transform FRO
   ('a', concat('T_', pk), 'a', NULL, true), ('b', concat('S_', sk), 'y', concat('y * ', ln), true), ('b', NULL, 'q', concat('y * ', ln), true), ('c', concat('S_', sk), 'c', NULL, ln > 3)
  ) AS v(to_column, from_table, from_column, transform, ok) WHERE v.ok""")
 def _(t):
-    out = t.sql("SELECT lid AS plan_id, inline(array(struct('a' AS column, 1 AS attr_id), struct('b', 5), struct('c', CASE WHEN ln > 3 THEN 9 ELSE 3 END), struct('d', 99))) FROM b_line")
-    expr = t.sql("""SELECT lid AS plan_id, inline(array(struct('b' AS column, concat('y * ', ln) AS expr, array(struct(2 AS attr_id, 'y' AS name), struct(77, 'q')) AS refs),
-        struct('c', 'c', CASE WHEN ln > 3 THEN array(struct(3 AS attr_id, 'c' AS name)) ELSE cast(array() AS array<struct<attr_id: int, name: string>>) END))) FROM b_line""")
-    owner = t.sql("""SELECT lid AS plan_id, inline(array(struct(1 AS attr_id, concat('T_', pk) AS ref), struct(2, concat('S_', sk)), struct(CASE WHEN ln > 3 THEN 3 ELSE 33 END, concat('S_', sk)))) FROM b_line""")
+    out = t.sql("SELECT lid AS plan_id, " + _inline(
+        ("column", "attr_id"), ("'a'", "1"), ("'b'", "5"), ("'c'", "CASE WHEN ln > 3 THEN 9 ELSE 3 END"), ("'d'", "99")) + " FROM b_line")
+    expr = t.sql("""SELECT lid AS plan_id, 'b' AS column, concat('y * ', ln) AS expr,
+            array(named_struct('attr_id', 2, 'name', 'y'), named_struct('attr_id', 77, 'name', 'q')) AS refs FROM b_line
+        UNION ALL SELECT lid, 'c', 'c', CASE WHEN ln > 3 THEN array(named_struct('attr_id', 3, 'name', 'c')) ELSE cast(array() AS array<struct<attr_id: int, name: string>>) END FROM b_line""")
+    owner = t.sql("SELECT lid AS plan_id, " + _inline(
+        ("attr_id", "ref"), ("1", "concat('T_', pk)"), ("2", "concat('S_', sk)"), ("CASE WHEN ln > 3 THEN 3 ELSE 33 END", "concat('S_', sk)")) + " FROM b_line")
     return flows.attribute_flows(out, expr, owner)
 
 

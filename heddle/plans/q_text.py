@@ -298,7 +298,7 @@ PLAN_ACCESS = """SELECT lid AS execution_id, v.access, v.ref FROM b_line, LATERA
 
 @query("plan_access", PLAN_ACCESS)
 def _(t):
-    return plantext.access(*_refs(t))
+    return plantext.access(_refs(t)[1])
 
 
 @query("plan_unrecognised", "SELECT lid AS execution_id, 'BatchScan' AS node_name FROM b_line WHERE ln = 3")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when the optimizer's size estimate is below this.
@@ -57,6 +58,31 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def _sliced(df: DataFrame, group: list[str], order: list) -> DataFrame:
+    """`df` range-partitioned over (group, order), with the number of the slice."""
+    spread = df.repartitionByRange(*[F.col(c) for c in group], *order)
+    return cut(spread.withColumn("_slice", F.spark_partition_id()))
+
+
+def running_last(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """The last non-null `value` before each row of its group, in `order` (column names,
+    ascending), for groups of any size: a local answer per slice, else the earlier slices'."""
+    sliced = _sliced(df, group, [F.col(c) for c in order])
+    ends = sliced.filter(F.col(value).isNotNull()).groupBy(*group, "_slice").agg(
+        F.max_by(value, F.struct(*order)).alias("_end")
+    )
+    every = sliced.select(*group, "_slice").distinct().join(ends, [*group, "_slice"], "left")
+    earlier = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = every.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    inside = W.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        sliced.withColumn("_here", F.last(value, ignorenulls=True).over(inside))
+        .join(carried, [*group, "_slice"])
+        .withColumn(out, F.coalesce("_here", "_carried"))
+        .drop("_here", "_carried", "_slice")
+    )
+
+
 def running_position(df: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
     """1-based position of each row inside its group, in `order`.
 
@@ -65,13 +91,7 @@ def running_position(df: DataFrame, group: list[str], order: list, out: str) ->
     tasks; positions are local positions plus the sizes of the earlier slices.
     The slices are materialised first, because both passes must see the same cut.
     """
-    from pyspark.sql import Window as W
-
-    sliced = cut(
-        df.repartitionByRange(*[F.col(c) for c in group], *order).withColumn(
-            "_slice", F.spark_partition_id()
-        )
-    )
+    sliced = _sliced(df, group, order)
     sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
