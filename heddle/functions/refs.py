@@ -87,45 +87,45 @@ def clean_raw(raw: Column | str) -> Column:
     return F.regexp_replace(out, r"/+$", "")
 
 
-def qualified_parts(raw: Column | str, workspace: Column | str, lakehouse: Column | str) -> Column:
-    """struct(workspace, lakehouse, table, by_path) before GUIDs are named; `by_path` marks
-    the storage-path form, the only one whose parts go through the name map."""
-    text = clean_raw(raw)
-    ws, lh = F.coalesce(_c(workspace), F.lit("")), F.coalesce(_c(lakehouse), F.lit(""))
-    by_path = F.rlike(text, F.lit(ABFSS))
-    container = F.regexp_extract(text, ABFSS, 1)
-    segs = _segments(F.regexp_extract(text, ABFSS, 2))
-    generic = F.lower(container) == GENERIC_CONTAINER
+def _with_parts(df: DataFrame, raw: str | Column, workspace: str | Column, lakehouse: str | Column) -> DataFrame:
+    """Add `_q`, struct(workspace, lakehouse, table, by_path), before GUIDs are named; `by_path` marks the
+    storage-path form, the only one whose parts go through the name map. Built in steps, each a
+    column of its own, so that no pattern is matched more than once per row."""
+    rows = df.withColumn("_text", clean_raw(raw))
+    rows = rows.withColumn("_container", F.regexp_extract("_text", ABFSS, 1))
+    by_path, generic = F.col("_container") != "", F.lower("_container") == GENERIC_CONTAINER
+    rows = rows.withColumn("_segs", _segments(F.when(by_path, F.regexp_extract("_text", ABFSS, 2)).otherwise(F.col("_text"))))
     skip = F.when(generic, 1).otherwise(0)
-    at = lambda i: F.coalesce(F.get(segs, skip + i), F.lit(""))
-    tail = F.slice(segs, (skip + 2).cast("int"), F.greatest(F.size(segs), F.lit(1)))
-    dots = F.filter(F.split(text, r"\."), lambda s: s != "")
-    n = F.size(dots)
+    rows = rows.withColumn(
+        "_tail", F.when(by_path, F.slice("_segs", skip + 2, F.greatest(F.size("_segs"), F.lit(1)))).otherwise(F.col("_segs"))
+    )
+    rows = rows.withColumn("_leaf", F.when(F.contains("_text", F.lit("/")), path_leaf(F.col("_tail"))))
+    rows = rows.withColumn("_dots", F.filter(F.split("_text", r"\."), lambda s: s != ""))
+    n, nothing = F.size("_dots"), F.lit("")
+    ws, lh = F.coalesce(_c(workspace), nothing), F.coalesce(_c(lakehouse), nothing)
     strip = lambda c: F.regexp_replace(c, KIND_SUFFIX, "")
-    last = lambda i: F.try_element_at(dots, F.lit(i))
+    last = lambda i: F.try_element_at("_dots", F.lit(i))
+    segment = lambda i: F.coalesce(F.get("_segs", i), nothing)
 
     def row(w: Column, l: Column, t: Column, p: bool) -> Column:
         return F.struct(w.alias("workspace"), l.alias("lakehouse"), t.alias("table"), F.lit(p).alias("by_path"))
 
-    nothing = F.lit("")
-    return (
-        F.when(text == "", row(nothing, nothing, nothing, False))
-        .when(
-            by_path,
-            row(F.when(generic, F.coalesce(F.get(segs, F.lit(0)), nothing)).otherwise(container), strip(at(0)), path_leaf(tail), True),
-        )
-        .when(F.contains(text, F.lit("/")), row(ws, lh, path_leaf(_segments(text)), False))
+    parts = (
+        F.when(F.col("_text") == "", row(nothing, nothing, nothing, False))
+        .when(by_path, row(F.when(generic, segment(F.lit(0))).otherwise(F.col("_container")), strip(segment(skip)), F.col("_leaf"), True))
+        .when(F.col("_leaf").isNotNull(), row(ws, lh, F.col("_leaf"), False))
         .when(n >= 3, row(last(-3), strip(last(-2)), last(-1), False))
         .when(n == 2, row(ws, strip(last(-2)), last(-1), False))
-        .otherwise(row(ws, lh, text, False))
+        .otherwise(row(ws, lh, F.col("_text"), False))
     )
+    return rows.withColumn("_q", parts).drop("_text", "_container", "_segs", "_tail", "_leaf", "_dots")
 
 
 def qualify(
     df: DataFrame, raw: str, workspace: str | Column, lakehouse: str | Column, names: DataFrame | None = None, out: str = "ref"
 ) -> DataFrame:
     """Add the canonical ref of a raw reference. `names` is (guid, name), guid in lower case and unique."""
-    rows = df.withColumn("_q", qualified_parts(raw, workspace, lakehouse))
+    rows = _with_parts(df, raw, workspace, lakehouse)
     parts = {p: F.col(f"_q.{p}") for p in ("table", "lakehouse", "workspace")}
     if names is not None:
         lookup = small(names.select(F.col("guid").alias("_g"), F.col("name").alias("_name")))

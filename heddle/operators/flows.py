@@ -188,38 +188,43 @@ def frame_provenance(frame_op: DataFrame, table_column: DataFrame) -> tuple[Data
         F.lit(None).cast("string").alias("transform"),
     )
     frames = cut(ops.filter("op = 'read'").select("nb_id", "frame_id", "input_frame").join(columns, "input_frame").select(*FRAME))
-    known = frames.select("nb_id", "frame_id").distinct()
     # A key without a name would need a generated one; such a grouping is unknown.
     broken = (~F.col("op").isin(*KNOWN_OPS)) | (
         (F.col("op") == "groupAgg") & F.exists("args", lambda a: a["out"].isNull() & (a["expr"] == "key"))
     )
-    rest = ops.filter("op <> 'read'")
-    todo = cut(rest.filter(~broken))
+    sound = ops.filter("op <> 'read'").filter(~broken)
+    present = {r[0] for r in sound.select("op").distinct().collect()}  # at most the nine known verbs
+    single, chosen = F.col("op").isin(PASSTHROUGH, "withColumn", "rename", "drop"), F.col("op").isin("select", "groupAgg")
     out = [frames]
-    while not todo.isEmpty():
-        here = known.withColumnRenamed("frame_id", "input_frame")
+    while True:
+        pool = reduce(DataFrame.unionByName, out)
+        known = pool.select("nb_id", "frame_id").distinct()
+        ready = sound.join(known, ["nb_id", "frame_id"], "left_anti").join(
+            known.withColumnRenamed("frame_id", "input_frame"), ["nb_id", "input_frame"], "left_semi"
+        )
         second = known.select("nb_id", F.col("frame_id").alias("input_frame2"), F.lit(True).alias("_second"))
-        ready = todo.join(here, ["nb_id", "input_frame"], "left_semi").join(second, ["nb_id", "input_frame2"], "left")
-        ready = cut(ready.filter("input_frame2 is null or _second").select(*ops.columns))
-        if ready.isEmpty():
-            break
-        fed = cut(feed(ready, reduce(DataFrame.unionByName, out)))
-        present = {r[0] for r in ready.select("op").distinct().collect()}  # at most the nine known verbs
+        ready = ready.join(second, ["nb_id", "input_frame2"], "left").filter("input_frame2 is null or _second")
+        fed = cut(feed(ready, pool))
         parts = []
         if present & {PASSTHROUGH, "withColumn", "rename", "drop"}:
-            parts.append(single_input_frames(fed.filter(F.col("op").isin(PASSTHROUGH, "withColumn", "rename", "drop"))))
+            parts.append(single_input_frames(fed.filter(single)))
         if present & {"select", "groupAgg"}:
-            chosen = F.col("op").isin("select", "groupAgg")
-            parts.append(project_frames(ready.filter(chosen), fed.filter(chosen)))
+            mine = sound.filter(chosen).join(fed.select("nb_id", "frame_id").distinct(), ["nb_id", "frame_id"], "left_semi")
+            parts.append(project_frames(mine, fed.filter(chosen)))
         if "join" in present:
             parts.append(join_frames(fed.filter("op = 'join'")))
         if present & {"union", "unionByName"}:
             parts.append(union_frames(fed.filter("op in ('union', 'unionByName')")))
+        if not parts:
+            break
         made = cut(reduce(DataFrame.unionByName, [p.select(*FRAME) for p in parts]))
+        if made.isEmpty():
+            break
         out.append(made)
-        known = cut(known.union(made.select("nb_id", "frame_id").distinct()))
-        todo = cut(todo.join(ready.select("nb_id", "frame_id"), ["nb_id", "frame_id"], "left_anti"))
+        if len(out) > 8:
+            out = [cut(reduce(DataFrame.unionByName, out))]
     frames = reduce(DataFrame.unionByName, out)
+    known = frames.select("nb_id", "frame_id").distinct()
     unknown = ops.select("nb_id", "frame_id").join(known, ["nb_id", "frame_id"], "left_anti")
     return frames, unknown
 
