@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.refs import parse_ref, qualify
+from heddle.functions.refs import qualify
 
 # Plan node names and the text around them.
 WRITE_NODES = (
@@ -135,10 +135,8 @@ def node_refs(block: DataFrame, context: DataFrame, names: DataFrame | None = No
         ranked(identifier_candidates(F.col("body")), IDENTIFIER_RANK),
     )
     rows = used.select("execution_id", "node_no", "node_name", "kind", F.inline(every)).join(context, "execution_id", "left")
-    return (
-        qualify(rows, "raw", "workspace", "lakehouse", names)
-        .filter(parse_ref("ref")["table"] != "")
-        .select("execution_id", "node_no", "node_name", "kind", "rank", "pos", "ref")
+    return qualify(rows, "raw", "workspace", "lakehouse", names, placed=True).select(
+        "execution_id", "node_no", "node_name", "kind", "rank", "pos", "ref"
     )
 
 
@@ -183,7 +181,7 @@ def access_simple(execution: DataFrame, context: DataFrame, names: DataFrame | N
         .select("execution_id", "line_no", "kind", F.explode(path_candidates(F.col("line"))).alias("raw"))
         .join(context, "execution_id", "left")
     )
-    made = qualify(rows, "raw", "workspace", "lakehouse", names).filter(parse_ref("ref")["table"] != "")
+    made = qualify(rows, "raw", "workspace", "lakehouse", names, placed=True)
     writes = made.filter("kind = 'write'").groupBy("execution_id", "line_no").agg(F.min("ref").alias("ref"))
     reads = made.filter("kind = 'read'").select("execution_id", F.lit("read").alias("access"), "ref")
     return reads.union(writes.select("execution_id", F.lit("write").alias("access"), "ref")).distinct()

@@ -87,7 +87,7 @@ def clean_raw(raw: Column | str) -> Column:
     return F.regexp_replace(out, r"/+$", "")
 
 
-def _with_parts(df: DataFrame, raw: str | Column, workspace: str | Column, lakehouse: str | Column) -> DataFrame:
+def _with_parts(df: DataFrame, raw: str | Column, workspace: str | Column, lakehouse: str | Column, placed: bool) -> DataFrame:
     """Add `_q`, struct(workspace, lakehouse, table, by_path), before GUIDs are named; `by_path` marks the
     storage-path form, the only one whose parts go through the name map. Built in steps, each a
     column of its own, so that no pattern is matched more than once per row."""
@@ -118,14 +118,25 @@ def _with_parts(df: DataFrame, raw: str | Column, workspace: str | Column, lakeh
         .when(n == 2, row(ws, strip(last(-2)), last(-1), False))
         .otherwise(row(ws, lh, F.col("_text"), False))
     )
-    return rows.withColumn("_q", parts).drop("_text", "_container", "_segs", "_tail", "_leaf", "_dots")
+    # Exploding a one-element array keeps later filters from being pushed into, and so
+    # repeated over, all the steps above; without a table the array is empty.
+    one = F.array(parts)
+    made = F.explode(F.filter(one, lambda p: p["table"] != "") if placed else one)
+    return rows.select(*df.columns, made.alias("_q"))
 
 
 def qualify(
-    df: DataFrame, raw: str, workspace: str | Column, lakehouse: str | Column, names: DataFrame | None = None, out: str = "ref"
+    df: DataFrame,
+    raw: str,
+    workspace: str | Column,
+    lakehouse: str | Column,
+    names: DataFrame | None = None,
+    out: str = "ref",
+    placed: bool = False,
 ) -> DataFrame:
-    """Add the canonical ref of a raw reference. `names` is (guid, name), guid in lower case and unique."""
-    rows = _with_parts(df, raw, workspace, lakehouse)
+    """Add the canonical ref of a raw reference. `names` is (guid, name), guid in lower case and unique.
+    With `placed`, rows whose reference names no table are dropped."""
+    rows = _with_parts(df, raw, workspace, lakehouse, placed)
     parts = {p: F.col(f"_q.{p}") for p in ("table", "lakehouse", "workspace")}
     if names is not None:
         lookup = small(names.select(F.col("guid").alias("_g"), F.col("name").alias("_name")))
