@@ -243,40 +243,40 @@ def longest_path(nodes: DataFrame, edges: DataFrame, group: str = M, max_rounds:
     edge inside the cycle does not count, and peeling goes on below them.
     With `max_rounds`, deeper nodes and nodes at or below a cycle are left out.
     """
-    known = nodes.select(group, "node").distinct()
+    known = cut(nodes.select(group, "node").distinct())
     links = edges.select(group, F.col("source").alias("src"), F.col("target").alias("node")).filter("src <> node").distinct()
     ids = known.withColumnRenamed("node", "src")
     links = cut(links.join(known, [group, "node"], "left_semi").join(ids, [group, "src"], "left_semi"))
-    left = cut(known)
-    #: depth a node has at least, from parents already placed
+    every = links
+    ready = cut(known.join(links.select(group, "node").distinct(), [group, "node"], "left_anti"))
     done: list[DataFrame] = []
-    floor: DataFrame | None = None
     rounds = 0
-    while not left.isEmpty():
-        if max_rounds is not None and rounds > max_rounds:
-            break
-        ready = cut(left.join(links.select(group, "node").distinct(), [group, "node"], "left_anti"))
-        if ready.isEmpty():
-            if max_rounds is not None:
-                break
-            ready = _cycle_core(links, group)
-            links = cut(links.join(ready, [group, "node"], "left_anti"))
-        placed = ready.withColumn("depth", F.lit(rounds)) if floor is None else ready.join(
-            floor, [group, "node"], "left"
-        ).withColumn("depth", F.coalesce("depth", F.lit(0)))
-        placed = cut(placed.select(group, "node", "depth"))
-        done.append(placed)
-        below = links.join(placed.select(group, F.col("node").alias("src"), "depth"), [group, "src"]).select(
-            group, "node", (F.col("depth") + 1).alias("depth")
-        )
-        offers = below if floor is None else floor.union(below)
-        floor = cut(offers.groupBy(group, "node").agg(F.max("depth").alias("depth")))
-        links = cut(links.join(ready.withColumnRenamed("node", "src"), [group, "src"], "left_anti"))
-        left = cut(left.join(ready, [group, "node"], "left_anti"))
+    while not ready.isEmpty():
+        done.append(ready.withColumn("depth", F.lit(rounds)))
+        if max_rounds is not None and rounds >= max_rounds:
+            return _union(done)
+        gone = ready.withColumnRenamed("node", "src")
+        reached = links.join(gone, [group, "src"], "left_semi").select(group, "node").distinct()
+        links = cut(links.join(gone, [group, "src"], "left_anti"))
+        ready = cut(reached.join(links.select(group, "node").distinct(), [group, "node"], "left_anti"))
         rounds += 1
         if len(done) > 12:
             done = [cut(_union(done))]
-    return _union(done) if done else known.withColumn("depth", F.lit(0))
+    if max_rounds is not None or links.isEmpty():
+        return _union(done) if done else known.withColumn("depth", F.lit(0))
+    # Cycles are left. Nodes on them start from the parents placed so far; below them, a node is
+    # placed once all its parents are, one more than the deepest.
+    placed = cut(_union(done)) if done else known.limit(0).withColumn("depth", F.lit(0))
+    ready = _cycle_core(links, group)
+    while not ready.isEmpty():
+        above = every.join(ready, [group, "node"], "left_semi").join(
+            placed.withColumnRenamed("node", "src"), [group, "src"]
+        ).groupBy(group, "node").agg((F.max("depth") + 1).alias("depth"))
+        placed = cut(placed.unionByName(ready.join(above, [group, "node"], "left").select(group, "node", F.coalesce("depth", F.lit(0)).alias("depth"))))
+        left = known.join(placed.select(group, "node"), [group, "node"], "left_anti")
+        open_ = every.join(left.withColumnRenamed("node", "src"), [group, "src"], "left_semi").select(group, "node").distinct()
+        ready = cut(left.join(open_, [group, "node"], "left_anti"))
+    return placed
 
 
 def _cycle_core(links: DataFrame, group: str) -> DataFrame:

@@ -212,7 +212,7 @@ def import_entities(sheet: DataFrame, entity: DataFrame) -> dict[str, DataFrame]
             here = spot.filter(F.col(column) != "").select(
                 M, "row_number", "declared_id", "_l", "_o", "_a", F.col(column).alias("name"), parent.alias("_parent")
             )
-            done = ensure(here, kind)
+            done = cut(ensure(here, kind))
             out.append(done)
             nxt = {"layer": "_o", "object": "_a", "attribute": None}[kind]
             stop = done if nxt is None else done.filter(F.col(nxt) == "")
