@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from heddle.functions.refs import make_ref, parse_ref
 from heddle.operators.graph import longest_path
@@ -226,41 +227,43 @@ def pipeline_waves(activity: DataFrame) -> DataFrame:
     )
 
 
-def activity_order(activity: DataFrame) -> DataFrame:
-    """(pipeline_id, name, position): always the first activity in document order whose known dependencies are done; what
-    a cycle holds back follows in document order. A pipeline is one JSON document, so one task orders it."""
-    key = activity.schema["pipeline_id"].dataType.simpleString()
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal").reset_index(drop=True)
-        known = set(pdf["name"])
-        waits = [{d for d in deps if d in known} if deps is not None else set() for deps in pdf["depends_on"]]
-        dependants: dict[str, list[int]] = {}
-        for i, deps in enumerate(waits):
-            for d in deps:
-                dependants.setdefault(d, []).append(i)
-        ready = [i for i, deps in enumerate(waits) if not deps]
-        heapq.heapify(ready)
-        out: list[int] = []
-        finished: set[str] = set()
-        while ready:
-            i = heapq.heappop(ready)
-            out.append(i)
-            name = pdf["name"][i]
-            if name in finished:
-                continue
+def _document_order(activities: list) -> list[int]:
+    """Positions of (ordinal, name, depends_on) rows, sorted by ordinal, in the order they can run."""
+    known = {a["name"] for a in activities}
+    waits = [{d for d in (a["depends_on"] if a["depends_on"] is not None else ()) if d in known} for a in activities]
+    dependants: dict[str, list[int]] = {}
+    for i, deps in enumerate(waits):
+        for d in deps:
+            dependants.setdefault(d, []).append(i)
+    ready = [i for i, deps in enumerate(waits) if not deps]
+    heapq.heapify(ready)
+    out: list[int] = []
+    finished: set[str] = set()
+    while ready:
+        i = heapq.heappop(ready)
+        out.append(i)
+        name = activities[i]["name"]
+        if name not in finished:
             finished.add(name)
             for j in dependants.get(name, ()):
                 waits[j].discard(name)
                 if not waits[j]:
                     heapq.heappush(ready, j)
-        placed = set(out)
-        out += [i for i in range(len(pdf)) if i not in placed]
-        return pd.DataFrame({"pipeline_id": pdf["pipeline_id"][out].values, "name": pdf["name"][out].values, "position": range(1, len(out) + 1)})
+    placed = set(out)
+    return out + [i for i in range(len(activities)) if i not in placed]
 
-    return activity.select("pipeline_id", "ordinal", "name", "depends_on").groupBy("pipeline_id").applyInPandas(
-        order, f"pipeline_id {key}, name string, position int"
-    )
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _order_of(activities: pd.Series) -> pd.Series:
+    return pd.Series([_document_order(list(a)) for a in activities])
+
+
+def activity_order(activity: DataFrame) -> DataFrame:
+    """(pipeline_id, name, position): always the first activity in document order whose known dependencies are done; what
+    a cycle holds back follows in document order. A pipeline is one JSON document, which bounds its array."""
+    listed = activity.groupBy("pipeline_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "name", "depends_on"))).alias("_a"))
+    placed = listed.select("pipeline_id", "_a", F.posexplode(_order_of("_a")).alias("_p", "_i"))
+    return placed.select("pipeline_id", F.get("_a", F.col("_i"))["name"].alias("name"), (F.col("_p") + 1).alias("position"))
 
 
 def nested_steps(step: DataFrame) -> DataFrame:

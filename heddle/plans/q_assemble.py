@@ -191,14 +191,14 @@ def _(t):
 def _run_nodes(t):
     node = t.sql(f"""SELECT o_custkey AS graph_id, o_orderkey * 10 AS ordinal, concat('s', o_orderkey) AS node_id, 'notebook' AS kind, CASE WHEN o_orderstatus = 'F' THEN 'Wf' ELSE '' END AS workspace, cast(NULL AS string) AS lakehouse FROM orders
         UNION ALL SELECT o_custkey, min(l_orderkey * 10 + l_linenumber), concat('t', l_suppkey), 'table', '', {LAKE.format(k='l_suppkey')} FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey""")
-    link = t.sql("""SELECT o_custkey AS graph_id, l_linenumber * 100000 + l_partkey AS ordinal, CASE WHEN l_linenumber < 4 THEN concat('t', l_suppkey) ELSE concat('s', l_orderkey) END AS source,
+    link = t.sql("""SELECT o_custkey AS graph_id, l_linenumber * 100000000000000 + l_partkey * 1000000 + l_suppkey AS ordinal, CASE WHEN l_linenumber < 4 THEN concat('t', l_suppkey) ELSE concat('s', l_orderkey) END AS source,
         CASE WHEN l_linenumber < 4 THEN concat('s', l_orderkey) ELSE concat('t', l_suppkey) END AS target, CASE WHEN l_linenumber < 4 THEN 'read' ELSE 'write' END AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
     return node, link
 
 
 @query("graph_stage_assign", f"""
 WITH l AS (SELECT o_custkey AS g, l_orderkey AS ok, l_suppkey AS sk, l_linenumber AS ln, l_partkey AS pk, {RANK.format(k='l_suppkey')} AS rk FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-s AS (SELECT g, ok, arg_min(rk, (CASE WHEN ln < 4 THEN 1 ELSE 0 END) * 100000000 + ln * 100000 + pk) AS stage FROM l WHERE rk >= 0 GROUP BY 1, 2),
+s AS (SELECT g, ok, arg_min(rk, (CASE WHEN ln < 4 THEN 1 ELSE 0 END) * 1000000000000000 + ln * 100000000000000 + pk * 1000000 + sk) AS stage FROM l WHERE rk >= 0 GROUP BY 1, 2),
 e AS (SELECT DISTINCT g, concat('t', sk) AS node_id, rk AS stage FROM l UNION ALL SELECT o_custkey, concat('s', o_orderkey), coalesce(stage, -1) FROM orders LEFT JOIN s ON o_orderkey = s.ok)
 SELECT g AS graph_id, node_id, stage, cast(dense_rank() OVER (PARTITION BY g ORDER BY stage < 0, stage) - 1 AS integer) AS layer FROM e""")
 def _(t):

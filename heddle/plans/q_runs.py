@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import plantext
 from heddle.operators import runs
+from heddle.session import cut
 
 from .registry import binding, query
 
@@ -55,7 +56,8 @@ def _plan_access(t):
     context = ex.select(F.col("key").alias("execution_id"), F.lit("W").alias("workspace"), F.lit("L").alias("lakehouse"))
     found = plantext.access(plantext.node_refs(block, context))
     parts = F.split("execution_id", "#")
-    return ex.drop("key", "plan"), found.select(parts[0].alias("livy_id"), parts[1].cast("int").alias("execution_id"), "access", "ref")
+    access = found.select(parts[0].alias("livy_id"), parts[1].cast("int").alias("execution_id"), "access", "ref")
+    return ex.drop("key", "plan"), cut(access)
 
 
 RUN_ACCESS = "b AS (" + STATEMENT_SQL.format(series="unnest(generate_series(1, 250))") + """),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.operators.graph import M
-from heddle.session import cut, running_position
+from heddle.session import cut, running_position, small
 
 # --- nested documents -----------------------------------------------------------
 
@@ -52,10 +52,11 @@ def flatten(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.concat("ordinal", F.array("_p")).alias("ordinal"), F.array("layer_name", "x.name").alias("trail"), F.col("x.children").alias("_json"),
     )
     parts = [layers.select(*ENTITY), objects.select(*ENTITY)]
-    pending = cut(objects.filter("has_children").withColumn("_json", F.concat(F.lit("["), F.array_join("_json", ","), F.lit("]"))))
     schema = _attribute_type(LEVELS)
+    parsed = lambda c: F.from_json(F.concat(F.lit("["), F.array_join(c, ","), F.lit("]")), schema)
+    pending = cut(objects.filter("has_children").withColumn("_c", parsed("_json")).drop("_json"))
     while not pending.isEmpty():
-        rows = pending.withColumn("_c", F.from_json("_json", schema)).drop("_json")
+        rows = pending
         for level in range(LEVELS):
             one = rows.select("*", F.posexplode("_c").alias("_p", "_x")).select(
                 M, F.col("_x.id").alias("entity_id"), F.lit("attribute").alias("kind"), F.col("_x.name").alias("name"), F.col("entity_id").alias("parent_id"),
@@ -64,7 +65,7 @@ def flatten(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             )
             parts.append(one.select(*ENTITY))
             rows = one.filter("has_children")
-        pending = cut(rows.withColumn("_json", F.concat(F.lit("["), F.array_join("_c", ","), F.lit("]"))).drop("_c"))
+        pending = cut(rows.withColumn("_c", parsed("_c")))
     edges = d.select(M, F.posexplode("d.transitions").alias("ordinal", "t")).select(M, F.col("t.id").alias("transition_id"), "t.source", "t.target", "ordinal")
     bags = d.select(M, F.explode("d.properties").alias("entity_id", "_b")).select(M, "entity_id", F.explode("_b").alias("key", "value"))
     return reduce(DataFrame.unionByName, parts), edges, bags
@@ -133,7 +134,7 @@ def read_sheet(grid: DataFrame) -> DataFrame:
         .when(has("source", "target"), "transitions").otherwise("unknown")
     )
     numbered = running_position(filled.select(M, "row_no", "cells"), [M], [F.col("row_no")], "row_number")
-    rows = numbered.withColumnRenamed("cells", "_raw").join(first.withColumn("format", kind), M).filter("not _headed or row_number > 1")
+    rows = numbered.withColumnRenamed("cells", "_raw").join(small(first.withColumn("format", kind)), M).filter("not _headed or row_number > 1")
     at = lambda i: F.trim(F.coalesce(F.get("_raw", i), F.lit("")))
     cells = F.when(F.col("_headed"), F.map_from_entries(F.transform("_columns", lambda s: F.struct(s["k"], at(s["i"]))))).otherwise(
         F.create_map(F.lit("name"), at(F.lit(0)))
