@@ -38,28 +38,25 @@ def flatten_views(flow: DataFrame, view_flow: DataFrame, view: DataFrame) -> Dat
             F.col("transform").alias("_transform"),
         )
     )
-    names = cut(view.select("nb_id", F.col("view_key").alias("source_name")).distinct())
+    names = cut(view.select("nb_id", F.col("view_key").alias("source_name"), F.lit(True).alias("_view")).distinct())
     todo = flow.withColumn("_via", F.expr("cast(array() as array<string>)"))
     done = []
     while True:
-        base = todo.join(names, ["nb_id", "source_name"], "left_anti").drop("_via")
-        done.append(cut(base.select("nb_id", "target", "column", "source_name", "source_column", "transform")))
-        todo = cut(
-            todo.join(names, ["nb_id", "source_name"], "left_semi")
-            .filter(~F.array_contains("_via", F.col("source_name")))
-            .join(inner, ["nb_id", "source_name", "source_column"])
-            .select(
-                "nb_id",
-                "target",
-                "column",
-                F.col("_name").alias("source_name"),
-                F.col("_column").alias("source_column"),
-                F.coalesce("transform", "_transform").alias("transform"),
-                F.array_append("_via", F.col("source_name")).alias("_via"),
-            )
-        )
-        if todo.isEmpty():
+        marked = cut(todo.join(names, ["nb_id", "source_name"], "left"))
+        base = marked.filter("_view is null")
+        done.append(base.select("nb_id", "target", "column", "source_name", "source_column", "transform"))
+        rest = marked.filter(F.col("_view") & ~F.array_contains("_via", F.col("source_name")))
+        if rest.isEmpty():
             return reduce(DataFrame.unionByName, done)
+        todo = rest.join(inner, ["nb_id", "source_name", "source_column"]).select(
+            "nb_id",
+            "target",
+            "column",
+            F.col("_name").alias("source_name"),
+            F.col("_column").alias("source_column"),
+            F.coalesce("transform", "_transform").alias("transform"),
+            F.array_append("_via", F.col("source_name")).alias("_via"),
+        )
 
 
 def view_base_refs(view_flow: DataFrame, view: DataFrame) -> DataFrame:
