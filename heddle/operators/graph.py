@@ -48,14 +48,11 @@ def dangling(transition: DataFrame, entity: DataFrame) -> DataFrame:
 
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
     """(model, node, nxt) in walking direction: downstream, upstream or both."""
-    down = edges.select(M, F.col("source").alias("node"), F.col("target").alias("nxt"))
-    up = edges.select(M, F.col("target").alias("node"), F.col("source").alias("nxt"))
-    if direction == "downstream":
-        return down.distinct()
-    if direction == "upstream":
-        return up.distinct()
-    if direction == "both":
-        return down.union(up).distinct()
+    move = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("nxt"))
+    down, up = move("source", "target"), move("target", "source")
+    moves = {"downstream": [down], "upstream": [up], "both": [down, up]}
+    if direction in moves:
+        return edges.select(M, F.inline(F.array(*moves[direction]))).distinct()
     raise ValueError(f"direction {direction!r} is none of downstream, upstream, both")
 
 
@@ -212,11 +209,8 @@ def components(nodes: DataFrame, edges: DataFrame, group: str = M) -> DataFrame:
     the label's own label, so long chains shorten by half per round. The min is
     a partial aggregate, so a hub node costs no more than its edges.
     """
-    both = cut(
-        edges.select(group, F.col("source").alias("node"), F.col("target").alias("nxt"))
-        .union(edges.select(group, F.col("target"), F.col("source")))
-        .distinct()
-    )
+    move = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("nxt"))
+    both = cut(edges.select(group, F.inline(F.array(move("source", "target"), move("target", "source")))).distinct())
     label = cut(nodes.select(group, "node", F.col("node").alias("component")).distinct())
     while True:
         offered = both.join(label.select(group, F.col("node").alias("nxt"), "component"), [group, "nxt"]).select(
