@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.common import pick
 
+#: Anchors that are tried one by one on every text.
+MOST_ANCHORS = 64
+
 # Comment signs and copyright lines, which never count.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:©|\(c\)|copyright[ \t]*(?:©|\(c\)|[^\n]*[0-9]{4}))[^\n]*"
 RIGHTS_LINE = r"(?m)^[ \t#*/;-]*all rights reserved[^\n]*"
@@ -42,12 +48,10 @@ EQUIVALENT = [
     ("maximise", "maximize"),
     ("modelled", "modeled"),
     ("modelling", "modeling"),
-    ("noncommercial", "non commercial"),
     ("offence", "offense"),
     ("optimise", "optimize"),
     ("organisation", "organization"),
     ("organise", "organize"),
-    ("per cent", "percent"),
     ("practise", "practice"),
     ("programme", "program"),
     ("realise", "realize"),
@@ -80,49 +84,84 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words parted by one blank, one spelling of each word."""
+def plain(text: Column) -> Column:
+    """Lower case, no copyright lines, words parted by one blank."""
     out = F.lower(text)
     for pattern in (COPYRIGHT_LINE, RIGHTS_LINE, NO_WORD):
         out = F.regexp_replace(out, pattern, " ")
-    for other, one in EQUIVALENT:
-        out = F.regexp_replace(out, rf"\b{other}\b", one)
     return F.trim(out)
 
 
+def spelled(words: Column) -> Column:
+    """One spelling of each word. No replacement changes the number of words or a word's first two letters."""
+    for other, one in EQUIVALENT:
+        words = F.regexp_replace(words, rf"\b{other}\b", one)
+    return words
+
+
+def _keys(df: DataFrame, text: str) -> DataFrame:
+    """The plain text, how many blanks it has and how it begins: what equivalent spellings have in common."""
+    return df.withColumn("plain", plain(F.col(text))).withColumn("blanks", F.length("plain") - F.length(F.translate("plain", " ", ""))).withColumn("head", F.substring("plain", 1, 2))
+
+
 def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """Digest and license of each known text; of several licenses with one digest the first by name."""
-    rows = spark.createDataFrame(texts, "license string, body string")
-    return rows.groupBy(F.sha2(canonical(F.col("body")), 256).alias("digest")).agg(F.min("license").alias("license"))
+    """Digest, license, blanks, head and anchor of each known text; of several licenses with one digest the first by name.
+    The anchor is the longest word that has one spelling only, or null. Texts without words are left out."""
+    rows = _keys(spark.createDataFrame(texts, "license string, body string"), "body").filter("plain != ''")
+    several = sorted({word for pair in EQUIVALENT for word in " ".join(pair).split()})
+    fixed = F.filter(F.split("plain", " "), lambda w: ~w.isin(several))
+    anchor = F.array_max(F.transform(fixed, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    return rows.groupBy(F.sha2(spelled(F.col("plain")), 256).alias("digest"), "blanks", "head").agg(F.min("license").alias("license"), F.min(anchor).alias("anchor"))
+
+
+def _anchored(licenses: DataFrame) -> Callable[[Column], Column]:
+    """A cheap test that every text passes that may be a known one: its lower case contains an anchor. Always true
+    where a known text has none or there are too many to try; the result is the same."""
+    found = [r.anchor for r in licenses.select("anchor").distinct().limit(MOST_ANCHORS + 1).collect()]
+    if None in found or len(found) > MOST_ANCHORS:
+        return lambda text: F.lit(True)
+    return lambda text: reduce(lambda a, b: a | b, [F.lower(text).contains(word) for word in found], F.lit(False))
+
+
+def _identified(units: DataFrame, text: str, licenses: DataFrame) -> DataFrame:
+    """The rows whose whole text is a known one, with `license`. Only rows that agree with some known text in blanks and head
+    are spelled alike and digested; no other can have its digest."""
+    alike = _keys(units, text).join(licenses.select("blanks", "head").distinct(), ["blanks", "head"]).drop("blanks", "head")
+    return alike.withColumn("digest", F.sha2(spelled(F.col("plain")), 256)).join(licenses.select("digest", "license"), "digest").drop("plain", "digest")
 
 
 def license_scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): `license`, whose known text the whole document is, or null;
     `n_notices`, how many of its lines are a known text; `notices`, their licenses, sorted and comma-joined.
 
-    licenses(digest, license) is what `known` gives. Nothing is broadcast by hand: the planner does so for a small list.
+    `licenses` is what `known` gives. Nothing is broadcast by hand: the planner does so for a small list.
     A null text, and a text or line without words, matches nothing. Repeated rows each get their result.
     Copyright lines are dropped before the comparison. A wrapped license matches as a whole document only.
     """
     rows = pick(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
-    empty = F.sha2(F.lit(""), 256)
-    licenses = licenses.filter(F.col("digest") != empty)
-    whole = rows.select("doc_id", "row", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(licenses, "digest", "left")
+    may_be = _anchored(licenses)
+    every = rows.select("doc_id", "row").alias("e")
+    rows = rows.filter(may_be(F.col("text")))
+    whole = _identified(rows, "text", licenses).groupBy("doc_id", "row").agg(F.min("license").alias("license"))
     lines = rows.withColumn("at", F.monotonically_increasing_id()).select("doc_id", "row", "at", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.filter(may_be(F.col("line")))
     found = (
-        lines.withColumn("digest", F.sha2(canonical(F.col("line")), 256))
-        .join(licenses, "digest")
+        _identified(lines, "line", licenses)
         .groupBy("doc_id", "row", "at")
         .agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
         .groupBy("doc_id", "row")
         .agg(F.first("n_notices").alias("n_notices"), F.first("notices").alias("notices"))
     )
-    left, right = whole.alias("l"), found.alias("r")
-    return left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.row").eqNullSafe(F.col("r.row")), "left").select(
-        F.col("l.doc_id").alias("doc_id"),
-        F.col("l.license").alias("license"),
-        F.coalesce("r.n_notices", F.lit(0)).cast("long").alias("n_notices"),
-        F.coalesce("r.notices", F.lit("")).alias("notices"),
+
+    def same(a: str, b: str) -> Column:
+        return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.row").eqNullSafe(F.col(f"{b}.row"))
+
+    met = every.join(whole.alias("w"), same("e", "w"), "left").join(found.alias("f"), same("e", "f"), "left")
+    return met.select(
+        "e.doc_id",
+        "w.license",
+        F.coalesce("f.n_notices", F.lit(0)).cast("long").alias("n_notices"),
+        F.coalesce("f.notices", F.lit("")).alias("notices"),
     )
 
 
