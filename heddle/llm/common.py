@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 4 << 20
 #: Input bytes (as the planner estimates them, compressed) that one partition of packed records is made for.
 PART_BYTES = 8 << 20
+#: What the planner says of rows that come from no file is beyond this.
+UNKNOWN_BYTES = 1 << 56
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,8 +28,9 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size of `df`: for files, their size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The planner's size of `df`: for files, their size; 0 where it does not know any."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else 0
 
 
 def part_count(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
