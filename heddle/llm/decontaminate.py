@@ -218,3 +218,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.sha2(F.coalesce("b.items", F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("e.n_words"))).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs(doc_id, text, ...), with all their columns, that `contamination` does not call contaminated."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(x)}") for x in ("doc_id", "text"))
+    bad = contamination(docs, items, window).filter("contaminated").select("doc_id", "row").distinct()
+    return plain.join(bad, doc_id.eqNullSafe(bad["doc_id"]) & (F.xxhash64(text) == bad["row"]), "left_anti").toDF(*names)

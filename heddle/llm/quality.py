@@ -262,3 +262,22 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
             )
 
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of docs(text, ...) whose whole text scores at least `THRESHOLD`, with all their columns. A null text scores as an
+    empty one."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index('text')}"
+    small_batches(docs.sparkSession)
+    weights = net.weights
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network()
+        own.weights = weights
+        for table in steps(batches, text):
+            good = own.scores(*bytes_of(column(table, text))) >= THRESHOLD
+            yield from table.filter(pa.array(good)).to_batches()
+
+    return plain.mapInArrow(keep, plain.schema).toDF(*names)

@@ -287,9 +287,9 @@ def encoder_at(path: str) -> Encoder:
     return Encoder(model_at(path))
 
 
-def encode_texts(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
     """Per row of docs(doc_id, text): n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256
-    (of the text that the ids decode to), and with `with_ids` the ids and the decoded text themselves.
+    (of the text that the ids decode to), with `with_ids` the ids and with `with_decoded` the decoded text themselves.
 
     A null text is an empty one: begin and end id. Every row is encoded whole; repeated rows each get theirs. Rows with
     null ids keep them. An empty table gives no rows. There is no shuffle: a lost executor's partitions are encoded again.
@@ -297,7 +297,7 @@ def encode_texts(docs: DataFrame, model_path: str, with_ids: bool = False) -> Da
     rows = pick(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    extra = ", ids array<int>, decoded string" if with_ids else ""
+    extra = (", ids array<int>" if with_ids else "") + (", decoded string" if with_decoded else "")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -316,6 +316,7 @@ def encode_texts(docs: DataFrame, model_path: str, with_ids: bool = False) -> Da
             }
             if with_ids:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            if with_decoded:
                 out["decoded"] = texts
             yield pa.RecordBatch.from_pydict(out)
 

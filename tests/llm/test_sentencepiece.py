@@ -45,7 +45,7 @@ def test_any_text(texts):
 def test_operator(spark):
     rows = [(1, "the cat  sat"), (1, "the cat  sat"), (None, "x"), (3, None), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id as Text", "*", "1 as n_tokens", "2 as ids")
-    got = encode_texts(docs, PATH, with_ids=True).collect()
+    got = encode_texts(docs, PATH, with_ids=True, with_decoded=True).collect()
     assert [r.doc_id for r in got] == [1, 1, None, 3, 4]
     for row, (_, text) in zip(got, rows):
         ids = LIBRARY.encode(text or "", add_bos=True, add_eos=True)
