@@ -23,9 +23,12 @@ SIMILARITY = 0.8
 REGISTERS = 128
 #: Registers of a band: a pair of similarity 0.8 misses all 32 bands once in twenty million.
 BAND = 4
-#: Buckets with more texts that a first comparison left apart are split by a second band: a pair of similarity 0.8
-#: agrees in fewer than two bands once in a million.
-LARGE = 32
+#: Bands whose buckets are compared with one of their texts at first.
+FIRST_BANDS = 8
+#: Texts of a bucket that are compared with each other in one task.
+BLOCK = 512
+#: Partners that a text first tries in each other component of its bucket.
+BEST = 4
 #: Agreeing registers below which a pair cannot be verified: 0.8 less five standard deviations.
 LEAST_AGREEING = int(REGISTERS * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5))
 
@@ -199,11 +202,47 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(least, "bucket").filter("a != node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _across(apart: DataFrame) -> DataFrame:
-    """Pairs of one bucket whose components differ, once."""
-    x, y = apart.alias("x"), apart.alias("y")
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _near_in_blocks(apart: DataFrame, nodes: DataFrame, best: int | None) -> DataFrame:
+    """Pairs(a, b) of one bucket in different components that agree in enough registers, with `best` only so many for each node and
+    other component, those that agree most. Buckets are compared block by block: a block's nodes with those of its own and of every
+    other block, inside a task; only what agrees leaves it."""
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = apart.join(nodes.select("node", "signature"), "node").withColumn("own", F.pmod(F.xxhash64("node"), count).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    keys = ["bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    blocks = dealt.groupBy(*keys).agg(F.collect_list(F.struct("own", "node", "label", "signature")).alias("rows"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lists, low, high in zip(batch.column("rows"), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
+                rows = lists.values
+                yield _near_pairs(rows, low == high, low, best)
+
+    return blocks.select("low", "high", "rows").mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def _near_pairs(rows: pa.StructArray, same: bool, low: int, best: int | None) -> pa.RecordBatch:
+    names = rows.field("node")
+    label = rows.field("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    found = np.frombuffer(b"".join(rows.field("signature").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    own = rows.field("own").to_numpy(zero_copy_only=False)
+    left = np.arange(len(own)) if same else np.flatnonzero(own == low)
+    right = left if same else np.flatnonzero(own != low)
+    hits = []
+    for i in range(0, len(left), 32):
+        some = left[i : i + 32]
+        agree = (found[some][:, None, :] == found[right][None, :, :]).sum(2)
+        x, y = np.nonzero((agree >= LEAST_AGREEING) & (label[some][:, None] != label[right][None, :]) & ((some[:, None] < right[None, :]) | (not same)))
+        hits.append(np.column_stack([some[x], right[y], agree[x, y]]))
+    pairs = np.concatenate(hits) if hits else np.zeros((0, 3), np.int64)
+    if best is not None and len(pairs):
+        pairs = pairs[np.lexsort((-pairs[:, 2], label[pairs[:, 1]], pairs[:, 0]))]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs[1:, 0] != pairs[:-1, 0]) | (label[pairs[1:, 1]] != label[pairs[:-1, 1]])
+        place = np.arange(len(pairs))
+        pairs = pairs[place - np.maximum.accumulate(np.where(new, place, 0)) < best]
+    a, b = names.take(pa.array(pairs[:, 0])).to_pylist(), names.take(pa.array(pairs[:, 1])).to_pylist()
+    return pa.RecordBatch.from_pydict({"a": pa.array(list(map(min, a, b)), pa.binary()), "b": pa.array(list(map(max, a, b)), pa.binary())})
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -214,9 +253,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     `similarity` are linked, and a class is what links connect. Texts without words (null ones too) are one class. A null id
     counts as no id: a class of such rows alone has none. Repeated rows each get the result.
 
-    A bucket's nodes are first compared with its least node, which joins dense groups of any size in one pass. Only nodes
-    that this leaves in different components are compared with each other: in small buckets at once, in large ones after a second
-    band has split them, so that no link between different texts is lost but by the chances that BAND and LARGE state.
+    The nodes of some bands' buckets are first compared with the bucket's least node, which joins dense groups of any size in one
+    pass. Only buckets that this leaves in several components are looked at again: their nodes' signatures are compared
+    with each other in blocks, the most alike pairs are verified, and in what is still apart after that all that agree enough. So
+    no link between different texts is lost but by the chances that BAND and LEAST_AGREEING state.
     Equal texts, labels and buckets are aggregated before they move. Tables written: signatures, the texts of nodes that share a
     bucket, and small steps.
     """
@@ -225,30 +265,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     signed_ = cut(signed(docs))
     nodes = signed_.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.min(F.struct("doc_id", "row")).alias("doc"))
     nodes = cut(nodes)
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("bucket")
-    members = cut(banded.join(shared, "bucket").select("bucket", "node"))
+    members = cut(banded.join(shared, "bucket").select("bucket", "band", "node"))
     needed = members.select("node").distinct().join(nodes, "node").select("node", "doc.doc_id", "doc.row").alias("n")
     d = docs.alias("d")
     found = d.join(needed, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.row") == F.col("n.row"))).select("n.node", "d.text")
     texts = cut(found.groupBy("node").agg(F.first("text").alias("text")))
 
-    pairs = cut(_stars(members))
-    edges = cut(verified(pairs, nodes, texts, similarity))
+    tested = cut(_stars(members.filter(F.col("band") < FIRST_BANDS).select("bucket", "node")))
+    edges = cut(verified(tested, nodes, texts, similarity))
     labels = connected(edges)
-    apart = cut(_apart(members, labels))
-    if not apart.isEmpty():
-        others = nodes.select("node", F.explode("bands").alias("other"))
-        split = apart.filter(F.col("size") > LARGE).select("bucket", "node").join(others, "node").filter("bucket != other")
-        split = split.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "node").distinct()
-        tested = pairs
-        pairs = cut(_stars(split).join(tested, ["a", "b"], "left_anti"))
-        edges = cut(edges.unionByName(verified(pairs, nodes, texts, similarity)))
-        labels = connected(edges)
-        left = _apart(split, labels).unionByName(_apart(apart.filter(F.col("size") <= LARGE).select("bucket", "node"), labels))
-        rest = _across(cut(left)).join(tested.unionByName(pairs), ["a", "b"], "left_anti")
-        edges = cut(edges.unionByName(verified(cut(rest), nodes, texts, similarity)))
+    for best in (BEST, None):
+        apart = cut(_apart(members.select("bucket", "node"), labels))
+        if apart.isEmpty():
+            break
+        fresh = cut(_near_in_blocks(apart, nodes, best).join(tested, ["a", "b"], "left_anti"))
+        edges = cut(edges.unionByName(verified(fresh, nodes, texts, similarity)))
         labels = connected(edges)
+        tested = tested.unionByName(fresh)
 
     placed = signed_.select("doc_id", "row", "node").join(labels, "node", "left").select("doc_id", "row", F.coalesce("label", "node").alias("label"))
     named = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))

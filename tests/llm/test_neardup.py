@@ -64,9 +64,9 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("large", [32, 2])
-def test_groups(spark, monkeypatch, large):
-    monkeypatch.setattr(neardup, "LARGE", large)
+@pytest.mark.parametrize("block", [512, 3])
+def test_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(11)
     text = lambda n: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))
     rows = []
