@@ -8,6 +8,7 @@ registers give candidates, and what agrees there is verified on the shingles the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,6 @@ BAND = 4
 FIRST_BANDS = 8
 #: Texts of a bucket that are compared with each other in one task.
 BLOCK = 512
-#: Partners that a text first tries in each other component of its bucket.
-BEST = 4
 #: Agreeing registers below which a pair cannot be verified: 0.8 less five standard deviations.
 LEAST_AGREEING = int(REGISTERS * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5))
 
@@ -84,6 +83,9 @@ def signatures(grams: np.ndarray, weights: np.ndarray, first: np.ndarray, regist
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Similarity of two weighted sets (sorted hashes, weights): the sum over common elements x of
     1 / sum over all elements y of max(a(y) / a(x), b(y) / b(x)). With equal weights it is the Jaccard similarity."""
+    if a[1].max(initial=0) <= 1 and b[1].max(initial=0) <= 1:
+        both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+        return both / max(1, len(a[0]) + len(b[0]) - both)
     every = np.union1d(a[0], b[0])
     wa, wb = np.zeros(len(every)), np.zeros(len(every))
     wa[np.searchsorted(every, a[0])] = a[1]
@@ -202,47 +204,82 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(least, "bucket").filter("a != node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _near_in_blocks(apart: DataFrame, nodes: DataFrame, best: int | None) -> DataFrame:
-    """Pairs(a, b) of one bucket in different components that agree in enough registers, with `best` only so many for each node and
-    other component, those that agree most. Buckets are compared block by block: a block's nodes with those of its own and of every
-    other block, inside a task; only what agrees leaves it."""
+def _near_pairs(signature: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Pairs (i < j, registers that agree) of different labels that agree in enough registers."""
+    hits = []
+    for i in range(0, len(label), 32):
+        some = np.arange(i, min(i + 32, len(label)))
+        agree = (signature[some][:, None, :] == signature[None, i:, :]).sum(2)
+        differ = (label[some][:, None] != label[None, i:]) & (some[:, None] < np.arange(i, len(label))[None, :])
+        x, y = np.nonzero((agree >= LEAST_AGREEING) & differ)
+        hits.append(np.column_stack([some[x], y + i, agree[x, y]]))
+    return np.concatenate(hits) if hits else np.zeros((0, 3), np.int64)
+
+
+def _matrix(signatures_: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures_.to_pylist()), "<u2").reshape(-1, REGISTERS)
+
+
+def _undecided(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Block, node, label and signature of the nodes that agree in enough registers with a node of another component in
+    their bucket. Buckets are looked through block by block: a block's nodes with those of its own and of every other
+    block, inside a task. Blocks in which the same nodes are undecided count once."""
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = apart.join(nodes.select("node", "signature"), "node").withColumn("own", F.pmod(F.xxhash64("node"), count).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     keys = ["bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
-    blocks = dealt.groupBy(*keys).agg(F.collect_list(F.struct("own", "node", "label", "signature")).alias("rows"))
+    blocks = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("node", "label", "signature"))).alias("rows"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lists, low, high in zip(batch.column("rows"), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
-                rows = lists.values
-                yield _near_pairs(rows, low == high, low, best)
-
-    return blocks.select("low", "high", "rows").mapInArrow(compare, "a binary, b binary").distinct()
-
-
-def _near_pairs(rows: pa.StructArray, same: bool, low: int, best: int | None) -> pa.RecordBatch:
-    names = rows.field("node")
-    label = rows.field("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    found = np.frombuffer(b"".join(rows.field("signature").to_pylist()), "<u2").reshape(-1, REGISTERS)
-    own = rows.field("own").to_numpy(zero_copy_only=False)
-    left = np.arange(len(own)) if same else np.flatnonzero(own == low)
-    right = left if same else np.flatnonzero(own != low)
-    hits = []
-    for i in range(0, len(left), 32):
-        some = left[i : i + 32]
-        agree = (found[some][:, None, :] == found[right][None, :, :]).sum(2)
-        x, y = np.nonzero((agree >= LEAST_AGREEING) & (label[some][:, None] != label[right][None, :]) & ((some[:, None] < right[None, :]) | (not same)))
-        hits.append(np.column_stack([some[x], right[y], agree[x, y]]))
-    pairs = np.concatenate(hits) if hits else np.zeros((0, 3), np.int64)
-    if best is not None and len(pairs):
-        pairs = pairs[np.lexsort((-pairs[:, 2], label[pairs[:, 1]], pairs[:, 0]))]
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:, 0] != pairs[:-1, 0]) | (label[pairs[1:, 1]] != label[pairs[:-1, 1]])
-        place = np.arange(len(pairs))
-        pairs = pairs[place - np.maximum.accumulate(np.where(new, place, 0)) < best]
-    a, b = names.take(pa.array(pairs[:, 0])).to_pylist(), names.take(pa.array(pairs[:, 1])).to_pylist()
-    return pa.RecordBatch.from_pydict({"a": pa.array(list(map(min, a, b)), pa.binary()), "b": pa.array(list(map(max, a, b)), pa.binary())})
+            for rows in batch.column("rows"):
+                rows = rows.values
+                label = rows.field("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                pairs = _near_pairs(_matrix(rows.field("signature")), label)
+                if len(pairs):
+                    rows = rows.take(pa.array(np.unique(pairs[:, :2])))
+                    block = int.from_bytes(hashlib.blake2b(b"".join(rows.field("node").to_pylist()), digest_size=8).digest(), "little", signed=True)
+                    columns = [pa.array([block] * len(rows), pa.int64()), *(rows.field(x) for x in ("node", "label", "signature"))]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "node", "label", "signature"])
+
+    return blocks.select("rows").mapInArrow(find, "block bigint, node binary, label binary, signature binary").dropDuplicates(["block", "node"])
+
+
+def _links(undecided: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges(a, b) that connect what is near in each block: the most alike pairs are verified first, on all their shingles, and a pair that
+    is connected already is left out. A block has at most as many edges as nodes."""
+    met = undecided.join(texts, "node").repartition("block").sortWithinPartitions("block")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            block = batch.column("block").to_numpy(zero_copy_only=False)
+            for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
+                piece = batch.slice(part[0], len(part)) if len(part) else None
+                if piece is not None and held and held[0].column("block")[0] != piece.column("block")[0]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                if piece is not None:
+                    held.append(piece)
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            node = table["node"].to_pylist()
+            label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            grams, weights, first = shingles(Words(column(table, "text")))
+            sets = [(grams[x:y], weights[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            pairs = _near_pairs(_matrix(table["signature"]), label)
+            group = label.copy()
+            edges = []
+            for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+                if group[i] != group[j] and probability_jaccard(sets[i], sets[j]) >= similarity - 1e-9:
+                    group[group == group[j]] = group[i]
+                    edges.append((min(node[i], node[j]), max(node[i], node[j])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
+
+    return met.select("block", "node", "label", "signature", "text").mapInArrow(link, "a binary, b binary")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -254,9 +291,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     counts as no id: a class of such rows alone has none. Repeated rows each get the result.
 
     The nodes of some bands' buckets are first compared with the bucket's least node, which joins dense groups of any size in one
-    pass. Only buckets that this leaves in several components are looked at again: their nodes' signatures are compared
-    with each other in blocks, the most alike pairs are verified, and in what is still apart after that all that agree enough. So
-    no link between different texts is lost but by the chances that BAND and LEAST_AGREEING state.
+    pass. Only buckets that this leaves in several components are looked at again: their nodes' signatures are compared with
+    each other in blocks, and the pairs that agree enough are verified until all are connected or found to be apart. So no link
+    that would connect different texts is lost but by the chances that BAND and LEAST_AGREEING state.
     Equal texts, labels and buckets are aggregated before they move. Tables written: signatures, the texts of nodes that share a
     bucket, and small steps.
     """
@@ -276,14 +313,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     tested = cut(_stars(members.filter(F.col("band") < FIRST_BANDS).select("bucket", "node")))
     edges = cut(verified(tested, nodes, texts, similarity))
     labels = connected(edges)
-    for best in (BEST, None):
-        apart = cut(_apart(members.select("bucket", "node"), labels))
-        if apart.isEmpty():
-            break
-        fresh = cut(_near_in_blocks(apart, nodes, best).join(tested, ["a", "b"], "left_anti"))
-        edges = cut(edges.unionByName(verified(fresh, nodes, texts, similarity)))
+    apart = cut(_apart(members.select("bucket", "node"), labels))
+    if not apart.isEmpty():
+        edges = cut(edges.unionByName(_links(cut(_undecided(apart, nodes)), texts, similarity)).distinct())
         labels = connected(edges)
-        tested = tested.unionByName(fresh)
 
     placed = signed_.select("doc_id", "row", "node").join(labels, "node", "left").select("doc_id", "row", F.coalesce("label", "node").alias("label"))
     named = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
