@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 # States in which a run has ended.
 ENDED = ("success", "succeeded", "completed", "finished", "dead", "error", "failed", "killed")
-MAX_STATEMENTS = 200
 
 
 def _first(*names: str) -> Column:
@@ -37,17 +36,13 @@ def latest_run(session: DataFrame) -> DataFrame:
     return session.groupBy("nb_id").agg(best).select("nb_id", *[F.col(f"_b.{c}").alias(c) for c in session.columns if c != "nb_id"])
 
 
-def _listed(execution: DataFrame) -> DataFrame:
-    """The first statements of a session that are read, in execution order."""
-    place = F.row_number().over(W.partitionBy("livy_id").orderBy("execution_id"))
-    return execution.withColumn("_n", place).filter(F.col("_n") <= MAX_STATEMENTS).drop("_n")
-
-
 def observed_run(latest: DataFrame, execution: DataFrame, access: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(counts, access) of each notebook's latest run: statements seen and resolved, and the run's
-    reads and writes; what any statement writes is not also a read of the run.
+    """(counts, access) of each notebook's latest run: all statements seen and resolved, and the run's
+    reads and writes; what any statement writes is not also a read of the run. `reason` says why a run tells nothing: it is not
+    available (no session or application id), has no statements, or none that names a table.
     `execution` is (livy_id, execution_id); `access` (livy_id, execution_id, access, ref)."""
-    used = _listed(execution.join(latest.select("nb_id", "livy_id"), "livy_id"))
+    known = latest.filter((F.col("livy_id") != "") & (F.col("app_id") != ""))
+    used = execution.join(known.select("nb_id", "livy_id"), "livy_id")
     hits = access.join(used.select("nb_id", "livy_id", "execution_id"), ["livy_id", "execution_id"])
     resolved = hits.select("nb_id", "livy_id", "execution_id").distinct().groupBy("nb_id").agg(F.count(F.lit(1)).alias("resolved"))
     seen = used.groupBy("nb_id").agg(F.count(F.lit(1)).alias("seen"))
@@ -57,18 +52,25 @@ def observed_run(latest: DataFrame, execution: DataFrame, access: DataFrame) ->
         .join(resolved, "nb_id", "left")
         .fillna(0, ["seen", "resolved"])
         .withColumn("available", (F.col("livy_id") != "") & (F.col("app_id") != ""))
+        .withColumn(
+            "reason",
+            F.when(F.col("livy_id") == "", "no run")
+            .when(F.col("app_id") == "", "no application id")
+            .when(F.col("seen") == 0, "no statements")
+            .when(F.col("resolved") == 0, "none resolved"),
+        )
     )
     run = hits.groupBy("nb_id", "ref").agg(F.max("access").alias("access")).select("nb_id", "access", "ref")
     return counts, run
 
 
 def statements(execution: DataFrame, access: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(statements, access): each statement that names a table, its description cut to 300 characters,
-    with the tables as rows; statements without a table count but are not listed."""
+    """(statements, access): each statement that names a table, with the tables as rows;
+    statements without a table count but are not listed."""
     keep = access.select("livy_id", "execution_id").distinct()
-    rows = _listed(execution).join(keep, ["livy_id", "execution_id"], "left_semi")
+    rows = execution.join(keep, ["livy_id", "execution_id"], "left_semi")
     return rows.select(
-        "livy_id", "execution_id", F.substring("description", 1, 300).alias("description"), "status", "submitted", "duration_ms"
+        "livy_id", "execution_id", "description", "status", "submitted", "duration_ms"
     ), access.join(rows.select("livy_id", "execution_id"), ["livy_id", "execution_id"], "left_semi").distinct()
 
 

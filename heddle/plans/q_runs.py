@@ -38,8 +38,9 @@ binding("b_k", """
 SELECT event_id, user_id, ts, event_type, value, cast(replace(replace(split_part(props, ':', 2), '}', ''), ' ', '') AS int) AS k FROM events
 """)
 
-STATEMENT_SQL = """SELECT concat('lv', event_id) AS livy_id, i AS execution_id, k, CASE WHEN i = 3 THEN 'none' ELSE concat('x', k % 10 + i) END AS leaf
-  FROM b_k JOIN (SELECT {series} AS i) s ON i <= CASE WHEN event_id % 100 = 0 THEN 250 ELSE k % 3 + 1 END"""
+STATEMENT_SQL = """SELECT livy_id, i AS execution_id, k, CASE WHEN i = 3 THEN 'none' ELSE concat('x', k % 10 + i) END AS leaf
+  FROM (SELECT concat('lv', event_id) AS livy_id, k, {series} AS i FROM b_k) s"""
+LAST = "CASE WHEN event_id % 100 = 0 THEN 250 ELSE k % 3 + 1 END"
 
 
 def _executions(t):
@@ -47,7 +48,7 @@ def _executions(t):
         'COMPLETED' AS status, cast(k AS string) AS submitted, k * 10 AS duration_ms,
         CASE WHEN execution_id = 3 THEN '(1) LocalTableScan\nArguments: [a]\n' ELSE concat('(1) Scan parquet\nLocation: X [abfss://onelake@a/W/L/Tables/x', k % 10 + execution_id,
            ']\n\n(2) AppendData\nArguments: abfss://onelake@a/W/L/Tables/y', k % 10, ', x\n') END AS plan
-        FROM (""" + STATEMENT_SQL.format(series="explode(sequence(1, 250))") + ")")
+        FROM (""" + STATEMENT_SQL.format(series=f"explode(sequence(1, {LAST}))") + ")")
 
 
 def _plan_access(t):
@@ -60,17 +61,19 @@ def _plan_access(t):
     return ex.drop("key", "plan"), cut(access)
 
 
-RUN_ACCESS = "b AS (" + STATEMENT_SQL.format(series="unnest(generate_series(1, 250))") + """),
-acc AS (SELECT livy_id, execution_id, 'read' AS access, concat('W/L/', leaf) AS ref FROM b WHERE leaf <> 'none' AND execution_id <= 200
-  UNION SELECT livy_id, execution_id, 'write', concat('W/L/y', k % 10) FROM b WHERE leaf <> 'none' AND execution_id <= 200)"""
+RUN_ACCESS = "b AS (" + STATEMENT_SQL.format(series=f"unnest(generate_series(1, {LAST}))") + """),
+acc AS (SELECT livy_id, execution_id, 'read' AS access, concat('W/L/', leaf) AS ref FROM b WHERE leaf <> 'none'
+  UNION SELECT livy_id, execution_id, 'write', concat('W/L/y', k % 10) FROM b WHERE leaf <> 'none')"""
 
 
 @query("run_observed", f"""
 WITH {RUN_ACCESS}, l AS {LATEST}
 SELECT l.nb_id, l.livy_id, l.app_id, l.state, l.submitted_at, l.app_id <> '' AS available, count(DISTINCT b.execution_id) AS seen,
        count(DISTINCT CASE WHEN b.leaf <> 'none' THEN b.execution_id END) AS resolved,
-       (SELECT string_agg(DISTINCT concat(access, ' ', ref), ',' ORDER BY concat(access, ' ', ref)) FROM acc WHERE acc.livy_id = l.livy_id) AS tables
-FROM l JOIN b ON l.livy_id = b.livy_id AND b.execution_id <= 200 GROUP BY 1, 2, 3, 4, 5, 6""")
+       CASE WHEN l.app_id = '' THEN 'no application id' WHEN count(b.execution_id) = 0 THEN 'no statements'
+            WHEN count(CASE WHEN b.leaf <> 'none' THEN 1 END) = 0 THEN 'none resolved' END AS reason,
+       (SELECT string_agg(DISTINCT concat(access, ' ', ref), ',' ORDER BY concat(access, ' ', ref)) FROM acc WHERE acc.livy_id = l.livy_id AND l.app_id <> '') AS tables
+FROM l LEFT JOIN b ON l.livy_id = b.livy_id AND l.app_id <> '' GROUP BY 1, 2, 3, 4, 5, 6""")
 def _(t):
     executions, access = _plan_access(t)
     counts, run = runs.observed_run(_latest(t), executions, access)
@@ -80,7 +83,7 @@ def _(t):
 
 @query("run_statements", f"""
 WITH {RUN_ACCESS}
-SELECT acc.livy_id, cast(acc.execution_id AS integer) AS execution_id, access, ref, substr(repeat(concat('run ', k, ' '), 60), 1, 300) AS description, k * 10 AS duration_ms
+SELECT acc.livy_id, cast(acc.execution_id AS integer) AS execution_id, access, ref, repeat(concat('run ', k, ' '), 60) AS description, k * 10 AS duration_ms
 FROM acc JOIN b ON acc.livy_id = b.livy_id AND acc.execution_id = b.execution_id""")
 def _(t):
     rows, access = runs.statements(*_plan_access(t))
