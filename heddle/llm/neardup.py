@@ -245,9 +245,37 @@ def _undecided(apart: DataFrame, nodes: DataFrame) -> DataFrame:
     return blocks.select("rows").mapInArrow(find, "block bigint, node binary, label binary, signature binary").dropDuplicates(["block", "node"])
 
 
+def _similar(sets: list[tuple[np.ndarray, np.ndarray]], pairs: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (i, j) of weighted sets have at least the similarity. Common elements of sets without weights are counted for
+    all pairs at once, some elements at a time."""
+    out = np.zeros(len(pairs), bool)
+    plain = np.array([w.max(initial=0) <= 1 for _, w in sets])
+    sizes = np.array([len(g) for g, _ in sets])
+    counted = plain[pairs[:, 0]] & plain[pairs[:, 1]]
+    if counted.any():
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        element, n = np.unique(np.concatenate([g for g, _ in sets]), return_inverse=True, return_counts=True)[1:]
+        several = n[element] > 1
+        owner, element = owner[several], np.unique(element[several], return_inverse=True)[1]
+        order = np.argsort(element, kind="stable")
+        owner, element = owner[order], element[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(element.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(element, [low, low + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[owner[a:b], element[a:b] - low] = 1
+            common += part @ part.T
+        i, j = pairs[counted, 0], pairs[counted, 1]
+        both = common[i, j].astype(np.float64)
+        out[counted] = both / (sizes[i] + sizes[j] - both) >= similarity - 1e-9
+    for k in np.flatnonzero(~counted).tolist():
+        out[k] = probability_jaccard(sets[pairs[k, 0]], sets[pairs[k, 1]]) >= similarity - 1e-9
+    return out
+
+
 def _links(undecided: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Edges(a, b) that connect what is near in each block: the most alike pairs are verified first, on all their shingles, and a pair that
-    is connected already is left out. A block has at most as many edges as nodes."""
+    """Edges(a, b) that connect what is similar in each block, on all shingles; a pair that is connected already is left out, so
+    that a block has at most as many edges as nodes."""
     met = undecided.join(texts, "node").repartition("block").sortWithinPartitions("block")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -273,8 +301,8 @@ def _links(undecided: DataFrame, texts: DataFrame, similarity: float) -> DataFra
             pairs = _near_pairs(_matrix(table["signature"]), label)
             group = label.copy()
             edges = []
-            for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
-                if group[i] != group[j] and probability_jaccard(sets[i], sets[j]) >= similarity - 1e-9:
+            for i, j, _ in pairs[_similar(sets, pairs, similarity)].tolist():
+                if group[i] != group[j]:
                     group[group == group[j]] = group[i]
                     edges.append((min(node[i], node[j]), max(node[i], node[j])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
