@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.session import cut
+from heddle.session import cut, generation
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -21,7 +21,7 @@ TABLES = (
 ).split()
 
 BINDINGS: dict[str, str] = {}
-_LANDED: dict[tuple[str, str, str], DataFrame] = {}
+_LANDED: dict[tuple[str, int, str, str], DataFrame] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -80,7 +80,7 @@ class Inputs:
 
     def __call__(self, name: str) -> DataFrame:
         """A landed lineage table: derived once per session and directory, then read."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, generation(self.spark), self.sf_dir, name)
         if key not in _LANDED:
             _LANDED[key] = cut(self.sql(BINDINGS[name]))
         return _LANDED[key]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-checkpoint-"))
+    spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/heddle-steps")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,8 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: How often each application's steps have been deleted; what refers to steps is out of date after that.
+_FORGOTTEN: dict[str, int] = {}
+
+
+def generation(spark: SparkSession) -> int:
+    return _FORGOTTEN.get(spark.sparkContext.applicationId, 0)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete every step this session has written to its checkpoint folder."""
+    _FORGOTTEN[spark.sparkContext.applicationId] = generation(spark) + 1
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         path = spark._jvm.org.apache.hadoop.fs.Path(found.get())

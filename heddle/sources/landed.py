@@ -122,6 +122,11 @@ LAKEHOUSE_NAME = r'"default_lakehouse_name"\s*:\s*"([^"]+)"'
 IPYNB = "cells array<struct<cell_type: string, source: string>>"
 
 
+def payload_text(payload: Column) -> Column:
+    """Text of a base64 part: null where it is no base64, bytes that are no UTF-8 replaced; one bad part stops no other."""
+    return F.make_valid_utf8(F.try_to_binary(payload, F.lit("base64")).cast("string"))
+
+
 def notebook_text(definition: DataFrame) -> DataFrame:
     """(nb_id, lakehouse, text) of a definition (nb_id, lakehouse, parts array of (path, payload)):
     the canonical content part, else the first code part; no code part, no row."""
@@ -129,7 +134,7 @@ def notebook_text(definition: DataFrame) -> DataFrame:
     code = F.filter("parts", lambda p: path(p).endswith(".py") | path(p).endswith(".ipynb"))
     best = F.filter(code, lambda p: path(p).isin("notebook-content.py", "notebook-content.ipynb"))
     chosen = F.coalesce(F.get(best, F.lit(0)), F.get(code, F.lit(0)))
-    return definition.select("nb_id", "lakehouse", F.decode(F.unbase64(chosen["payload"]), "UTF-8").alias("text")).filter("text is not null")
+    return definition.select("nb_id", "lakehouse", payload_text(chosen["payload"]).alias("text")).filter("text is not null")
 
 
 def _is_json(text: Column) -> Column:
@@ -189,7 +194,7 @@ PIPELINE = f"activities {ACTIVITY}, properties struct<activities: {ACTIVITY}>"
 def pipeline_activities(definition: DataFrame) -> DataFrame:
     """Activities of pipeline definitions (pipeline_id, parts); nameless ones dropped, dependencies as objects or names."""
     part = F.get(F.filter("parts", lambda p: F.lower(F.coalesce(p["path"], F.lit(""))).endswith("pipeline-content.json")), F.lit(0))
-    doc = F.from_json(F.decode(F.unbase64(part["payload"]), "UTF-8"), PIPELINE)
+    doc = F.from_json(payload_text(part["payload"]), PIPELINE)
     rows = definition.select("pipeline_id", doc.alias("d")).select(
         "pipeline_id", F.posexplode(F.coalesce("d.properties.activities", "d.activities")).alias("ordinal", "a")
     )
@@ -433,11 +438,14 @@ def definition_sheet(sheet: DataFrame) -> DataFrame:
 
 
 def read_definition_sheets(spark, path: str) -> DataFrame:
-    """CSV sheets, one table per file, named after its GUID. The row number is the line's place in the file, so
-    sheets must fit a task each; they are spreadsheets."""
-    one = spark.read.option("wholetext", True).text(path).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?$", 1).alias("table_guid"), "value"
+    """CSV sheets, one table per file, named after its GUID; quoted cells may hold line breaks and doubled quotes. A sheet is read by
+    one task, in its order."""
+    cells = spark.read.csv(path, schema="a string, b string", multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    cells = cells.select(
+        F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?$", 1).alias("table_guid"),
+        F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace("a", "^\ufeff", "").alias("a"),
+        "b",
     )
-    lines = one.select("table_guid", F.posexplode(F.split("value", r"\r?\n")).alias("row_no", "line"))
-    cells = lines.select("table_guid", "row_no", F.from_csv("line", "a string, b string").alias("c"))
-    return definition_sheet(cells.select("table_guid", "row_no", "c.a", "c.b"))
+    first = cells.groupBy("table_guid").agg(F.min("at").alias("first"))
+    return definition_sheet(cells.join(first, "table_guid").select("table_guid", (F.col("at") - F.col("first")).cast("int").alias("row_no"), "a", "b"))

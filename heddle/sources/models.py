@@ -90,7 +90,7 @@ def bundle_models(bundle: DataFrame, now: int) -> DataFrame:
 
 def read_bundles(spark: SparkSession, path: str, now: int) -> DataFrame:
     """Bundle files of a folder, one JSON value each."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return bundle_models(files.select(F.input_file_name().alias("bundle_id"), F.col("value").alias("doc")), now)
 
 
