@@ -90,7 +90,9 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     wa, wb = np.zeros(len(every)), np.zeros(len(every))
     wa[np.searchsorted(every, a[0])] = a[1]
     wb[np.searchsorted(every, b[0])] = b[1]
-    kinds, counts = np.unique(np.column_stack([wa, wb]), axis=0, return_counts=True)
+    base = int(wb.max(initial=0)) + 1
+    kinds, counts = np.unique((wa * base + wb).astype(np.int64), return_counts=True)
+    kinds = np.column_stack([kinds // base, kinds % base])
     total = 0.0
     for (x, y), n in zip(kinds.tolist(), counts.tolist(), strict=True):
         if x and y:
@@ -246,9 +248,9 @@ def _undecided(apart: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _similar(sets: list[tuple[np.ndarray, np.ndarray]], pairs: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs (i, j) of weighted sets have at least the similarity. Common elements of sets without weights are counted for
-    all pairs at once, some elements at a time."""
-    out = np.zeros(len(pairs), bool)
+    """Which pairs (i, j) of weighted sets have at least the similarity: 1 or 0, and 2 for pairs with weights, which are for
+    `probability_jaccard`. Common elements of sets without weights are counted for all pairs at once, some elements at a time."""
+    out = np.full(len(pairs), 2, np.int8)
     plain = np.array([w.max(initial=0) <= 1 for _, w in sets])
     sizes = np.array([len(g) for g, _ in sets])
     counted = plain[pairs[:, 0]] & plain[pairs[:, 1]]
@@ -268,8 +270,6 @@ def _similar(sets: list[tuple[np.ndarray, np.ndarray]], pairs: np.ndarray, simil
         i, j = pairs[counted, 0], pairs[counted, 1]
         both = common[i, j].astype(np.float64)
         out[counted] = both / (sizes[i] + sizes[j] - both) >= similarity - 1e-9
-    for k in np.flatnonzero(~counted).tolist():
-        out[k] = probability_jaccard(sets[pairs[k, 0]], sets[pairs[k, 1]]) >= similarity - 1e-9
     return out
 
 
@@ -301,8 +301,10 @@ def _links(undecided: DataFrame, texts: DataFrame, similarity: float) -> DataFra
             pairs = _near_pairs(_matrix(table["signature"]), label)
             group = label.copy()
             edges = []
-            for i, j, _ in pairs[_similar(sets, pairs, similarity)].tolist():
-                if group[i] != group[j]:
+            answer = _similar(sets, pairs, similarity)
+            order = np.lexsort((-pairs[:, 2], answer))  # what is sure first, then the most alike
+            for i, j, _, sure in np.column_stack([pairs, answer])[order[answer[order] > 0]].tolist():
+                if group[i] != group[j] and (sure == 1 or probability_jaccard(sets[i], sets[j]) >= similarity - 1e-9):
                     group[group == group[j]] = group[i]
                     edges.append((min(node[i], node[j]), max(node[i], node[j])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
