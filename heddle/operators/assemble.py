@@ -153,14 +153,14 @@ def item_rollup(node: DataFrame, edge: DataFrame) -> tuple[DataFrame, DataFrame]
 
 # --- pipelines -----------------------------------------------------------------
 
-def expand_pipelines(activity: DataFrame, max_depth: int = 5) -> tuple[DataFrame, DataFrame]:
+def expand_pipelines(activity: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(activities, dependencies) of every pipeline with its children spliced in.
 
     `activity` is (workspace_id, pipeline_id, ordinal, name, type, depends_on, child_pipeline_id, child_workspace_id).
     activities: (workspace_id, root, name, holder, type, depth), `name` prefixed by the activities that invoke it;
     dependencies: (workspace_id, root, name, depends_on). A child's roots depend on the invoking activity; what depended on that
-    one now depends on the child's leaves. No pipeline twice on one path, at most `max_depth` levels; an unreadable
-    child leaves its activity as it is.
+    one now depends on the child's leaves. No pipeline twice on one path, which ends the expansion unless
+    `max_depth` ends it earlier; an unreadable child leaves its activity as it is.
     """
     acts = cut(activity.withColumn("_key", F.struct(F.lower("workspace_id").alias("w"), F.lower("pipeline_id").alias("p"))))
     root = ["_rw", "root"]
@@ -169,7 +169,7 @@ def expand_pipelines(activity: DataFrame, max_depth: int = 5) -> tuple[DataFrame
         "child_workspace_id", F.coalesce("depends_on", F.expr("cast(array() as array<string>)")).alias("_deps"), F.expr("cast(array() as array<struct<w: string, p: string>>)").alias("_seen"),
     )
     levels = [cut(level)]
-    for depth in range(max_depth):
+    while max_depth is None or len(levels) <= max_depth:
         child = F.struct(F.lower(F.coalesce(F.nullif("child_workspace_id", F.lit("")), "_ws")).alias("w"), F.lower("child_pipeline_id").alias("p"))
         calls = levels[-1].filter("coalesce(child_pipeline_id, '') <> ''").withColumn("_key", child).filter(~F.array_contains("_seen", F.col("_key")))
         kids = calls.select(*root, F.col("name").alias("holder"), "_key", F.array_append("_seen", F.col("_key")).alias("_seen")).join(

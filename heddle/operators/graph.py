@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.session import cut
+from heddle.session import cut, placed
 
 M = "model_id"
 
@@ -135,18 +135,12 @@ def impact_tally(reached: DataFrame) -> DataFrame:
     return reached.groupBy(M, "start", layer.alias("layer_name")).agg(F.count(F.lit(1)).alias("reached"))
 
 
-def impact_list(reached: DataFrame, entity: DataFrame, limit: int = 40) -> DataFrame:
-    """The report list: first `limit` reached entities per start by path, with the true total."""
+def impact_list(reached: DataFrame, entity: DataFrame, limit: int | None = None) -> DataFrame:
+    """The report list: reached entities per start by path, with the true total; all unless a `limit` is asked for."""
     named = reached.join(entity.select(M, "entity_id", "path"), [M, "entity_id"])
     total = reached.groupBy(M, "start").agg(F.count(F.lit(1)).alias("total"))
-    rank = F.row_number().over(W.partitionBy(M, "start").orderBy("path", "entity_id"))
-    return (
-        named.withColumn("position", rank)
-        .filter(F.col("position") <= limit)
-        .join(total, [M, "start"])
-        .withColumn("truncated", F.col("total") > limit)
-        .select(M, "start", "position", "entity_id", "path", "total", "truncated")
-    )
+    ranked = placed(named, [M, "start"], ["path", "entity_id"], "position", limit)
+    return ranked.join(total, [M, "start"]).select(M, "start", "position", "entity_id", "path", "total")
 
 
 def impact_by_object(starts: DataFrame, entity: DataFrame, transition: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from heddle.operators.graph import M, descendants
-from heddle.session import cut, small
+from heddle.session import cut, placed, small
 from heddle.sources.landed import CAMEL, folded
 
 TIERS = ("exact", "normalized", "partial")
@@ -41,6 +41,28 @@ def grams(text: Column, n: int) -> Column:
 
 # --- name search ------------------------------------------------------------
 
+def containing(needle: DataFrame, hay: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, _q, _e): the distinct texts `_e` of `hay` that hold a text `_q` of `needle`.
+    Each `_q` reads the posting list of its rarest gram; a gram that no text has proves that none holds it."""
+    asked = cut(needle.select(*scope, "_q").filter("_q <> ''").distinct().withColumn("_w", F.least(F.length("_q"), F.lit(3))))
+    widths = sorted(r["_w"] for r in asked.select("_w").distinct().collect()) or [3]  # of 1, 2 and 3
+    own = F.when(F.col("_w") == 3, grams(F.col("_q"), 3)).when(F.col("_w") == 2, grams(F.col("_q"), 2)).otherwise(grams(F.col("_q"), 1))
+    wanted = asked.select(*scope, "_q", F.explode(own).alias("_g"))
+    texts = hay.select(*scope, "_e").distinct()
+    posting = texts.select(*scope, "_e", F.explode(F.concat(*[grams(F.col("_e"), n) for n in widths])).alias("_g"))
+    counts = (
+        posting.join(wanted.select(*scope, "_g").distinct(), [*scope, "_g"], "left_semi")
+        .groupBy(*scope, "_g")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    rarest = (
+        wanted.join(counts, [*scope, "_g"], "left")
+        .groupBy(*scope, "_q")
+        .agg(F.min_by("_g", F.struct(F.coalesce("_c", F.lit(0)), "_g")).alias("_g"))
+    )
+    return rarest.join(posting, [*scope, "_g"]).filter(F.contains("_e", F.col("_q"))).select(*scope, "_q", "_e")
+
+
 def name_tiers(query: DataFrame, entity: DataFrame) -> DataFrame:
     """(query_id, model, entity_id, tier) before filters. `query` is (query_id, model, name).
 
@@ -60,22 +82,8 @@ def name_tiers(query: DataFrame, entity: DataFrame) -> DataFrame:
     keys = q.select("query_id", M, F.explode(F.array_distinct(F.array("_q", "_qs"))).alias("_e"))
     alike = keys.join(e.filter("_e <> ''"), [M, "_e"]).select("query_id", M, "entity_id", tier(1))
     alike2 = q.select("query_id", M, F.col("_q").alias("_es")).join(e, [M, "_es"]).select("query_id", M, "entity_id", tier(1))
-    # The query inside the name: look up the rarest gram of the query, then check.
-    length = F.least(F.length("_q"), F.lit(3))
-    size = F.col("_n")
-    posting = e.select(M, "entity_id", "_e", F.explode(F.concat(*[grams(F.col("_e"), n) for n in (1, 2, 3)])).alias("_g"))
-    needle = q.withColumn("_n", length).select(
-        "query_id", M, "_q", F.explode(F.when(size == 3, grams(F.col("_q"), 3)).when(size == 2, grams(F.col("_q"), 2)).otherwise(grams(F.col("_q"), 1))).alias("_g")
-    )
-    wanted = posting.join(needle.select(M, "_g").distinct(), [M, "_g"], "left_semi")
-    counts = wanted.groupBy(M, "_g").agg(F.count(F.lit(1)).alias("_c"))
-    # A gram no name has proves the query is inside none.
-    rarest = (
-        needle.join(counts, [M, "_g"], "left")
-        .groupBy("query_id", M, "_q")
-        .agg(F.min_by("_g", F.coalesce("_c", F.lit(0))).alias("_g"))
-    )
-    inside = rarest.join(posting, [M, "_g"]).filter(F.contains("_e", F.col("_q"))).select("query_id", M, "entity_id", tier(2))
+    # The query inside the name.
+    inside = q.join(containing(q, e, [M]), [M, "_q"]).join(e, [M, "_e"]).select("query_id", M, "entity_id", tier(2))
     # The name inside the query: every long enough part of the query is an exact key.
     least = F.ceil(F.length("_q") * 7 / 10).cast("int")
     parts = F.flatten(
@@ -91,23 +99,26 @@ def name_tiers(query: DataFrame, entity: DataFrame) -> DataFrame:
     return every.groupBy("query_id", M, "entity_id").agg(F.min("tier").alias("tier"))
 
 
-def resolve_names(query: DataFrame, entity: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+def _judged(hits: DataFrame, query: DataFrame, entity: DataFrame) -> DataFrame:
+    """Hits (query_id, model, entity_id) with the entity's path and whether the query's kind and layer let it pass."""
+    asked = query.select("query_id", F.col("kind").alias("_kind"), F.coalesce(squash("layer"), F.lit("")).alias("_layer"))
+    fits = (F.col("_kind").isNull() | F.col("_kind").eqNullSafe(F.col("kind"))) & (
+        (F.col("_layer") == "") | F.col("_layer").eqNullSafe(squash("layer_name"))
+    )
+    place = entity.select(M, "entity_id", "kind", "layer_name", "path")
+    return hits.join(place, [M, "entity_id"]).join(asked, "query_id").withColumn("_fits", fits)
+
+
+def resolve_names(query: DataFrame, entity: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches, answers) for queries (query_id, model, name, kind, layer), null filters meaning any.
 
-    Matches are the first `limit` by tier and path; answers carry the true count, the best tier
-    and how many exact or normalized names only the filters removed.
+    Matches are ranked by tier and path, all of them unless a `limit` is asked for; answers carry the true
+    count, the best tier and how many exact or normalized names only the filters removed.
     """
-    hits = name_tiers(query, entity).join(
-        entity.select(M, "entity_id", "kind", "layer_name", "path"), [M, "entity_id"]
-    ).join(query.select("query_id", F.col("kind").alias("_kind"), squash("layer").alias("_layer")), "query_id")
-    fits = (F.col("_kind").isNull() | (F.col("kind") == F.col("_kind"))) & (
-        F.coalesce("_layer", F.lit("")).eqNullSafe("") | (squash("layer_name") == F.col("_layer"))
-    )
-    judged = cut(hits.withColumn("_fits", fits))
+    judged = cut(_judged(name_tiers(query, entity), query, entity))
     kept = judged.filter("_fits")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("tier", "path", "entity_id"))
     name = lambda c: F.when(c == 0, TIERS[0]).when(c == 1, TIERS[1]).when(c == 2, TIERS[2])
-    matches = kept.withColumn("position", rank).filter(F.col("position") <= limit).select(
+    matches = placed(kept, ["query_id"], ["tier", "path", "entity_id"], "position", limit).select(
         "query_id", "position", "entity_id", name(F.col("tier")).alias("tier"), "path"
     )
     found = judged.groupBy("query_id").agg(
@@ -131,32 +142,27 @@ def resolve_layers(query: DataFrame, entity: DataFrame) -> DataFrame:
     return query.select("query_id", M, squash("layer").alias("_k")).join(first, [M, "_k"], "left").select("query_id", "layer_name")
 
 
-def search_hits(query: DataFrame, entity: DataFrame, limit: int = 50) -> DataFrame:
-    """In-model search: (query_id, kind, name, rank, entities) groups, exact before prefix before substring."""
+def search_hits(query: DataFrame, entity: DataFrame, limit: int | None = None) -> DataFrame:
+    """In-model search: (query_id, position, kind, name, rank, entities) groups, exact before prefix before substring."""
     q = query.select("query_id", M, F.lower(F.trim("name")).alias("_q")).filter("_q <> ''")
     names = cut(entity.groupBy(M, "kind", "name").agg(F.count(F.lit(1)).alias("entities")).withColumn("_e", F.lower("name")))
-    width = F.least(F.length("_q"), F.lit(3))
-    posting = names.withColumn("_g", F.explode(F.concat(*[grams(F.col("_e"), n) for n in (1, 2, 3)])))
-    hit = q.withColumn("_g", F.substring(F.col("_q"), F.lit(1), width)).join(posting, [M, "_g"]).filter(F.contains("_e", F.col("_q")))
+    hit = q.join(containing(q, names, [M]), [M, "_q"]).join(names, [M, "_e"])
     rank = F.when(F.col("_e") == F.col("_q"), 0).when(F.startswith("_e", F.col("_q")), 1).otherwise(2)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "_e", "name", "kind"))
-    ranked = hit.withColumn("rank", rank).withColumn("position", place)
-    return ranked.filter(F.col("position") <= limit).select("query_id", "position", "kind", "name", "rank", "entities")
+    ranked = placed(hit.withColumn("rank", rank), ["query_id"], ["rank", "_e", "name", "kind"], "position", limit)
+    return ranked.select("query_id", "position", "kind", "name", "rank", "entities")
 
 
-def search_catalog(query: DataFrame, entry: DataFrame, limit: int = 40) -> tuple[DataFrame, DataFrame]:
-    """(matches, totals) of catalogue entries by name: exact before substring, an optional kind."""
+def search_catalog(query: DataFrame, entry: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(matches, totals) of catalogue entries by name: exact before substring, an optional kind.
+    Totals count every match, whatever the `limit`."""
     q = query.select("query_id", F.lower(F.trim("name")).alias("_q"), F.col("kind").alias("_kind")).filter("_q <> ''")
     e = entry.withColumn("_e", F.lower(F.trim("name")))
-    posting = e.withColumn("_g", F.explode(F.concat(*[grams(F.col("_e"), n) for n in (1, 2, 3)])))
-    gram = F.substring(F.col("_q"), F.lit(1), F.least(F.length("_q"), F.lit(3)))
-    hit = q.withColumn("_g", gram).join(posting, "_g").filter(
-        F.contains("_e", F.col("_q")) & (F.col("_kind").isNull() | (F.col("kind") == F.col("_kind")))
+    hit = q.join(containing(q, e, []), "_q").join(e, "_e").filter(
+        F.col("_kind").isNull() | (F.col("kind") == F.col("_kind"))
     ).withColumn("exact", F.col("_e") == F.col("_q"))
     hit = cut(hit.select("query_id", "exact", *entry.columns))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("exact").desc(), "name", "kind", "workspace_id", "id"))
-    matches = hit.withColumn("position", place).filter(F.col("position") <= limit)
-    totals = hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")).withColumn("truncated", F.col("total") > limit)
+    matches = placed(hit, ["query_id"], [F.col("exact").desc(), "name", "kind", "workspace_id", "id"], "position", limit)
+    totals = hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     return matches, totals
 
 
@@ -212,18 +218,20 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def fuzzy_suggestions(query: DataFrame, entity: DataFrame, limit: int = 20) -> DataFrame:
-    """(query_id, position, entity_id, path): near names for queries without any tier hit. Suggestions, never matches.
+def fuzzy_suggestions(query: DataFrame, entity: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query_id, position, entity_id, path): near names that pass the query's kind and layer, for queries none of whose
+    tier hits passes them. Suggestions, never matches.
     The block ratio cannot exceed the character overlap, so the overlap join holds every pair."""
-    missed = query.join(name_tiers(query, entity).select("query_id").distinct(), "query_id", "left_anti")
+    answered = _judged(name_tiers(query, entity), query, entity).filter("_fits").select("query_id").distinct()
+    missed = query.join(answered, "query_id", "left_anti")
     needle = cut(missed.select("query_id", M, squash(F.trim("name")).alias("_q")).filter("_q <> ''"))
-    names = cut(entity.select(M, "entity_id", "path", squash("name").alias("_e")).filter("_e <> ''"))
+    names = cut(entity.select(M, "entity_id", squash("name").alias("_e")).filter("_e <> ''"))
     left = needle.select(M, F.col("_q").alias("id")).distinct().withColumn("tokens", _characters(F.col("id")))
     right = names.select(M, F.col("_e").alias("id")).distinct().withColumn("tokens", _characters(F.col("id")))
     near = overlap_pairs(left, right, [M], FUZZY_CUTOFF).filter(sequence_ratio("left_id", "right_id") >= FUZZY_CUTOFF)
     hit = needle.join(near.withColumnRenamed("left_id", "_q").withColumnRenamed("right_id", "_e"), [M, "_q"]).join(names, [M, "_e"])
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("path", "entity_id"))
-    return hit.withColumn("position", place).filter(F.col("position") <= limit).select("query_id", "position", "entity_id", "path")
+    fitting = _judged(hit.select("query_id", M, "entity_id"), query, entity).filter("_fits").select("query_id", "entity_id", "path")
+    return placed(fitting, ["query_id"], ["path", "entity_id"], "position", limit).select("query_id", "position", "entity_id", "path")
 
 
 # --- filters ------------------------------------------------------------------
@@ -368,17 +376,36 @@ def fast_pairs(left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame
 
 
 def levenshtein_pairs(left: DataFrame, right: DataFrame, scope: list[str], confidence: int) -> DataFrame:
-    """(scope, source, target, score) of values with an edit similarity of at least `confidence` (50 or more).
+    """(scope, source, target, score) of values with an edit similarity of at least `confidence`; never of zero.
 
     With at most k edits, one of k+1 even segments of the right value is found unchanged in the left one, at
-    most k places off. Segments are joined by value for every pair of lengths that can qualify.
+    most k places off. Segments are joined by value for every pair of lengths that can qualify. Below 50 a
+    segment can be empty; there the characters in common, which no alignment exceeds, select the candidates.
     """
-    if confidence < 50:
-        raise ValueError("levenshtein_pairs needs a confidence of at least 50")
+    confidence = max(confidence, 1)
     loss = 1 - (confidence - 0.5) / 100
     a = left.filter("coalesce(value, '') <> ''").select(*scope, F.col("value").alias("_a")).distinct().withColumn("_la", F.length("_a"))
     b = right.filter("coalesce(value, '') <> ''").select(*scope, F.col("value").alias("_b")).distinct().withColumn("_lb", F.length("_b"))
 
+    met = _alike_characters(a, b, scope, 1 - loss) if confidence < 50 else _shared_segments(a, b, scope, loss)
+    longest = F.greatest(F.length("_a"), F.length("_b"))
+    scored = met.withColumn("score", F.floor((1 - F.levenshtein("_a", "_b") / longest) * 100 + 0.5)).filter(F.col("score") >= confidence)
+    s = left.select(*scope, F.col("id").alias("source"), F.col("value").alias("_a"))
+    t = right.select(*scope, F.col("id").alias("target"), F.col("value").alias("_b"))
+    return scored.join(s, [*scope, "_a"]).join(t, [*scope, "_b"]).select(*scope, "source", "target", "score")
+
+
+def _alike_characters(a: DataFrame, b: DataFrame, scope: list[str], share: float) -> DataFrame:
+    """Candidates (scope, _a, _b): values with that share of their characters in common."""
+    side = lambda df, c: cut(df.select(*scope, F.col(c).alias("id")).withColumn("tokens", _characters(F.col("id"))))
+    return overlap_pairs(side(a, "_a"), side(b, "_b"), scope, share).select(
+        *scope, F.col("left_id").alias("_a"), F.col("right_id").alias("_b")
+    )
+
+
+def _shared_segments(a: DataFrame, b: DataFrame, scope: list[str], loss: float) -> DataFrame:
+    """Candidates (scope, _a, _b): values that share an even segment at nearly the same place."""
+
     def lengths(own: str, other: str, df: DataFrame) -> DataFrame:
         low = F.greatest(F.lit(1), F.ceil(F.col(own) * (1 - loss) - 1e-9)).cast("int")
         high = F.floor(F.col(own) / (1 - loss) + 1e-9).cast("int")
@@ -398,12 +425,7 @@ def levenshtein_pairs(left: DataFrame, right: DataFrame, scope: list[str], confi
     probe = probe.select("*", width.alias("_w"), F.explode(spots).alias("_p")).select(
         *scope, "_a", "_la", "_lb", "_i", F.substring("_a", F.col("_p"), F.col("_w")).alias("_s")
     ).distinct()
-    met = probe.join(cutup.drop("_k"), [*scope, "_la", "_lb", "_i", "_s"]).select(*scope, "_a", "_b").distinct()
-    longest = F.greatest(F.length("_a"), F.length("_b"))
-    scored = met.withColumn("score", F.floor((1 - F.levenshtein("_a", "_b") / longest) * 100 + 0.5)).filter(F.col("score") >= confidence)
-    s = left.select(*scope, F.col("id").alias("source"), F.col("value").alias("_a"))
-    t = right.select(*scope, F.col("id").alias("target"), F.col("value").alias("_b"))
-    return scored.join(s, [*scope, "_a"]).join(t, [*scope, "_b"]).select(*scope, "source", "target", "score")
+    return probe.join(cutup.drop("_k"), [*scope, "_la", "_lb", "_i", "_s"]).select(*scope, "_a", "_b").distinct()
 
 
 def dice_pairs(left: DataFrame, right: DataFrame, scope: list[str], confidence: int) -> DataFrame:

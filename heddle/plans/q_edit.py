@@ -90,8 +90,8 @@ def _(t):
 
 
 @query("prop_rename", """
-SELECT p.model_id, p.entity_id, CASE WHEN p.key = 'Segment' THEN 'Note' ELSE p.key END AS key, p.value FROM b_property p
-WHERE NOT (p.key = 'Note' AND EXISTS (SELECT 1 FROM b_property q WHERE q.model_id = p.model_id AND q.entity_id = p.entity_id AND q.key = 'Segment'))""")
+SELECT model_id, entity_id, CASE WHEN key = 'Segment' THEN 'Note' ELSE key END AS key, value
+FROM (SELECT *, bool_or(key = 'Segment') OVER (PARTITION BY model_id, entity_id) AS renamed FROM b_property) WHERE NOT (key = 'Note' AND renamed)""")
 def _(t):
     change = t.sql("SELECT model_id, entity_id, 'Segment' AS old_key, ' Note' AS new_key FROM b_property WHERE key = 'Segment' UNION ALL SELECT model_id, entity_id, 'Via', 'Tags' FROM b_property WHERE key = 'Via'")
     return ed.rename_property(change, t("b_property"))
@@ -176,7 +176,7 @@ EDITS = """SELECT model_id, ok AS batch_id, cast(seq AS int) AS seq, kind, descr
 
 @query("change_validate", f"""
 WITH e AS (SELECT x.*, c_mktsegment AS seg, c_name, ls FROM ({EDITS}) x JOIN b_model_order o ON x.batch_id = o.ok JOIN customer ON o.ck = c_custkey LEFT JOIN b_line l ON x.source_id = l.lid),
-r AS (SELECT *, CASE WHEN seq >= 20 THEN 'over the batch limit' WHEN trim(describes) = '' THEN 'no description'
+r AS (SELECT *, CASE WHEN trim(describes) = '' THEN 'no description'
   WHEN kind = 'add_transition' THEN CASE WHEN target_id = '' THEN 'needs both ends' WHEN target_id = 'ghost' THEN 'unknown target' WHEN source_id = target_id THEN 'self loop' WHEN ls = 'O' THEN 'exists' END
   WHEN entity_id = 'ghost' THEN 'unknown entity'
   WHEN kind = 'set_property' THEN CASE WHEN trim(key) = '' THEN 'needs a key' WHEN lower(trim(key)) = 'tags' THEN 'reserved key' WHEN trim(value) = '' THEN 'needs a value' WHEN seg = 'BUILDING' THEN 'no change' END

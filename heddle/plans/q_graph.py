@@ -39,9 +39,9 @@ up AS (
   UNION SELECT h.model_id, start, concat('p:', h.pk), concat('Bronze / ', brand, ' / ', ptype, ' / ', pname)
         FROM hits h JOIN b_model_part m ON h.model_id = m.model_id AND h.pk = m.pk),
 ranked AS (
-  SELECT *, cast(row_number() OVER (PARTITION BY model_id, start ORDER BY path, entity_id) AS integer) AS position,
+  SELECT *, row_number() OVER (PARTITION BY model_id, start ORDER BY path, entity_id) AS position,
          count(*) OVER (PARTITION BY model_id, start) AS total FROM up)
-SELECT model_id, start, position, entity_id, path, total, total > 40 AS truncated FROM ranked WHERE position <= 40
+SELECT model_id, start, position, entity_id, path, total FROM ranked
 """)
 def _(t):
     starts = t.sql("SELECT model_id, entity_id AS start FROM b_entity WHERE kind = 'attribute' AND layer_name = 'Gold'")
@@ -300,13 +300,13 @@ def _(t):
 @query("gaps_dead_ends", """
 WITH found AS (
   SELECT model_id, lid AS entity_id, concat('Silver / order_', ok, ' / line_', ln) AS path FROM b_line WHERE ls <> 'O'),
-ranked AS (SELECT *, cast(row_number() OVER (PARTITION BY model_id ORDER BY path, entity_id) AS integer) AS position,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY path, entity_id) AS position,
                   count(*) OVER (PARTITION BY model_id) AS total FROM found)
-SELECT model_id, entity_id, path, position, total, total > 40 AS truncated FROM ranked WHERE position <= 40
+SELECT model_id, entity_id, path, position, total FROM ranked
 """)
 def _(t):
     rows = md.gaps(t("b_entity"), t("b_transition"), "downstream", kind="attribute", layer=" silver ")
-    return md.first_by_path(cut(rows)).drop("kind", "layer_name")
+    return md.by_path(cut(rows)).drop("kind", "layer_name")
 
 
 @query("gaps_not_reaching_layer", """

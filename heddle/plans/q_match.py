@@ -33,8 +33,8 @@ h AS (SELECT * FROM t WHERE tier IS NOT NULL)
 
 
 @query("search_resolve", TIERED + """
-SELECT query_id, cast(r AS integer) AS position, entity_id, CASE tier WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' ELSE 'partial' END AS tier
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, path, entity_id) AS r FROM h WHERE fits) WHERE r <= 20""")
+SELECT query_id, r AS position, entity_id, CASE tier WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' ELSE 'partial' END AS tier
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, path, entity_id) AS r FROM h WHERE fits)""")
 def _(t):
     return mt.resolve_names(t("b_query"), t("b_entity"))[0].drop("path")
 
@@ -63,8 +63,8 @@ def _(t):
 WITH q AS (SELECT query_id, model_id, lower(trim(name)) AS q FROM b_query),
 n AS (SELECT model_id, kind, name, lower(name) AS e, count(*) AS entities FROM b_entity GROUP BY 1, 2, 3),
 h AS (SELECT query_id, kind, name, e, entities, CASE WHEN e = q THEN 0 WHEN starts_with(e, q) THEN 1 ELSE 2 END AS rank FROM q JOIN n ON q.model_id = n.model_id AND contains(e, q)),
-r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY rank, e, name, kind) AS integer) AS position FROM h)
-SELECT query_id, position, kind, name, rank, entities FROM r WHERE position <= 50""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, e, name, kind) AS position FROM h)
+SELECT query_id, position, kind, name, rank, entities FROM r""")
 def _(t):
     return mt.search_hits(t("b_query"), t("b_entity"))
 
@@ -79,11 +79,11 @@ UNION ALL SELECT DISTINCT concat(p_type, '/', p_name), substr(p_name, 2, 6), 'it
 @query("search_catalog", f"""
 WITH e AS ({ENTRIES}), q AS ({ASKED}),
 h AS (SELECT query_id, e.kind, workspace_id, id, e.name, lower(trim(e.name)) = lower(trim(q.name)) AS exact FROM q JOIN e ON contains(lower(trim(e.name)), lower(trim(q.name))) AND (q.kind IS NULL OR q.kind = e.kind)),
-r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, name, kind, workspace_id, id) AS integer) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM h)
-SELECT query_id, position, kind, id, exact, total, total > 40 AS truncated FROM r WHERE position <= 40""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, name, kind, workspace_id, id) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM h)
+SELECT query_id, position, kind, id, exact, total FROM r""")
 def _(t):
     matches, totals = mt.search_catalog(t.sql(ASKED), t.sql(ENTRIES))
-    return matches.join(totals, "query_id").select("query_id", "position", "kind", "id", "exact", "total", "truncated")
+    return matches.join(totals, "query_id").select("query_id", "position", "kind", "id", "exact", "total")
 
 
 @query("filter_view", """

@@ -110,3 +110,12 @@ def running_position(df: DataFrame, group: list[str], order: list, out: str) ->
         .withColumn(out, F.col("_local") + F.col("_before"))
         .drop("_local", "_before", "_slice")
     )
+
+
+def placed(df: DataFrame, group: list[str], order: list, out: str, limit: int | None = None) -> DataFrame:
+    """All rows with their 1-based position in the group, or the first `limit` of each group, which Spark
+    picks in every partition before it shuffles."""
+    if limit is None:
+        return running_position(df, group, order, out)
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long")
+    return df.withColumn(out, place).filter(F.col(out) <= limit)

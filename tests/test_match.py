@@ -27,7 +27,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("confidence", [50, 67, 80, 95])
+@pytest.mark.parametrize("confidence", [0, 20, 45, 50, 67, 80, 95])
 def test_levenshtein_pairs(spark, confidence):
     a, b = words(1, 60), words(2, 60)
     got = {(r["source"], r["target"]): r["score"] for r in mt.levenshtein_pairs(side(spark, a, "s"), side(spark, b, "t"), ["model_id"], confidence).collect()}
@@ -35,7 +35,7 @@ def test_levenshtein_pairs(spark, confidence):
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             score = int((1 - edit_distance(x, y) / max(len(x), len(y))) * 100 + 0.5)
-            if score >= confidence:
+            if score >= max(confidence, 1):
                 want[(f"s{i}", f"t{j}")] = score
     assert got == want
 
@@ -79,15 +79,25 @@ def test_one_to_one_equals_the_sequential_pass(spark, seed):
 
 def test_fuzzy_suggestions(spark):
     names = words(5, 80, "abcdefgh", 4, 10)
-    entity = spark.createDataFrame([("m", f"e{i}", v, v) for i, v in enumerate(names)], "model_id string, entity_id string, name string, path string")
-    asked = words(6, 40, "abcdefgh", 4, 10) + [v[:-1] + "z" for v in names[:10]]
-    query = spark.createDataFrame([(f"q{i}", "m", v) for i, v in enumerate(asked)], "query_id string, model_id string, name string")
-    got = {(r["query_id"], r["entity_id"]) for r in mt.fuzzy_suggestions(query, entity, limit=1000).collect()}
-    tiered = {r["query_id"] for r in mt.name_tiers(query, entity).collect()}
-    want = {
-        (f"q{i}", f"e{j}") for i, q in enumerate(asked) for j, v in enumerate(names) if f"q{i}" not in tiered and SequenceMatcher(None, q, v).ratio() >= 0.72
-    }
-    assert got == want and want
+    kinds, layers = ["object", "attribute", "layer"], ["Gold", "Silver"]
+    entities = [("m", f"e{i}", v, v, kinds[i % 3], layers[i % 2]) for i, v in enumerate(names)]
+    entity = spark.createDataFrame(entities, "model_id string, entity_id string, name string, path string, kind string, layer_name string")
+    asked = words(6, 40, "abcdefgh", 4, 10) + [v[:-1] + "z" for v in names[:10]] + names[10:30]
+    filters = [(None, None), ("layer", None), (None, " gold "), ("object", "SILVER")]
+    queries = [(f"q{i}", "m", v, *filters[i % 4]) for i, v in enumerate(asked)]
+    query = spark.createDataFrame(queries, "query_id string, model_id string, name string, kind string, layer string")
+    fits = lambda q, e: (q[3] is None or q[3] == e[4]) and (q[4] is None or q[4].strip().lower() == e[5].lower())
+    hit = {(r["query_id"], r["entity_id"]) for r in mt.name_tiers(query, entity).collect()}
+    want = set()
+    for q in queries:
+        passing = [e for e in entities if fits(q, e)]
+        if not any((q[0], e[1]) in hit for e in passing):
+            want |= {(q[0], e[1]) for e in passing if SequenceMatcher(None, q[2], e[2]).ratio() >= 0.72}
+    found = mt.fuzzy_suggestions(query, entity).collect()
+    assert {(r["query_id"], r["entity_id"]) for r in found} == want and want
+    # Some query has a tier hit that its filters remove, and still gets a suggestion.
+    assert {q for q, _ in hit} & {q for q, _ in want}
+    assert all(r["position"] == 1 for r in mt.fuzzy_suggestions(query, entity, limit=1).collect())
 
 
 def definition_score(a, b):
