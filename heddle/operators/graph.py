@@ -8,6 +8,7 @@ re-reads a level instead of recomputing the walk.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -282,39 +283,125 @@ def _order(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}ordinal"), F.col(f"{prefix}hop"))
 
 
+def _walk(
+    entity: DataFrame, transition: DataFrame, direction: str, to_layer: str | None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, nodes, goals) of a trace: edges(model, node, nxt, hop, ordinal) in walking direction."""
+    ends = ("source", "target") if direction == "downstream" else ("target", "source")
+    edges = live_edges(transition, entity).select(
+        M, F.col(ends[0]).alias("node"), F.col(ends[1]).alias("nxt"), F.col("transition_id").alias("hop"), "ordinal"
+    )
+    nodes = entity.select(M, F.col("entity_id").alias("node"))
+    if to_layer is None:
+        goals = nodes.join(edges.select(M, "node").distinct(), [M, "node"], "left_anti")
+    else:
+        goals = entity.filter(F.lower(F.trim("layer_name")) == to_layer.strip().lower()).select(
+            M, F.col("entity_id").alias("node")
+        )
+    return edges, nodes, cut(goals)
+
+
+def _towards(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """The edges after which a goal can still be reached, with whether they lead to one: one sweep back for all starts."""
+    back = edges.select(M, F.col("nxt").alias("node"), F.col("node").alias("nxt")).distinct()
+    alive = reachable(goals.select(M, F.lit("").alias("start"), "node"), back).select(M, F.col("node").alias("nxt"))
+    arrived = goals.select(M, F.col("node").alias("nxt"), F.lit(True).alias("goal"))
+    return cut(edges.join(alive, [M, "nxt"], "left_semi").join(arrived, [M, "nxt"], "left").fillna(False, ["goal"]))
+
+
+def trace_edges(
+    starts: DataFrame, entity: DataFrame, transition: DataFrame, direction: str = "downstream", to_layer: str | None = None
+) -> DataFrame:
+    """(model, start, transition_id, node, nxt, goal): the edges on walks from each start to a goal, in walking
+    direction. All paths run along these; there are at most as many per start as edges, however many paths."""
+    edges, nodes, goals = _walk(entity, transition, direction, to_layer)
+    step = _towards(edges, goals)
+    first = starts.select(M, "start").distinct().join(nodes.withColumnRenamed("node", "start"), [M, "start"], "left_semi")
+    # A start that is a goal still goes on; any other goal ends the walk.
+    onward = step.join(goals, [M, "node"], "left_anti").select(M, "node", "nxt")
+    begun = first.select(M, "start", F.col("start").alias("node")).join(step.select(M, "node", "nxt"), [M, "node"])
+    met = reachable(begun.select(M, "start", F.col("nxt").alias("node")), onward).select(M, "start", "node")
+    inner = met.join(goals, [M, "node"], "left_anti")
+    passed = inner.unionByName(first.select(M, "start", F.col("start").alias("node"))).distinct()
+    return (
+        passed.join(step, [M, "node"])
+        .filter("nxt <> start")
+        .select(M, "start", F.col("hop").alias("transition_id"), "node", "nxt", "goal")
+    )
+
+
+def _every_path(
+    starts: DataFrame, edges: DataFrame, nodes: DataFrame, goals: DataFrame, max_depth: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """All simple paths, a level per round along edges that can still reach a goal."""
+    step = _towards(edges, goals)
+    first = starts.select(M, "start").distinct().join(nodes.withColumnRenamed("node", "start"), [M, "start"], "left_semi")
+    first = cut(first)
+    frontier = first.select(
+        M,
+        "start",
+        F.col("start").alias("node"),
+        F.array("start").alias("nodes"),
+        F.expr("cast(array() as array<struct<ordinal: bigint, hop: string>>)").alias("ord"),
+    )
+    found: list[DataFrame] = []
+    late = first.limit(0)
+    for depth in count():
+        if depth == max_depth:
+            late = frontier.select(M, "start").distinct()
+            break
+        level = cut(
+            frontier.join(step, [M, "node"])
+            .filter(~F.array_contains("nodes", F.col("nxt")))
+            .select(
+                M,
+                "start",
+                F.col("nxt").alias("node"),
+                F.concat("nodes", F.array("nxt")).alias("nodes"),
+                F.concat("ord", F.array(_order())).alias("ord"),
+                "goal",
+            )
+        )
+        found.append(level.filter("goal").drop("goal"))
+        frontier = level.filter("not goal").drop("goal")
+        if frontier.isEmpty():
+            break
+    every = cut(_union(found)) if found else frontier.limit(0)
+    paths = placed(every, [M, "start"], ["ord"], "path_no").select(M, "start", "path_no", "nodes", F.col("ord")["hop"].alias("hops"))
+    totals = every.groupBy(M, "start").agg(F.count(F.lit(1)).alias("_n"))
+    status = (
+        first.join(totals, [M, "start"], "left")
+        .join(late.withColumn("_late", F.lit(True)), [M, "start"], "left")
+        .select(M, "start", F.coalesce("_n", F.lit(0)).alias("n_paths"), F.coalesce("_late", F.lit(False)).alias("truncated"))
+    )
+    return paths, status
+
+
 def trace_paths(
     starts: DataFrame,
     entity: DataFrame,
     transition: DataFrame,
     direction: str = "downstream",
     to_layer: str | None = None,
-    max_paths: int = 12,
-    max_depth: int = 16,
+    max_paths: int | None = None,
+    max_depth: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Simple paths from each start to a goal, the first `max_paths` in depth-first order.
+    """Simple paths from each start to a goal, numbered in depth-first order; the first `max_paths` if that is given.
 
     Returns (paths, status): paths(model, start, path_no, nodes, hops) and
     status(model, start, n_paths, truncated).
 
-    A goal is a sink of the walk, or the first entity of `to_layer`. A partial
+    A goal is a sink of the walk, or the first entity of `to_layer`. Without
+    bounds every path is found, and there can be exponentially many: `trace_edges`
+    is the complete answer of bounded size. With `max_paths`, a partial
     path is dropped only when `max_paths` earlier ones are certain to be found:
     finished paths, or partial paths standing on a node that can reach no cycle
     and whose nearest goal lies inside the depth bound. What is dropped would
     have been visited after the last path, so it sets `truncated`.
     """
-    live = live_edges(transition, entity)
-    ends = ("source", "target") if direction == "downstream" else ("target", "source")
-    edges = live.select(
-        M, F.col(ends[0]).alias("node"), F.col(ends[1]).alias("nxt"), F.col("transition_id").alias("hop"), "ordinal"
-    )
-    nodes = entity.select(M, F.col("entity_id").alias("node"))
-    if to_layer is None:
-        goals = nodes.join(edges.select(M, "node").distinct(), [M, "node"], "left_anti")
-    else:
-        goals = entity.filter(F.lower(F.trim("layer_name")) == to_layer.strip().lower()).select(
-            M, F.col("entity_id").alias("node")
-        )
-    goals = cut(goals)
+    edges, nodes, goals = _walk(entity, transition, direction, to_layer)
+    if max_paths is None:
+        return _every_path(starts, edges, nodes, goals, max_depth)
     back = edges.select(M, F.col("nxt").alias("node"), F.col("node").alias("nxt")).distinct()
     distance = (
         reachable(goals.select(M, F.lit("").alias("start"), "node"), back, max_depth)
@@ -352,6 +439,7 @@ def trace_paths(
         .join(counts.filter(F.col("_n") > max_paths).select(M, "node", F.lit(True).alias("more")), [M, "node"], "left")
     )
     deepest = facts.agg(F.max("sure")).first()[0] or 0
+    bound = float("inf") if max_depth is None else max_depth
 
     first = starts.select(M, "start").distinct().join(nodes.withColumnRenamed("node", "start"), [M, "start"], "left_semi")
     frontier = cut(
@@ -368,18 +456,18 @@ def trace_paths(
     found: list[DataFrame] = []
     more: list[DataFrame] = []
     per_start = W.partitionBy(M, "start").orderBy("ord")
-    for depth in range(max_depth + 1):
+    for depth in count():
         done = frontier.filter("goal") if depth else frontier.limit(0)
         partial = frontier.filter("not goal") if depth else frontier
         if depth:
             found.append(done)
-        if depth == max_depth:
+        if depth == bound:
             more.append(partial.select(M, "start").distinct())
             break
         if depth:
             certain = _union(
                 [f.select(M, "start", "ord") for f in found]
-                + [partial.filter(F.col("sure") <= max_depth - depth).select(M, "start", "ord")]
+                + [partial.filter(F.col("sure") <= F.lit(bound - depth)).select(M, "start", "ord")]
             )
             last = (
                 certain.withColumn("_rank", F.row_number().over(per_start))
@@ -396,7 +484,7 @@ def trace_paths(
             )
             more.append(judged.filter("_late").select(M, "start").distinct())
             partial = judged.filter("not _late").drop("_late")
-        exact = depth + 1 + deepest <= max_depth
+        exact = depth + 1 + deepest <= bound
         moves = short if exact else step.withColumn("more", F.lit(None).cast("boolean"))
         if exact:
             more.append(

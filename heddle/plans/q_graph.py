@@ -73,21 +73,28 @@ WITH firsts AS (
   SELECT model_id, concat('s:', sk) AS start, concat('t1:', lid) AS hop, ok * 64 + ln * 8 + 1 AS ord, lid, ck, pr, ls FROM b_line
   UNION ALL SELECT model_id, concat('p:', pk), concat('t2:', lid), ok * 64 + ln * 8 + 2, lid, ck, pr, ls FROM b_line),
 ranked AS (
-  SELECT *, cast(row_number() OVER (PARTITION BY model_id, start ORDER BY ord, hop) AS integer) AS path_no,
-         count(*) OVER (PARTITION BY model_id, start) AS n FROM firsts)
+  SELECT *, row_number() OVER (PARTITION BY model_id, start ORDER BY ord, hop) AS path_no FROM firsts)
 """
 
 
 @query("trace_paths", PATHS + """
 SELECT model_id, start, path_no,
-       concat(start, '>', lid, CASE WHEN ls = 'O' THEN concat('>cp:', ck, '-', pr) ELSE '' END) AS path, n > 12 AS truncated
-FROM ranked WHERE path_no <= 12
+       concat(start, '>', lid, CASE WHEN ls = 'O' THEN concat('>cp:', ck, '-', pr) ELSE '' END) AS path
+FROM ranked
 """)
 def _(t):
-    paths, status = g.trace_paths(t.sql(SOURCE_COLUMNS), t("b_entity"), t("b_transition"))
-    return paths.join(status, [M, "start"]).select(
-        M, "start", "path_no", F.array_join("nodes", ">").alias("path"), "truncated"
-    )
+    paths, _ = g.trace_paths(t.sql(SOURCE_COLUMNS), t("b_entity"), t("b_transition"))
+    return paths.select(M, "start", "path_no", F.array_join("nodes", ">").alias("path"))
+
+
+@query("trace_edges", """
+WITH l AS (SELECT model_id, concat('s:', sk) AS start, concat('t1:', lid) AS hop, lid, ck, pr, ls FROM b_line
+  UNION ALL SELECT model_id, concat('p:', pk), concat('t2:', lid), lid, ck, pr, ls FROM b_line)
+SELECT model_id, start, hop AS transition_id, start AS node, lid AS nxt, ls <> 'O' AS goal FROM l
+UNION ALL SELECT model_id, start, concat('t3:', lid), lid, concat('cp:', ck, '-', pr), true FROM l WHERE ls = 'O'
+""")
+def _(t):
+    return g.trace_edges(t.sql(SOURCE_COLUMNS), t("b_entity"), t("b_transition"))
 
 
 @query("trace_hops", PATHS + """
@@ -95,11 +102,11 @@ SELECT model_id, start, path_no, 0 AS hop_no, hop AS transition_id, start AS sou
        CASE WHEN hop LIKE 't2:%' AND ls = 'O' THEN concat('amount * ', split_part(lid, '-', 4)) END AS transform,
        CASE WHEN hop LIKE 't2:%' AND rf = 'R' THEN 'notebook run' END AS claim, cast(NULL AS varchar) AS via,
        hop LIKE 't2:%' AND rf = 'R' AS derived
-FROM (SELECT r.*, b.rf FROM ranked r JOIN b_line b ON r.model_id = b.model_id AND r.lid = b.lid) WHERE path_no <= 12
+FROM (SELECT r.*, b.rf FROM ranked r JOIN b_line b ON r.model_id = b.model_id AND r.lid = b.lid)
 UNION ALL
 SELECT model_id, start, path_no, 1, concat('t3:', lid), lid, concat('cp:', ck, '-', pr), NULL, NULL,
        CASE WHEN cast(split_part(lid, '-', 4) AS integer) <= 2 THEN concat('step_', split_part(lid, '-', 4)) END, false
-FROM ranked WHERE path_no <= 12 AND ls = 'O'
+FROM ranked WHERE ls = 'O'
 """)
 def _(t):
     transition = t("b_transition")

@@ -52,7 +52,7 @@ def depth_first(edges, start, goal, max_paths, max_depth):
     return found, bool(cut_short)
 
 
-@pytest.mark.parametrize("seed,n,m,paths,depth,layer", [(1, 9, 14, 3, 5, None), (2, 8, 20, 12, 16, None), (3, 10, 24, 2, 4, "L2"), (4, 7, 12, 5, 3, "L1"), (5, 12, 13, 1, 6, None)])
+@pytest.mark.parametrize("seed,n,m,paths,depth,layer", [(1, 9, 14, 3, 5, None), (2, 8, 20, 12, 16, None), (3, 10, 24, 2, 4, "L2"), (4, 7, 12, 5, 3, "L1"), (5, 12, 13, 1, 6, None), (6, 8, 16, 3, None, None)])
 def test_trace_paths(spark, seed, n, m, paths, depth, layer):
     edges = random_edges(seed, n, m)
     entity, transition = tables(spark, edges, n)
@@ -64,11 +64,42 @@ def test_trace_paths(spark, seed, n, m, paths, depth, layer):
     flags = {r["start"]: (r["n_paths"], r["truncated"]) for r in status.collect()}
     for i in range(n):
         goal = (lambda x, adj: not adj.get(x)) if layer is None else (lambda x, adj: f"L{x % 4}" == layer)
-        want, truncated = depth_first(edges, i, goal, paths, depth)
+        want, truncated = depth_first(edges, i, goal, paths, depth or 10**9)
         assert [h for _, h in sorted(got.get(f"n{i}", []))] == want, (i, want)
         assert flags[f"n{i}"] == (len(want), truncated), (i, want, truncated)
 
 
+@pytest.mark.parametrize("seed,n,m,depth,layer", [(1, 9, 14, None, None), (2, 7, 14, None, "L2"), (3, 8, 16, 3, None)])
+def test_all_paths_and_their_edges(spark, seed, n, m, depth, layer):
+    edges = random_edges(seed, n, m)
+    entity, transition = tables(spark, edges, n)
+    starts = spark.createDataFrame([("m", f"n{i}") for i in range(n)], "model_id string, start string")
+    kept, status = g.trace_paths(starts, entity, transition, to_layer=layer, max_depth=depth)
+    got = {}
+    for r in kept.collect():
+        got.setdefault(r["start"], []).append((r["path_no"], tuple(r["hops"])))
+    counted = {r["start"]: r["n_paths"] for r in status.collect()}
+    along = {}
+    for r in g.trace_edges(starts, entity, transition, to_layer=layer).collect():
+        along.setdefault(r["start"], set()).add(r["transition_id"])
+    for i in range(n):
+        goal = (lambda x, adj: not adj.get(x)) if layer is None else (lambda x, adj: f"L{x % 4}" == layer)
+        want, _ = depth_first(edges, i, goal, 10**9, depth or 10**9)
+        assert [h for _, h in sorted(got.get(f"n{i}", []))] == want
+        assert counted[f"n{i}"] == len(want)
+        assert {h for path in want for h in path} <= along.get(f"n{i}", set())
+
+
+def test_edges_of_exponentially_many_paths(spark):
+    # Twelve layers of three nodes, the last closed by a cycle, then one sink: 3^12 paths, 3 + 11 * 9 + 3 + 3 edges.
+    edges = [(0, 1 + k) for k in range(3)]
+    edges += [(1 + 3 * i + a, 4 + 3 * i + b) for i in range(11) for a in range(3) for b in range(3)]
+    edges += [(34, 35), (35, 36), (36, 34)] + [(34 + a, 37) for a in range(3)]
+    entity, transition = tables(spark, edges, 38)
+    starts = spark.createDataFrame([("m", "n0")], "model_id string, start string")
+    assert g.trace_edges(starts, entity, transition).count() == len(edges)
+
+
 @pytest.mark.parametrize("direction", ["downstream", "upstream"])
 def test_reach_and_components(spark, direction):
     n, edges = 15, random_edges(7, 15, 16)
