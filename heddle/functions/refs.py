@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.session import small
+from heddle.session import keyed, small
 
 # How storage paths and item names are written.
 ABFSS = r"(?i)^abfss://([^@/]+)@[^/]+/(.*)$"
@@ -142,7 +142,7 @@ def qualify(
         lookup = small(names.select(F.col("guid").alias("_g"), F.col("name").alias("_name")))
         for p in parts:
             key = F.when(F.col("_q.by_path") & (F.col(f"_q.{p}") != ""), F.lower(f"_q.{p}"))
-            rows = rows.withColumn("_k", key).join(
+            rows = rows.withColumn("_k", keyed(key)).join(
                 lookup.withColumnRenamed("_g", "_k").withColumnRenamed("_name", f"_n_{p}"), "_k", "left"
             ).drop("_k")
             parts[p] = F.coalesce(f"_n_{p}", f"_q.{p}")
@@ -193,9 +193,9 @@ def guid_names(*sources: DataFrame) -> DataFrame:
 def named(df: DataFrame, guid: str, names: DataFrame, out: str) -> DataFrame:
     """A GUID's display name, or the GUID itself when unknown."""
     lookup = small(names.select(F.col("guid").alias("_g"), F.col("name").alias("_name")))
-    return df.join(lookup, F.lower(F.trim(F.col(guid))) == F.col("_g"), "left").withColumn(
+    return df.withColumn("_k", keyed(F.lower(F.trim(F.col(guid))))).join(lookup, F.col("_k") == F.col("_g"), "left").withColumn(
         out, F.coalesce("_name", F.trim(F.col(guid)))
-    ).drop("_g", "_name")
+    ).drop("_k", "_g", "_name")
 
 
 def asset_name(qualified: Column | str, name: Column | str) -> Column:

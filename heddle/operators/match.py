@@ -428,13 +428,15 @@ def _shared_segments(a: DataFrame, b: DataFrame, scope: list[str], loss: float)
     return probe.join(cutup.drop("_k"), [*scope, "_la", "_lb", "_i", "_s"]).select(*scope, "_a", "_b").distinct()
 
 
+def bigrams(text: Column) -> Column:
+    """Letter pairs of a text of two letters or more, numbered."""
+    spots = F.sequence(F.lit(1), F.length(text) - 1)
+    return numbered(F.transform(spots, lambda i: F.substring(text, i, F.lit(2))))
+
+
 def dice_pairs(left: DataFrame, right: DataFrame, scope: list[str], confidence: int) -> DataFrame:
     """(scope, source, target, score) of values whose letter pairs overlap enough, ignoring case."""
 
-    def bigrams(text: Column) -> Column:
-        spots = F.sequence(F.lit(1), F.length(text) - 1)
-        return numbered(F.transform(spots, lambda i: F.substring(text, i, F.lit(2))))
-
     def side(df: DataFrame) -> DataFrame:
         rows = df.select(*scope, F.lower("value").alias("id")).filter("length(id) >= 2").distinct()
         return rows.withColumn("tokens", bigrams(F.col("id")))
@@ -468,6 +470,64 @@ def date_pairs(left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame
     return a.join(b, [*scope, "_t"]).select(*scope, "source", "target", F.lit(100).cast("bigint").alias("score"))
 
 
+#: Pairs that reach a score, by algorithm.
+MATCHERS = {
+    "fast": lambda left, right, scope, confidence: fast_pairs(left, right, scope),
+    "levenshtein": levenshtein_pairs,
+    "dice": dice_pairs,
+    "date": lambda left, right, scope, confidence: date_pairs(left, right, scope),
+}
+
+
+def _ready(algorithm: str, value: Column) -> Column:
+    """What the algorithm compares, made once per value and not once per pair."""
+    if algorithm == "fast":
+        return plain(value)
+    if algorithm == "date":
+        return instant(value)
+    if algorithm == "dice":
+        low = F.lower(value)
+        return F.struct(low.alias("text"), F.when(F.length(low) >= 2, bigrams(low)).otherwise(F.array().cast("array<string>")).alias("pairs"))
+    return value
+
+
+def _score(algorithm: str, a: Column, b: Column) -> Column:
+    """0 to 100 for two values made by `_ready`."""
+    if algorithm in ("fast", "date"):
+        return F.when(a == b, 100).otherwise(0).cast("bigint")
+    if algorithm == "dice":
+        shared, total = F.size(F.array_intersect(a["pairs"], b["pairs"])), F.size(a["pairs"]) + F.size(b["pairs"])
+        return F.when(a["text"] == b["text"], 100).otherwise(F.floor(F.coalesce(F.try_divide(shared * 200, total), F.lit(0.0)) + 0.5)).cast("bigint")
+    return F.floor((1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))) * 100 + 0.5)
+
+
+def suggest_mappings(criteria: dict[str, tuple[str, DataFrame, DataFrame]], scope: list[str], confidence: int) -> DataFrame:
+    """(scope, source, target, confidence, via) of all pairs whose mean score reaches `confidence` (1 at least).
+
+    `criteria` names (algorithm, left, right), sides (scope, id, value). A mean reaches the confidence only if one
+    criterion does, so the pairs that do in some criterion are all the candidates; these get all their scores.
+    """
+    confidence = max(confidence, 1)
+    known = {
+        name: (algorithm, *[df.filter("coalesce(value, '') <> ''").select(*scope, "id", "value") for df in sides])
+        for name, (algorithm, *sides) in criteria.items()
+    }
+    met = [MATCHERS[algorithm](a, b, scope, confidence).select(*scope, "source", "target") for algorithm, a, b in known.values()]
+    candidates = cut(reduce(DataFrame.union, met).distinct())
+    scored, value = [], []
+    for name, (algorithm, a, b) in known.items():
+        s = a.select(*scope, F.col("id").alias("source"), _ready(algorithm, F.col("value")).alias("_a"))
+        t = b.select(*scope, F.col("id").alias("target"), _ready(algorithm, F.col("value")).alias("_b"))
+        scored.append(
+            candidates.join(s, [*scope, "source"])
+            .join(t, [*scope, "target"])
+            .select(*scope, F.lit(name).alias("criterion"), "source", "target", _score(algorithm, F.col("_a"), F.col("_b")).alias("score"))
+            .filter("score > 0")
+        )
+        value += [df.select(*scope, "id", F.lit(name).alias("criterion")) for df in (a, b)]
+    return score_pairs(reduce(DataFrame.unionByName, scored), reduce(DataFrame.union, value), scope, confidence)
+
+
 def score_pairs(scored: DataFrame, value: DataFrame, scope: list[str], confidence: int) -> DataFrame:
     """(scope, source, target, confidence, via): the mean over the criteria for which both ends have a value.
 

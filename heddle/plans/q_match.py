@@ -221,6 +221,27 @@ def _(t):
     return _scored(t).withColumn("via", F.array_join("via", ","))
 
 
+# The path: the same code respelled; a third of the right side has none.
+LEFT_PATH = "SELECT model_id, id, concat(substr(md5(concat('p', cast(k AS {s}))), 1, 8), '/', substr(md5(cast(k AS {s})), 1, 4)) AS value FROM b_left"
+RIGHT_PATH = "SELECT model_id, id, concat(substr(md5(concat('p', cast(k AS {s}))), 1, 6), 'ZZ/', substr(md5(cast(k AS {s})), 1, 4)) AS value FROM b_right WHERE k % 3 <> 0"
+
+
+@query("map_suggest", f"""
+WITH n AS ({LEV}), rp AS ({RIGHT_PATH.format(s="varchar")}),
+g AS (SELECT 'l' AS side, model_id, id, lower(value) AS v FROM ({LEFT_PATH.format(s="varchar")}) UNION ALL SELECT 'r', model_id, id, lower(value) FROM rp),
+b AS (SELECT side, model_id, id, length(v) - 1 AS n, substr(v, i, 2) AS g, count(*) AS c FROM (SELECT *, unnest(generate_series(1, length(v) - 1)) AS i FROM g) GROUP BY 1, 2, 3, 4, 5),
+p AS (SELECT l.model_id, l.id AS source, r.id AS target, cast(floor(200.0 * sum(least(l.c, r.c)) / (max(l.n) + max(r.n)) + 0.5) AS bigint) AS score
+  FROM b l JOIN b r ON l.side = 'l' AND r.side = 'r' AND l.model_id = r.model_id AND l.g = r.g GROUP BY 1, 2, 3),
+s AS (SELECT n.model_id, n.source, n.target, n.score AS ns, CASE WHEN rp.id IS NOT NULL THEN coalesce(p.score, 0) END AS ps
+  FROM n LEFT JOIN rp ON n.model_id = rp.model_id AND n.target = rp.id LEFT JOIN p ON n.model_id = p.model_id AND n.source = p.source AND n.target = p.target),
+v AS (SELECT *, cast(floor((ns + coalesce(ps, 0)) / (CASE WHEN ps IS NULL THEN 1.0 ELSE 2.0 END) + 0.5) AS bigint) AS confidence FROM s)
+SELECT model_id, source, target, confidence, CASE WHEN ns > 0 AND ps > 0 THEN 'name,path' WHEN ns > 0 THEN 'name' ELSE 'path' END AS via FROM v WHERE confidence >= 60""")
+def _(t):
+    paths = t.sql(LEFT_PATH.format(s="string")), t.sql(RIGHT_PATH.format(s="string"))
+    criteria = {"name": ("levenshtein", *_sides(t)), "path": ("dice", *paths)}
+    return mt.suggest_mappings(criteria, [M], 60).withColumn("via", F.array_join("via", ","))
+
+
 @query("map_one_to_one")
 def _(t):
     pairs = mt.dice_pairs(*_sides(t), [M], 50).withColumnRenamed("score", "confidence")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,6 +66,12 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def keyed(key: Column) -> Column:
+    """A text key for the left side of a left join, where null meets nothing: rows without a key get one that no
+    table holds, each its own, so that they do not gather in one task."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
+
+
 def _sliced(df: DataFrame, group: list[str], order: list) -> DataFrame:
     """`df` range-partitioned over (group, order), with the number of the slice."""
     spread = df.repartitionByRange(*[F.col(c) for c in group], *order)

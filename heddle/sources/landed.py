@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heddle.functions.refs import make_ref
-from heddle.session import small
+from heddle.session import keyed, small
 
 # --- catalogue --------------------------------------------------------------
 
@@ -227,9 +227,9 @@ def _dataset(activity: DataFrame, side: str, names: DataFrame, workspace: str, o
     lookup = small(names.select(F.col("guid").alias("_g"), F.col("name").alias("_name")))
     for c, field in (("_w", "workspaceId"), ("_l", "artifactId")):
         raw = clean(f"{linked}.properties.typeProperties.{field}")
-        rows = rows.withColumn("_raw", raw).join(lookup, F.lower("_raw") == F.col("_g"), "left").withColumn(
+        rows = rows.withColumn("_raw", raw).withColumn("_k", keyed(F.lower("_raw"))).join(lookup, F.col("_k") == F.col("_g"), "left").withColumn(
             c, F.coalesce("_name", "_raw")
-        ).drop("_raw", "_g", "_name")
+        ).drop("_raw", "_k", "_g", "_name")
     lake = F.coalesce("_l", clean(f"{linked}.name"))
     ref = F.when(F.col("_t").isNotNull(), make_ref("_t", lake, F.coalesce(F.col("_w"), F.col(workspace))))
     return rows.withColumn(out, ref).drop("_t", "_w", "_l")

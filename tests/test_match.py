@@ -1,6 +1,7 @@
 """Matching against brute force over all pairs."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -40,24 +41,48 @@ def test_levenshtein_pairs(spark, confidence):
     assert got == want
 
 
+def dice(x, y):
+    x, y = x.lower(), y.lower()
+    if x == y:
+        return 1.0
+    if min(len(x), len(y)) < 2:
+        return 0.0
+    left = [x[i:i + 2] for i in range(len(x) - 1)]
+    shared = 0
+    for i in range(len(y) - 1):
+        if y[i:i + 2] in left:
+            left.remove(y[i:i + 2])
+            shared += 1
+    return 2 * shared / (len(x) + len(y) - 2)
+
+
+@pytest.mark.parametrize("confidence", [0, 45, 70])
+def test_suggested_mappings_hold_every_pair_of_the_mean(spark, confidence):
+    names, paths = (words(21, 30), words(22, 30)), (words(23, 30, "abAB", 0, 6), words(24, 30, "abAB", 0, 6))
+    paths[0][3] = paths[1][4] = None
+    exact = ["X y", "x_Y", "z"] * 10, ["xy", "q", ""] * 10
+    columns = {"name": ("levenshtein", names), "path": ("dice", paths), "tag": ("fast", exact)}
+    criteria = {c: (how, side(spark, l, "s"), side(spark, r, "t")) for c, (how, (l, r)) in columns.items()}
+    got = {(r["source"], r["target"]): (r["confidence"], r["via"]) for r in mt.suggest_mappings(criteria, ["model_id"], confidence).collect()}
+    same = lambda x: re.sub(r"[\s_.-]+", "", x.lower())
+    score = {
+        "name": lambda x, y: int((1 - edit_distance(x, y) / max(len(x), len(y))) * 100 + 0.5),
+        "path": lambda x, y: int(dice(x, y) * 100 + 0.5),
+        "tag": lambda x, y: 100 * (same(x) == same(y)),
+    }
+    want = {}
+    for i in range(30):
+        for j in range(30):
+            both = {c: score[c](l[i], r[j]) for c, (_, (l, r)) in columns.items() if l[i] and r[j]}
+            mean = int(sum(both.values()) / len(both) + 0.5)
+            if mean >= max(confidence, 1):
+                want[(f"s{i}", f"t{j}")] = (mean, sorted(c for c, n in both.items() if n))
+    assert got == want and want
+
+
 @pytest.mark.parametrize("confidence", [30, 60, 90])
 def test_dice_pairs(spark, confidence):
     a, b = words(3, 60, "abAB"), words(4, 60, "abAB")
-
-    def dice(x, y):
-        x, y = x.lower(), y.lower()
-        if x == y:
-            return 1.0
-        if min(len(x), len(y)) < 2:
-            return 0.0
-        left = [x[i:i + 2] for i in range(len(x) - 1)]
-        shared = 0
-        for i in range(len(y) - 1):
-            if y[i:i + 2] in left:
-                left.remove(y[i:i + 2])
-                shared += 1
-        return 2 * shared / (len(x) + len(y) - 2)
-
     got = {(r["source"], r["target"]): r["score"] for r in mt.dice_pairs(side(spark, a, "s"), side(spark, b, "t"), ["model_id"], confidence).collect()}
     want = {(f"s{i}", f"t{j}"): int(dice(x, y) * 100 + 0.5) for i, x in enumerate(a) for j, y in enumerate(b) if int(dice(x, y) * 100 + 0.5) >= confidence}
     assert got == want

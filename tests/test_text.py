@@ -50,6 +50,13 @@ def features(spark, source):
     "source,want",
     [
         ("%%sql\nSELECT 1", (1, False, False, False)),
+        ("%%sql SELECT 1", (0, False, False, False)),
+        ("%%spark-sql\n\n  SELECT 1", (1, False, False, False)),
+        ("f(df.write).parquet('p')", (0, False, False, False)),
+        ("df.write.mode('x')\\\n  .option('a', 1).parquet('p')", (0, True, False, False)),
+        ("x = df.write.parquet", (0, False, False, False)),
+        ("spark.sql(query=q)", (0, False, False, False)),
+        ("(" * 5000, (0, False, False, True)),
         ("%%configure\n{}", (0, False, False, False)),
         ("spark.sql('SELECT 1')", (1, False, False, False)),
         ("spark.sql(f'SELECT {x}')", (0, False, True, False)),
