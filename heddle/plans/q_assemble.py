@@ -210,6 +210,27 @@ def _(t):
     return am.assign_owners(*_run_nodes(t), steps_first=True)
 
 
+# A graph per order without cycles: what it reads, the order's step, what that writes.
+LINE_AT = "l_linenumber * 100000000000000 + l_partkey * 1000000 + l_suppkey"
+SIDE = "CASE WHEN l_linenumber < 4 THEN 'r' ELSE 'w' END"
+
+
+@query("graph_owner_layers", f"""
+WITH l AS (SELECT o_orderkey AS g, {SIDE} AS side, l_suppkey AS sk, {LINE_AT} AS o, {LAKE.format(k='l_suppkey')} AS lake FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+x AS (SELECT g, bool_or(side = 'r') AS rd, arg_min(lake, o) FILTER (side = 'w') AS lands FROM l GROUP BY 1),
+n AS (SELECT o_orderkey AS g, 's' AS node_id, cast(-1 AS bigint) AS seen, true AS runs, CASE WHEN rd THEN 1 ELSE 0 END AS d,
+    CASE WHEN o_orderstatus = 'F' THEN 'Wf' WHEN lands IS NOT NULL THEN concat('lh:', lands) ELSE '' END AS owner FROM orders LEFT JOIN x ON g = o_orderkey
+  UNION ALL SELECT l.g, concat(side, sk), min(o), false, CASE WHEN side = 'r' THEN 0 WHEN bool_or(rd) THEN 2 ELSE 1 END, concat('lh:', min(lake)) FROM l JOIN x ON l.g = x.g GROUP BY l.g, side, sk),
+w AS (SELECT g, owner, row_number() OVER (PARTITION BY g ORDER BY NOT bool_or(runs), owner = '', min(d), min(seen)) - 1 AS layer FROM n GROUP BY 1, 2)
+SELECT n.g AS graph_id, node_id, n.owner, cast(layer AS integer) AS layer FROM n JOIN w ON n.g = w.g AND n.owner = w.owner""")
+def _(t):
+    node = t.sql(f"""SELECT o_orderkey AS graph_id, -1 AS ordinal, 's' AS node_id, 'notebook' AS kind, CASE WHEN o_orderstatus = 'F' THEN 'Wf' ELSE '' END AS workspace, cast(NULL AS string) AS lakehouse FROM orders
+        UNION ALL SELECT o_orderkey, min({LINE_AT}), concat({SIDE}, l_suppkey), 'table', '', min({LAKE.format(k='l_suppkey')}) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, {SIDE}, l_suppkey""")
+    link = t.sql(f"""SELECT o_orderkey AS graph_id, {LINE_AT} AS ordinal, CASE WHEN l_linenumber < 4 THEN concat('r', l_suppkey) ELSE 's' END AS source,
+        CASE WHEN l_linenumber < 4 THEN 's' ELSE concat('w', l_suppkey) END AS target, CASE WHEN l_linenumber < 4 THEN 'read' ELSE 'write' END AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+    return am.assign_owners(node, link, steps_first=True)
+
+
 # One model per customer: steps are orders, tables one per part (read) and per order and supplier (written).
 MODEL_ACC = "SELECT o_custkey AS model_id, concat('nb', o_orderkey) AS step, CASE WHEN l_linenumber < 4 THEN 'Read' ELSE 'Write' END AS access, CASE WHEN l_linenumber < 4 THEN concat('W/Raw/P', l_partkey) ELSE concat('W/Out/O', o_orderkey, '_', l_suppkey) END AS ref FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 MODEL_COLS = "SELECT DISTINCT model_id, ref, v.o AS ordinal, v.c AS column_name, 'int' AS data_type FROM ({acc}) CROSS JOIN (VALUES (0, 'id'), (1, 'qty')) AS v(o, c) WHERE ref NOT LIKE '%7'"

@@ -242,12 +242,31 @@ def _(t):
     return mt.suggest_mappings(criteria, [M], 60).withColumn("via", F.array_join("via", ","))
 
 
-@query("map_one_to_one")
+# The sequential pass: a pair is taken if neither end is, in the order of `k`.
+GREEDY = """
+r AS (SELECT *, row_number() OVER (PARTITION BY {scope} ORDER BY confidence DESC, source, target) AS k FROM pairs),
+w AS (SELECT DISTINCT {scope}, cast(0 AS bigint) AS k, cast([] AS varchar[]) AS used, false AS won FROM r
+  UNION ALL SELECT r.{scope}, r.k, CASE WHEN list_has_any(used, [source, target]) THEN used ELSE list_concat(used, [source, target]) END,
+    NOT list_has_any(used, [source, target]) FROM w JOIN r ON r.{scope} = w.{scope} AND r.k = w.k + 1)
+SELECT r.{scope}, source, target, confidence FROM w JOIN r ON r.{scope} = w.{scope} AND r.k = w.k WHERE won"""
+
+
+@query("map_one_to_one", DICE.replace("WITH g", "WITH RECURSIVE g", 1).rstrip() + ", pairs AS (SELECT model_id, source, target, score AS confidence FROM p WHERE score >= 50)," + GREEDY.format(scope="model_id"))
 def _(t):
     pairs = mt.dice_pairs(*_sides(t), [M], 50).withColumnRenamed("score", "confidence")
     return mt.one_to_one(pairs.withColumn("source_key", F.col("source")).withColumn("target_key", F.col("target")), [M]).drop("source_key", "target_key")
 
 
+CONTESTED = """SELECT o_custkey AS scope, concat('a', l_suppkey % 9) AS source, concat('b', l_partkey % 9) AS target, max(l_linenumber) * 10 AS confidence
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey % 9, l_partkey % 9"""
+
+
+@query("map_one_to_one_contested", f"WITH RECURSIVE pairs AS ({CONTESTED})," + GREEDY.format(scope="scope"))
+def _(t):
+    pairs = t.sql(CONTESTED).withColumn("source_key", F.col("source")).withColumn("target_key", F.col("target"))
+    return mt.one_to_one(pairs, ["scope"]).drop("source_key", "target_key")
+
+
 SUGGESTED = "SELECT model_id, concat('p:', pk) AS source, concat('cp:', ck, '-', pr) AS target, ln * 10 AS confidence, array('name', 'path') AS via FROM b_line"
 
 

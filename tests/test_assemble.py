@@ -83,3 +83,17 @@ def test_activities_held_back_by_a_cycle_follow_in_document_order(spark):
     df = spark.createDataFrame(rows, "pipeline_id string, ordinal int, name string, depends_on array<string>")
     got = [r["name"] for r in am.activity_order(df).orderBy("position").collect()]
     assert got == ["d", "e", "a", "b", "c"]
+
+
+def test_pipelines_nested_deeper_than_any_bound_are_expanded(spark):
+    # p0 calls p1 calls ... p8; p8 calls p3 again, which is not expanded twice on one path.
+    rows = [("w", f"p{i}", 0, f"a{i}", "Run", None, f"P{i + 1}" if i < 8 else "p3", "") for i in range(9)]
+    schema = "workspace_id string, pipeline_id string, ordinal int, name string, type string, depends_on array<string>, child_pipeline_id string, child_workspace_id string"
+    df = spark.createDataFrame(rows, schema)
+    whole, deps = am.expand_pipelines(df)
+    depth = {r["name"]: r["depth"] for r in whole.filter("root = 'p0'").collect()}
+    chain = " / ".join(f"a{i}" for i in range(9))
+    assert depth[chain] == 8 and len(depth) == 9
+    assert deps.filter("root = 'p0'").count() == 8
+    cut_off, _ = am.expand_pipelines(df, max_depth=2)
+    assert cut_off.filter("root = 'p0'").count() == 3
