@@ -64,8 +64,10 @@ def _(t):
     return am.item_rollup(*_graph(t))[1]
 
 
-LAKES = "SELECT c_custkey AS scan_id, concat('id', s_suppkey) AS id, concat('Lake_', s_suppkey) AS name FROM customer JOIN supplier ON s_suppkey < 20 UNION ALL SELECT c_custkey, 'idn', 'nation_3' FROM customer"
-SOURCE_HITS = """h AS (SELECT c_custkey AS ck, c_nationkey = 3 AS f, c_custkey % 40 < 20 AND c_custkey % 40 < (SELECT count(*) FROM supplier) AS d, c_custkey % 40 AS k, c_custkey % 3 <> 0 AS joined FROM customer WHERE c_acctbal >= 0)"""
+# Two lakes for each scan, one of them the one it may name.
+LAKES = """SELECT scan_id, concat('id', s_suppkey) AS id, concat('Lake_', s_suppkey) AS name FROM (SELECT c_custkey AS scan_id, explode(array(c_custkey % 40, (c_custkey + 7) % 40)) AS k FROM customer) JOIN supplier ON s_suppkey = k
+UNION ALL SELECT c_custkey, 'idn', 'nation_3' FROM customer"""
+SOURCE_HITS = """h AS (SELECT c_custkey AS ck, c_nationkey = 3 AS f, c_custkey % 40 < (SELECT count(*) FROM supplier) AS d, c_custkey % 40 AS k, c_custkey % 3 <> 0 AS joined FROM customer WHERE c_acctbal >= 0)"""
 
 
 @query("graph_bi_edges", f"""WITH {SOURCE_HITS}
@@ -82,7 +84,7 @@ SELECT ck AS scan_id, concat('d', ck) AS id, 'semanticmodel' AS kind, via FROM v
 UNION ALL SELECT ck, concat('r', ck), 'report', via FROM v WHERE via IS NOT NULL AND joined
 UNION ALL SELECT ck, concat('b', ck), 'dashboard', via FROM v WHERE via IS NOT NULL AND joined""")
 def _(t):
-    written = t.sql("SELECT c_custkey AS scan_id, 'Nation_3 ' AS name FROM customer UNION ALL SELECT c_custkey, concat('LAKE_', s_suppkey) FROM customer JOIN supplier ON s_suppkey % 2 = 0 AND s_suppkey < 20 AND s_suppkey = c_custkey % 40")
+    written = t.sql("SELECT c_custkey AS scan_id, 'Nation_3 ' AS name FROM customer UNION ALL SELECT c_custkey, concat('LAKE_', s_suppkey) FROM customer JOIN supplier ON s_suppkey % 2 = 0 AND s_suppkey = c_custkey % 40")
     return am.bi_consumers(bi_parts(t), written).drop("name")
 
 

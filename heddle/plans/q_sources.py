@@ -68,11 +68,12 @@ def _definitions(t):
           named_struct('path', CASE WHEN doc_id % 2 = 0 THEN 'Notebook-content.py' ELSE 'notebook-content.ipynb' END, 'payload', base64(encode(
              CASE WHEN doc_id % 2 = 0 THEN concat('# META "default_lakehouse_name" : "LH', doc_id, '"\nspark.table("head")\n# CELL ********************\n\nspark.table("a', doc_id, '")\n# META {}\nx = 1\n\n# MARKDOWN ****\n# FROM prose\n# CELL **\n   \n# CELL ***\n', body, '\n')
              ELSE concat('{"cells":[{"cell_type":"markdown","source":["FROM x"]},{"cell_type":"code","source":["a', doc_id, '\\n","b"]},{"cell_type":"code","source":"  "},{"cell_type":"code","source":', body_json, '}]}') END, 'UTF-8')))) AS parts
-        FROM (SELECT doc_id, concat('x', regexp_replace(text, '[^a-z]', ''), 'y') AS body, to_json(named_struct('v', 1)) AS j, concat('"x', regexp_replace(text, '[^a-z]', ''), 'y"') AS body_json FROM documents)""")
+        FROM (SELECT doc_id, body, regexp_extract(to_json(named_struct('v', body)), '(?s)^.{5}(.*).$', 1) AS body_json
+              FROM (SELECT doc_id, concat('x', coalesce(text, ''), 'y') AS body FROM documents))""")
 
 
 @query("src_notebook_cells", """
-WITH d AS (SELECT doc_id AS nb_id, concat('x', regexp_replace(text, '[^a-z]', '', 'g'), 'y') AS body FROM documents)
+WITH d AS (SELECT doc_id AS nb_id, concat('x', CASE WHEN doc_id % 2 = 0 THEN replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) ELSE coalesce(text, '') END, 'y') AS body FROM documents)
 SELECT nb_id, 0 AS cell_index, CASE WHEN nb_id % 2 = 0 THEN concat('spark.table("a', nb_id, '")', chr(10), 'x = 1') ELSE concat('a', nb_id, chr(10), 'b') END AS source FROM d
 UNION ALL SELECT nb_id, 1, body FROM d""")
 def _(t):
@@ -196,10 +197,10 @@ def _(t):
 
 
 @query("src_governance_edges", """
-SELECT DISTINCT concat('s', l_suppkey) AS source, concat('p', l_partkey) AS target, 'derives' AS kind FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_partkey % 4 <> 0 AND l_linenumber < 5""")
+SELECT DISTINCT concat('s', l_suppkey) AS source, concat('p', l_partkey) AS target, 'derives' AS kind FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_partkey % 4 <> 0""")
 def _(t):
     relation = t.sql("""SELECT concat(CASE WHEN l_linenumber < 3 THEN 's' ELSE 'p' END, CASE WHEN l_linenumber < 3 THEN l_suppkey ELSE l_partkey END) AS node_id,
-        concat('s', l_suppkey) AS fromEntityId, concat('p', l_partkey) AS toEntityId FROM lineitem WHERE l_linenumber < 5
+        concat('s', l_suppkey) AS fromEntityId, concat('p', l_partkey) AS toEntityId FROM lineitem
         UNION ALL SELECT concat('n', l_suppkey), concat('s', l_suppkey), concat('p', l_partkey) FROM lineitem""")
     node = t.sql("SELECT concat('s', s_suppkey) AS node_id, 'table' AS kind FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT concat('p', p_partkey), 'table' FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT concat('n', s_suppkey), 'notebook' FROM supplier")
     return landed.governance_edges(relation, node)

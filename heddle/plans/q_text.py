@@ -31,11 +31,11 @@ def _(t):
 
 
 @query("ref_path_leaf", """
-SELECT DISTINCT raw, CASE ln WHEN 6 THEN concat('Files/landing/t_', pk, '/*.csv') ELSE concat('t_', pk) END AS leaf
-FROM b_rawref WHERE ln >= 6""")
+SELECT DISTINCT raw, CASE WHEN ln = 6 THEN concat('Files/landing/t_', pk, '/*.csv') WHEN ln IN (2, 3) THEN raw ELSE concat('t_', pk) END AS leaf
+FROM b_rawref""")
 def _(t):
-    rows = t("b_rawref").filter("ln >= 6").select("raw").distinct()
-    return rows.select("raw", refs.path_leaf(F.filter(F.split("raw", "/"), lambda s: s != "")).alias("leaf"))
+    rows = t("b_rawref").select("raw").distinct()
+    return rows.select("raw", refs.path_leaf(F.filter(F.split(refs.clean_raw("raw"), "/"), lambda s: s != "")).alias("leaf"))
 
 
 @query("ref_make", "SELECT p_partkey, concat(replace(p_name, ' ', '%2F'), '/', '100%25', '/', p_type) AS ref FROM part")
