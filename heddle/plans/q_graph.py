@@ -358,21 +358,18 @@ def _(t):
 
 
 @query("entity_describe", """
-SELECT l.model_id, lid AS entity_id, concat('Silver / order_', ok, ' / line_', ln) AS path, cast(2 AS bigint) AS upstream,
-       cast(CASE WHEN ls = 'O' THEN 1 ELSE 0 END AS bigint) AS downstream, cast(0 AS bigint) AS children, cast(0 AS bigint) AS properties
-FROM b_line l
-UNION ALL
-SELECT o.model_id, concat('o:', o.ok), concat('Silver / order_', o.ok), 0, 1, count(lid), 0
-FROM b_model_order o LEFT JOIN b_line l ON o.ok = l.ok GROUP BY 1, 2, 3
-UNION ALL
-SELECT concat('m', c_nationkey), concat('c:', c_custkey), concat('Gold / ', c_name), count(DISTINCT o_orderkey), 0,
-       count(DISTINCT substr(o_orderpriority, 1, 1)) FILTER (o_orderkey IN (SELECT ok FROM b_line)),
-       2 + (CASE WHEN c_acctbal > 8000 THEN 1 ELSE 0 END)
-FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey, c_custkey, c_name, c_acctbal
+WITH t AS (SELECT b.model_id, b.source, b.target FROM b_transition b JOIN b_entity x ON b.model_id = x.model_id AND b.source = x.entity_id
+  JOIN b_entity y ON b.model_id = y.model_id AND b.target = y.entity_id),
+up AS (SELECT model_id, target AS id, count(*) AS n FROM t GROUP BY 1, 2),
+down AS (SELECT model_id, source AS id, count(*) AS n FROM t GROUP BY 1, 2),
+kids AS (SELECT model_id, parent_id AS id, count(*) AS n FROM b_entity WHERE parent_id IS NOT NULL GROUP BY 1, 2),
+bag AS (SELECT model_id, entity_id AS id, count(*) AS n FROM b_property GROUP BY 1, 2)
+SELECT e.model_id, e.entity_id, e.path, coalesce(up.n, 0) AS upstream, coalesce(down.n, 0) AS downstream, coalesce(kids.n, 0) AS children, coalesce(bag.n, 0) AS properties
+FROM b_entity e LEFT JOIN up ON e.model_id = up.model_id AND e.entity_id = up.id LEFT JOIN down ON e.model_id = down.model_id AND e.entity_id = down.id
+LEFT JOIN kids ON e.model_id = kids.model_id AND e.entity_id = kids.id LEFT JOIN bag ON e.model_id = bag.model_id AND e.entity_id = bag.id
 """)
 def _(t):
-    rows = md.describe(t("b_entity"), t("b_transition"), t("b_property"))
-    return rows.filter("entity_id like 'l:%' or entity_id like 'o:%' or entity_id like 'c:%'")
+    return md.describe(t("b_entity"), t("b_transition"), t("b_property"))
 
 
 @query("entity_transforms", """
@@ -383,23 +380,19 @@ def _(t):
 
 
 @query("entity_explain", """
-WITH e AS (
-  SELECT l.model_id, concat('t2:', lid) AS transition_id, concat('p:', l.pk) AS src, lid AS tgt,
-         concat(m.brand, '.', m.pname) AS src_what, concat('Bronze / ', m.brand, ' / ', m.ptype, ' / ', m.pname) AS src_path,
-         concat('order_', ok, '.line_', ln) AS tgt_what, concat('Silver / order_', ok, ' / line_', ln) AS tgt_path,
-         CASE WHEN ls = 'O' THEN concat('amount * ', ln) END AS how
-  FROM b_line l JOIN b_model_part m ON l.model_id = m.model_id AND l.pk = m.pk
-  UNION ALL
-  SELECT model_id, concat('t5:', ok), concat('o:', ok), concat('x:', ok), concat('order_', ok), concat('Silver / order_', ok),
-         '(deleted)', '', NULL FROM b_model_order WHERE st = 'P')
-SELECT model_id, src AS entity_id, 'downstream' AS side, transition_id, tgt AS other_id, tgt_what AS what, tgt_path AS other_path, how, 'source' AS headline FROM e
-UNION ALL
-SELECT model_id, tgt, 'upstream', transition_id, src, src_what, src_path, how, 'derived' FROM e WHERE transition_id LIKE 't2:%'
+WITH v AS (SELECT model_id, transition_id, source AS here, target AS there, 'downstream' AS side FROM b_transition
+  UNION ALL SELECT model_id, transition_id, target, source, 'upstream' FROM b_transition),
+f AS (SELECT model_id, entity_id, max(nullif(value, '')) FILTER (key = 'Transform') AS tr, max(nullif(value, '')) FILTER (key = 'Derives') AS de,
+  max(nullif(value, '')) FILTER (key = 'Access') AS ac FROM b_property GROUP BY 1, 2),
+fed AS (SELECT DISTINCT model_id, target FROM b_transition)
+SELECT v.model_id, v.here AS entity_id, v.side, v.transition_id, v.there AS other_id,
+  CASE WHEN y.entity_id IS NULL THEN '(deleted)' WHEN y.kind = 'attribute' AND y.object_name IS NOT NULL THEN concat(y.object_name, '.', y.name) ELSE y.name END AS what,
+  coalesce(y.path, '') AS other_path, coalesce(tr, 'from ' || de, CASE WHEN x.name = y.name THEN 'unchanged' END, lower(ac)) AS how,
+  CASE WHEN fed.target IS NULL THEN 'source' ELSE 'derived' END AS headline
+FROM v JOIN b_entity x ON v.model_id = x.model_id AND v.here = x.entity_id LEFT JOIN b_entity y ON v.model_id = y.model_id AND v.there = y.entity_id
+LEFT JOIN f ON v.model_id = f.model_id AND v.transition_id = f.entity_id LEFT JOIN fed ON v.model_id = fed.model_id AND v.here = fed.target
 """)
 def _(t):
-    entity = t("b_entity")
-    transition = t("b_transition")
+    entity, transition = t("b_entity"), t("b_transition")
     links = md.explain_links(entity, transition, t("b_property"))
-    return links.filter("transition_id like 't2:%' or transition_id like 't5:%'").join(
-        md.headline(entity, transition), [M, "entity_id"]
-    )
+    return links.join(md.headline(entity, transition), [M, "entity_id"])
