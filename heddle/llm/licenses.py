@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,8 +65,8 @@ EQUIVALENT = [
     ("wilful", "willful"),
 ]
 
-# License texts and the usual one-line notices.
-KNOWN = [
+# The usual one-line notices.
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -79,9 +81,33 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
-]
+]
+
+# What holders of the same license write differently. The first is how the shipped texts have it.
+ADDRESSES = (r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301,?\s+USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA")
+LIST_NUMBER = r"(?m)^[ \t]*[0-9]\.[ \t]"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """The licenses of the folder license_texts, whole, with each of their titles and without, with their appendix and without,
+    with either address of the Free Software Foundation, and the lists of the short ones numbered or not.
+
+    A file is named after its license, with a variant's name behind a plus sign. It has the titles, one a line, then the text, then
+    what may follow it; lines of two percent signs part them. The shortest come first."""
+    found = []
+    for file in sorted((files("heddle.llm") / "license_texts").iterdir(), key=lambda f: f.name):
+        if not file.name.endswith(".txt"):
+            continue
+        name = file.name.removesuffix(".txt").split("+")[0]
+        titles, body, *more = file.read_text(encoding="utf-8").split("\n%%\n")
+        for tail in ("", *more):
+            text = f"{body}\n{tail}".strip("\n")
+            texts = {text: 0, re.sub(*ADDRESSES, text): 0, **({re.sub(LIST_NUMBER, " ", text): 0} if name.startswith("BSD") else {})}
+            found += [(name, f"{title}\n{x}".lstrip("\n")) for title in ("", *titles.split("\n")) for x in texts]
+    return sorted(found, key=lambda row: len(row[1]))
+
+
+KNOWN = NOTICES + full_texts()
 
 
 def plain(text: Column) -> Column:
@@ -106,12 +132,14 @@ def _keys(df: DataFrame, text: str) -> DataFrame:
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """Digest, license, blanks, head and anchor of each known text; of several licenses with one digest the first by name.
-    The anchor is the longest word that has one spelling only, or null. Texts without words are left out."""
+    The anchor is the longest word that has one spelling only, or null. Texts without words are left out. The texts are
+    read once: the rows, some bytes for each, come from the driver, which has the list."""
     rows = _keys(spark.createDataFrame(texts, "license string, body string"), "body").filter("plain != ''")
     several = sorted({word for pair in EQUIVALENT for word in " ".join(pair).split()})
     fixed = F.filter(F.split("plain", " "), lambda w: ~w.isin(several))
     anchor = F.array_max(F.transform(fixed, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
-    return rows.groupBy(F.sha2(spelled(F.col("plain")), 256).alias("digest"), "blanks", "head").agg(F.min("license").alias("license"), F.min(anchor).alias("anchor"))
+    found = rows.groupBy(F.sha2(spelled(F.col("plain")), 256).alias("digest"), "blanks", "head").agg(F.min("license").alias("license"), F.min(anchor).alias("anchor"))
+    return spark.createDataFrame(found.collect(), found.schema)
 
 
 def _anchored(licenses: DataFrame) -> Callable[[Column], Column]:

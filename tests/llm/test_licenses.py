@@ -1,4 +1,7 @@
-from heddle.llm.licenses import KNOWN, known, license_scan
+import re
+import textwrap
+
+from heddle.llm.licenses import KNOWN, full_texts, known, license_scan
 
 
 def scan(spark, rows):
@@ -44,3 +47,26 @@ def test_empty_and_repeated_hits(spark):
     line = "Released under the MIT License."
     assert scan(spark, [(1, "x\n" + line)] * 3) == [(1, None, 1, "MIT")] * 3
     assert scan(spark, [(1, "word " * 20000 + "\n" + line)]) == [(1, None, 1, "MIT")]
+
+
+def test_license_files(spark):
+    shipped = dict(full_texts())
+    asked = {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"}
+    assert asked <= set(shipped)
+    bodies = {name: next(x for n, x in full_texts() if n == name) for name in asked}
+    wrapped = lambda text: "\n".join(textwrap.wrap(text, 78))
+    owner = "Copyright (c) 2021 Some One\nAll rights reserved.\n\n"
+    rows = [
+        ("MIT", "MIT License\n\n" + owner + wrapped(bodies["MIT"])),
+        ("MIT", "The MIT License (MIT)\n\n" + owner + wrapped(bodies["MIT"])),
+        ("ISC", "ISC License\n\n" + owner + wrapped(bodies["ISC"])),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n" + owner + re.sub(r"(?m)^[1-3]\.", "*", bodies["BSD-3-Clause"])),
+        ("BSD-2-Clause", owner + bodies["BSD-2-Clause"].replace('"AS IS"', "``AS IS''")),
+        ("GPL-2.0", shipped["GPL-2.0"]),
+        ("GPL-2.0", shipped["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA  02111-1307")),
+        (None, "MIT License\n\n" + owner + wrapped(bodies["MIT"]) + "\nUnless it rains."),
+        (None, shipped["GPL-3.0"][:-200]),
+        (None, "MIT License"),
+    ] + [(name, bodies[name]) for name in sorted(asked)]
+    got = scan(spark, [(i, text) for i, (_, text) in enumerate(rows)])
+    assert {r[0]: r[1] for r in got} == {i: name for i, (name, _) in enumerate(rows)}
