@@ -142,14 +142,16 @@ def resolve_layers(query: DataFrame, entity: DataFrame) -> DataFrame:
     return query.select("query_id", M, squash("layer").alias("_k")).join(first, [M, "_k"], "left").select("query_id", "layer_name")
 
 
-def search_hits(query: DataFrame, entity: DataFrame, limit: int | None = None) -> DataFrame:
-    """In-model search: (query_id, position, kind, name, rank, entities) groups, exact before prefix before substring."""
+def search_hits(query: DataFrame, entity: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """In-model search: (query_id, position, kind, name, rank, entities) groups, exact before prefix before substring; and the
+    members of each group, (query_id, position, entity_id)."""
     q = query.select("query_id", M, F.lower(F.trim("name")).alias("_q")).filter("_q <> ''")
     names = cut(entity.groupBy(M, "kind", "name").agg(F.count(F.lit(1)).alias("entities")).withColumn("_e", F.lower("name")))
     hit = q.join(containing(q, names, [M]), [M, "_q"]).join(names, [M, "_e"])
     rank = F.when(F.col("_e") == F.col("_q"), 0).when(F.startswith("_e", F.col("_q")), 1).otherwise(2)
-    ranked = placed(hit.withColumn("rank", rank), ["query_id"], ["rank", "_e", "name", "kind"], "position", limit)
-    return ranked.select("query_id", "position", "kind", "name", "rank", "entities")
+    ranked = cut(placed(hit.withColumn("rank", rank), ["query_id"], ["rank", "_e", "name", "kind"], "position", limit))
+    members = ranked.select("query_id", M, "position", "kind", "name").join(entity.select(M, "kind", "name", "entity_id"), [M, "kind", "name"])
+    return ranked.select("query_id", "position", "kind", "name", "rank", "entities"), members.select("query_id", "position", "entity_id")
 
 
 def search_catalog(query: DataFrame, entry: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:

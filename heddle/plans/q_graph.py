@@ -372,6 +372,17 @@ def _(t):
     return md.describe(t("b_entity"), t("b_transition"), t("b_property"))
 
 
+@query("entity_details", """
+WITH t AS (SELECT b.model_id, b.transition_id, b.target, b.ordinal FROM b_transition b JOIN b_entity x ON b.model_id = x.model_id AND b.source = x.entity_id
+  JOIN b_entity y ON b.model_id = y.model_id AND b.target = y.entity_id),
+f AS (SELECT t.model_id, target, value, min(ordinal) AS o FROM t JOIN b_property p ON t.model_id = p.model_id AND transition_id = entity_id WHERE key = 'Transform' AND value <> '' GROUP BY 1, 2, 3)
+SELECT p.model_id, p.entity_id, 'property' AS part, cast(NULL AS bigint) AS position, p.key, p.value FROM b_property p JOIN b_entity e ON p.model_id = e.model_id AND p.entity_id = e.entity_id
+UNION ALL SELECT model_id, target, 'transform', row_number() OVER (PARTITION BY model_id, target ORDER BY o, value), 'Transform', value FROM f
+""")
+def _(t):
+    return md.describe_details(t("b_entity"), t("b_transition"), t("b_property"))
+
+
 @query("entity_transforms", """
 SELECT model_id, lid AS entity_id, concat('amount * ', ln) AS transform, ok * 64 + ln * 8 + 2 AS first_ordinal FROM b_line WHERE ls = 'O'
 """)

@@ -66,7 +66,17 @@ h AS (SELECT query_id, kind, name, e, entities, CASE WHEN e = q THEN 0 WHEN star
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, e, name, kind) AS position FROM h)
 SELECT query_id, position, kind, name, rank, entities FROM r""")
 def _(t):
-    return mt.search_hits(t("b_query"), t("b_entity"))
+    return mt.search_hits(t("b_query"), t("b_entity"))[0]
+
+
+@query("search_model_members", """
+WITH q AS (SELECT query_id, model_id, lower(trim(name)) AS q FROM b_query),
+n AS (SELECT model_id, kind, name, lower(name) AS e, count(*) AS entities FROM b_entity GROUP BY 1, 2, 3),
+h AS (SELECT query_id, n.model_id, kind, name, e, CASE WHEN e = q THEN 0 WHEN starts_with(e, q) THEN 1 ELSE 2 END AS rank FROM q JOIN n ON q.model_id = n.model_id AND contains(e, q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, e, name, kind) AS position FROM h)
+SELECT query_id, position, entity_id FROM r JOIN b_entity b ON r.model_id = b.model_id AND r.kind = b.kind AND r.name = b.name""")
+def _(t):
+    return mt.search_hits(t("b_query"), t("b_entity"))[1]
 
 
 ENTRIES = """SELECT 'table' AS kind, concat('w', c_nationkey) AS workspace_id, concat('t', c_custkey) AS id, lower(c_mktsegment) AS name FROM customer

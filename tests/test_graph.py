@@ -173,3 +173,14 @@ def test_positions_and_last_values_in_a_hot_group(spark):
         assert last[(k, o)] == carry.get(k)
         if o % 11 == 0:
             carry[k] = o
+
+
+def test_details_hold_properties_and_ordered_transforms(spark):
+    entity, transition = tables(spark, [(0, 5), (1, 5), (2, 5), (3, 5), (5, 6)], 7)
+    rows = [("m", "n5", "Tags", "x"), ("m", "n5", "Note", ""), ("m", "t000", "Transform", "z"), ("m", "t001", "Transform", "b"), ("m", "t002", "Transform", "z"), ("m", "t003", "Transform", ""), ("m", "t004", "Access", "Read")]
+    prop = spark.createDataFrame(rows, "model_id string, entity_id string, key string, value string")
+    got = {tuple(r) for r in md.describe_details(entity, transition, prop).collect()}
+    assert got == {
+        ("m", "n5", "property", None, "Tags", "x"), ("m", "n5", "property", None, "Note", ""),
+        ("m", "n5", "transform", 1, "Transform", "z"), ("m", "n5", "transform", 2, "Transform", "b"),
+    }

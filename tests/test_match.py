@@ -168,3 +168,13 @@ def test_empty_filter_matches_nothing(spark):
     prop = spark.createDataFrame([("m", "a", "Note", "")], "model_id string, entity_id string, key string, value string")
     assert mt.filter_view(entity, prop).count() == 0
     assert mt.filter_view(entity, prop, properties=(("Note", " "),)).filter(F.col("matched")).count() == 1
+
+
+def test_search_members_are_the_counted_entities(spark):
+    rows = [("m", "a", "object", "Name"), ("m", "b", "object", "Name"), ("m", "c", "attribute", "Name"), ("m", "d", "object", "m_name"), ("o", "e", "object", "Name"), ("m", "f", "object", None)]
+    entity = spark.createDataFrame(rows, "model_id string, entity_id string, kind string, name string")
+    query = spark.createDataFrame([("q", "m", " NAME "), ("none", "m", "x")], "query_id string, model_id string, name string")
+    groups, members = mt.search_hits(query, entity)
+    assert sorted(tuple(r) for r in groups.collect()) == [("q", 1, "attribute", "Name", 0, 1), ("q", 2, "object", "Name", 0, 2), ("q", 3, "object", "m_name", 2, 1)]
+    assert sorted(tuple(r) for r in members.collect()) == [("q", 1, "c"), ("q", 2, "a"), ("q", 2, "b"), ("q", 3, "d")]
+    assert sorted(tuple(r) for r in mt.search_hits(query, entity, 1)[1].collect()) == [("q", 1, "c")]
