@@ -269,6 +269,39 @@ def _(t):
     )
 
 
+@query("graph_model_rows", f"""
+WITH a AS (SELECT DISTINCT * FROM ({MODEL_ACC})), c AS ({MODEL_COLS.format(acc=MODEL_ACC)}),
+rd AS (SELECT model_id, step, bool_or(access = 'Read') AS r FROM a GROUP BY 1, 2),
+st AS (SELECT o_custkey AS model_id, o_orderkey AS o, concat('nb', o_orderkey) AS step, CASE WHEN r THEN 1 ELSE 0 END AS d FROM orders LEFT JOIN rd ON rd.model_id = o_custkey AND rd.step = concat('nb', o_orderkey)),
+tb AS (SELECT a.model_id, ref, max(CASE WHEN access = 'Write' THEN d + 1 ELSE 0 END) AS d FROM a JOIN st ON a.model_id = st.model_id AND a.step = st.step GROUP BY 1, 2),
+d AS (SELECT model_id, d, true AS s FROM st UNION ALL SELECT model_id, d, false FROM tb),
+ly AS (SELECT model_id, d, bool_or(s) AS s, max(max(d)) OVER (PARTITION BY model_id) AS top FROM d GROUP BY 1, 2),
+io AS (SELECT a.*, concat('io|', step, '|', access, '|', ref) AS io, concat('t|', lower(ref)) AS t, split_part(ref, '/', 3) AS leaf FROM a),
+ic AS (SELECT io.*, column_name AS col, data_type, concat(io, '|', column_name) AS here, concat('c|', lower(io.ref), '|', column_name) AS there FROM io JOIN c ON io.model_id = c.model_id AND io.ref = c.ref),
+e0 AS (SELECT model_id, access, step, cast(NULL AS varchar) AS col, io AS here, t AS there FROM io UNION ALL SELECT model_id, access, step, col, here, there FROM ic),
+e1 AS (SELECT model_id, access, step, col, CASE access WHEN 'Read' THEN there ELSE here END AS source, CASE access WHEN 'Read' THEN here ELSE there END AS target FROM e0),
+e AS (SELECT *, concat('e|', source, '|', target) AS id FROM e1)
+SELECT model_id, 'layer' AS part, concat('L|', d) AS id, CASE WHEN s THEN 'Notebooks & pipelines' WHEN d = 0 THEN 'Source tables' WHEN d = top THEN 'Output tables' ELSE 'Tables' END AS a, cast(NULL AS varchar) AS b FROM ly
+UNION ALL SELECT model_id, 'object', concat('s|', step), step, concat('L|', d) FROM st
+UNION ALL SELECT model_id, 'object', concat('t|', lower(ref)), split_part(ref, '/', 3), concat('L|', d) FROM tb
+UNION ALL SELECT model_id, 'attribute', io, leaf, concat('s|', step) FROM io UNION ALL SELECT model_id, 'attribute', here, col, io FROM ic
+UNION ALL SELECT model_id, 'attribute', concat('c|', lower(ref), '|', column_name), column_name, concat('t|', lower(ref)) FROM c
+UNION ALL SELECT model_id, 'edge', id, source, target FROM e
+UNION ALL SELECT model_id, 'property', id, 'Source', 'run analysis' FROM e UNION ALL SELECT model_id, 'property', id, 'Access', access FROM e
+UNION ALL SELECT model_id, 'property', id, k, CASE k WHEN 'Derives' THEN 'X.amount' WHEN 'Transform' THEN 'amount * 2' ELSE step END FROM e, (VALUES ('Derives'), ('Transform'), ('Via')) AS v(k) WHERE access = 'Write' AND col = 'qty'
+UNION ALL SELECT model_id, 'property', io, 'Access', access FROM io UNION ALL SELECT model_id, 'property', here, 'Data type', data_type FROM ic
+UNION ALL SELECT model_id, 'property', concat('c|', lower(ref), '|', column_name), 'Data type', data_type FROM c
+UNION ALL SELECT model_id, 'property', concat('s|', step), k, CASE k WHEN 'Tags' THEN concat('Notebook, Step ', o) WHEN 'Source' THEN 'run analysis' WHEN 'Step' THEN cast(o AS varchar) ELSE 'W' END FROM st, (VALUES ('Tags'), ('Source'), ('Step'), ('Workspace')) AS v(k)
+UNION ALL SELECT model_id, 'property', concat('t|', lower(ref)), k, CASE k WHEN 'Tags' THEN 'Table' WHEN 'Source' THEN 'run analysis' ELSE 'W' END FROM tb, (VALUES ('Tags'), ('Source'), ('Workspace')) AS v(k)""")
+def _(t):
+    entity, edges, props = am.model_from_runs(*_model_inputs(t))
+    return (
+        entity.select("model_id", F.col("kind").alias("part"), F.col("entity_id").alias("id"), F.col("name").alias("a"), F.col("parent_id").alias("b"))
+        .union(edges.select("model_id", F.lit("edge"), "transition_id", "source", "target"))
+        .union(props.select("model_id", F.lit("property"), "entity_id", "key", "value"))
+    )
+
+
 @query("graph_staged_hops", f"""
 WITH a AS (SELECT DISTINCT *, split_part(ref, '/', 3) AS leaf FROM ({MODEL_ACC})), c AS ({MODEL_COLS.format(acc=MODEL_ACC)}),
 s AS (SELECT model_id, step, string_agg(DISTINCT leaf, ', ' ORDER BY leaf) FILTER (access = 'Read') AS r, string_agg(DISTINCT leaf, ', ' ORDER BY leaf) FILTER (access = 'Write') AS w FROM a GROUP BY 1, 2),
