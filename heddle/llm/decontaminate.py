@@ -73,7 +73,8 @@ def term_filter(phrase_terms: DataFrame) -> tuple[bytes, int]:
 
 def text_runs(docs: DataFrame, bits: bytes, least: int) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, row (a hash of the text), n_words, and `runs`: start and terms of each
-    stretch of at least `least` words that all pass the filter. A phrase can stand nowhere else."""
+    stretch of at least `least` words that all pass the filter. A phrase can stand nowhere else; terms that are to be near
+    each other can, unless `least` is 1."""
     rows = pick(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
     small_batches(docs.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -157,9 +158,16 @@ def phrase_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     return short.unionByName(pairs).unionByName(full)
 
 
+def proximity_index(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Postings of every occurrence of a term of queries(terms) in docs(doc_id, text): what `proximity_matches` needs."""
+    bits, least = term_filter(queries)
+    return positional_index(text_runs(docs, bits, min(least, 1)))
+
+
 def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
     """Where the rarest term of queries(query, terms) has every other term of the query at most `slop` words away, in any
     order: query, doc_id, row, position of the rarest term. A term that the query repeats needs to stand there once only.
+    The index is that of `proximity_index`; one made for phrases alone lacks terms that stand between other words.
     """
     once = queries.select("query", F.array_distinct("terms").alias("terms"))
     ranked = _ranked(index, once)

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from heddle.llm.decontaminate import contamination, phrase_matches, phrases, positional_index, proximity_matches, term_filter, text_runs
+from heddle.llm.decontaminate import contamination, phrase_matches, phrases, positional_index, proximity_index, proximity_matches, term_filter, text_runs
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -75,3 +75,11 @@ def test_proximity(spark, index):
     alone = {("s", 1, 2), ("s", 2, 1), ("t", 1, 0), ("t", 1, 5), ("t", 2, 2), ("t", 3, 0), ("t", 3, 1), ("t", 3, 2)}
     assert near(1) == alone | {("p", 2, 1)}
     assert near(3) == alone | {("p", 1, 2), ("p", 2, 1), ("q", 1, 1)}
+
+
+def test_proximity_of_terms_between_other_words(spark):
+    docs = spark.createDataFrame([(1, "a x b y c"), (2, "a b c"), (3, "x a y")], "doc_id long, text string")
+    queries = spark.createDataFrame([("p", ["a", "b"]), ("q", ["a", "b", "c"])], "query string, terms array<string>")
+    found = proximity_matches(proximity_index(docs, queries), queries, 2)
+    assert {(r["query"], r.doc_id) for r in found.collect()} == {("p", 1), ("p", 2), ("q", 1), ("q", 2)}
+    assert proximity_index(docs, queries.limit(0)).count() == 0
