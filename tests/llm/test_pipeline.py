@@ -35,16 +35,16 @@ def test_each_stage_against_brute_force(spark):
     assert sorted({str(c) for _, c in classes(rows)}) == sorted({str(d) for d, _ in stay})
     assert set(stay) <= set(rows) and len(stay) == len({d for d, _ in stay})
 
-    cut = corpus_pipeline.substring_dedup(spark, docs, SF_DIR)
-    assert cut.schema.names == schema.names
+    shorter = corpus_pipeline.substring_dedup(spark, docs, SF_DIR)
+    assert shorter.schema.names == schema.names
     texts = {}
-    for r in cut.collect():
+    for r in shorter.collect():
         texts.setdefault(r.doc_id, r.text)
         assert r.n_chars == (None if r.text is None else len(r.text))
     for doc_id, _, removed, digest in repeats(spark, rows, 20):
         assert hashlib.sha256(b" ".join((texts[doc_id] or "").encode().split())).hexdigest() == digest
         assert removed or texts[doc_id] == next(t for d, t in rows if d == doc_id)
-    assert cut.count() == len(rows)
+    assert shorter.count() == len(rows)
 
     clean = corpus_pipeline.decontamination(spark, docs, SF_DIR)
     assert clean.schema.names == schema.names
