@@ -136,7 +136,8 @@ def term_counts(lists: DataFrame, min_df: int) -> DataFrame:
     for number, share in enumerate(_shares(lists, min_df)):
         # a mark of its own, kept by so many rows, since CountVectorizer refuses an empty vocabulary
         marks = spark.range(0, min_df, 1, 1).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit(MARK * 2)).alias("terms"))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=MAX_VOCABULARY).fit(share.unionByName(marks))
+        once = share.withColumn("terms", F.array_distinct("terms"))  # a fit asks in how many documents a term is
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=MAX_VOCABULARY).fit(once.unionByName(marks))
         spelled = [name.rpartition(MARK) for name in model.vocabulary]
         names = pa.table({"index": pa.array(range(len(spelled)), pa.int64()), "lang": pa.array([x[0] for x in spelled], pa.string()), "term": pa.array([x[2] for x in spelled], pa.string())})
         found = group_sums(model.transform(share)).join(spark.createDataFrame(names), "index")
