@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import decontaminate, divergence, html_text, licenses, neardup, quality, records, sentencepiece_bpe, sharding, substrings, topk
+from heddle.llm import decontaminate, divergence, html_text, licenses, neardup, negatives, quality, records, secrets, sentencepiece_bpe, sharding, substrings, topk
+from heddle.llm.common import pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +135,26 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_source_divergence"] = divergence.ORACLE
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pick(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved))
+
+
+ORACLES["op12_hard_negatives"] = negatives.ORACLE
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == secrets.KINDS.index(kind))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.KINDS.index("random"))
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
