@@ -20,6 +20,30 @@ FLOW_KEY = ["to_table", "to_column", "from_table", "from_column"]
 
 # --- views ------------------------------------------------------------------
 
+def view_closure(view_flow: DataFrame, view: DataFrame) -> DataFrame:
+    """(nb_id, view_key, column, source_name, source_column, transform): what each column of a resolved view comes to in base tables, one row
+    for each way down, with the first transform on it. A way that passes a view twice, or an unresolved one, accounts for nothing.
+
+    The relation is composed with itself: ways of 1, 2, 4, ... steps that still end in a view are put in front of all ways
+    down that are known, so views on views of any depth take a logarithmic number of rounds.
+    """
+    views = view.groupBy("nb_id", "view_key").agg(F.coalesce(F.max("resolved"), F.lit(False)).alias("_good"))
+    names = views.select("nb_id", F.col("view_key").alias("source_name"), F.col("_good"))
+    one = view_flow.join(views.filter("_good").select("nb_id", "view_key"), ["nb_id", "view_key"], "left_semi").join(names, ["nb_id", "source_name"], "left")
+    one = cut(one.filter("_good is null or _good").withColumn("_via", F.array("view_key")))
+    row = ["nb_id", "view_key", "column", "source_name", "source_column", "transform", "_via"]
+    down = one.filter("_good is null").select(*row)
+    still = one.filter("_good").select(*row)
+    while not still.isEmpty():
+        inner = lambda rows: rows.select("nb_id", F.col("view_key").alias("source_name"), F.col("column").alias("source_column"), *[F.col(x).alias(f"_{x}_") for x in ("source_name", "source_column", "transform", "_via")])
+        ends = inner(down).withColumn("_ends", F.lit(True)).unionByName(inner(still).withColumn("_ends", F.lit(False)))
+        met = still.join(ends, ["nb_id", "source_name", "source_column"]).filter(~F.arrays_overlap("_via", "__via_"))
+        met = cut(met.select("nb_id", "view_key", "column", F.col("_source_name_").alias("source_name"), F.col("_source_column_").alias("source_column"), F.coalesce("transform", "_transform_").alias("transform"), F.concat("_via", "__via_").alias("_via"), "_ends"))
+        down = down.unionByName(met.filter("_ends").select(*row))
+        still = met.filter("not _ends").select(*row)
+    return down.drop("_via")
+
+
 def flatten_views(flow: DataFrame, view_flow: DataFrame, view: DataFrame) -> DataFrame:
     """Replace view sources by the base tables underneath, views on views included.
 
@@ -28,44 +52,18 @@ def flatten_views(flow: DataFrame, view_flow: DataFrame, view: DataFrame) -> Dat
     nothing. An outer passthrough inherits the first transform on the way down.
     A view that leads back to itself accounts for nothing.
     """
-    inner = cut(
-        view_flow.join(view.filter("resolved").select("nb_id", "view_key"), ["nb_id", "view_key"], "left_semi").select(
-            "nb_id",
-            F.col("view_key").alias("source_name"),
-            F.col("column").alias("source_column"),
-            F.col("source_name").alias("_name"),
-            F.col("source_column").alias("_column"),
-            F.col("transform").alias("_transform"),
-        )
+    names = view.select("nb_id", F.col("view_key").alias("source_name")).distinct()
+    base = flow.join(names, ["nb_id", "source_name"], "left_anti")
+    under = view_closure(view_flow, view).select("nb_id", F.col("view_key").alias("source_name"), F.col("column").alias("source_column"), F.col("source_name").alias("_name"), F.col("source_column").alias("_column"), F.col("transform").alias("_transform"))
+    found = flow.join(under, ["nb_id", "source_name", "source_column"]).select(
+        "nb_id", "target", "column", F.col("_name").alias("source_name"), F.col("_column").alias("source_column"), F.coalesce("transform", "_transform").alias("transform")
     )
-    names = cut(view.select("nb_id", F.col("view_key").alias("source_name"), F.lit(True).alias("_view")).distinct())
-    todo = flow.withColumn("_via", F.expr("cast(array() as array<string>)"))
-    done = []
-    while True:
-        marked = cut(todo.join(names, ["nb_id", "source_name"], "left"))
-        base = marked.filter("_view is null")
-        done.append(base.select("nb_id", "target", "column", "source_name", "source_column", "transform"))
-        rest = marked.filter(F.col("_view") & ~F.array_contains("_via", F.col("source_name")))
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        todo = rest.join(inner, ["nb_id", "source_name", "source_column"]).select(
-            "nb_id",
-            "target",
-            "column",
-            F.col("_name").alias("source_name"),
-            F.col("_column").alias("source_column"),
-            F.coalesce("transform", "_transform").alias("transform"),
-            F.array_append("_via", F.col("source_name")).alias("_via"),
-        )
+    return base.select(*found.columns).unionByName(found)
 
 
 def view_base_refs(view_flow: DataFrame, view: DataFrame) -> DataFrame:
     """(nb_id, view_key, ref): the tables that reading a view reads."""
-    rows = view_flow.join(view.filter("resolved"), ["nb_id", "view_key"], "left_semi").select(
-        "nb_id", F.col("view_key").alias("target"), "column", "source_name", "source_column", "transform"
-    )
-    flat = flatten_views(rows, view_flow, view)
-    return flat.select("nb_id", F.col("target").alias("view_key"), F.col("source_name").alias("ref")).distinct()
+    return view_closure(view_flow, view).select("nb_id", "view_key", F.col("source_name").alias("ref")).distinct()
 
 
 # --- frames -----------------------------------------------------------------

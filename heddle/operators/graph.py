@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.session import cut, placed
+from heddle.operators import depth
+from heddle.session import Dealt, cut, placed
 
 M = "model_id"
 
@@ -64,7 +65,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def reachable(seeds: DataFrame, step: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(model, start, node, hops): every node reached from each start, with the
     start itself at 0 hops. `seeds` is (model, start, node); `step` is oriented."""
-    step = cut(step)
+    step = Dealt(step, M, "node")
     frontier = cut(seeds.select(M, "start", "node").distinct())
     levels = [frontier.withColumn("hops", F.lit(0))]
     hops = 0
@@ -72,7 +73,7 @@ def reachable(seeds: DataFrame, step: DataFrame, max_hops: int | None = None) ->
         hops += 1
         seen = _union(levels).select(M, "start", "node")
         frontier = cut(
-            frontier.join(step, [M, "node"])
+            step.join(frontier)
             .select(M, "start", F.col("nxt").alias("node"))
             .distinct()
             .join(seen, [M, "start", "node"], "left_anti")
@@ -200,83 +201,38 @@ def prune(keep: DataFrame, entity: DataFrame, transition: DataFrame) -> tuple[Da
 def components(nodes: DataFrame, edges: DataFrame, group: str = M) -> DataFrame:
     """(group, node, component): smallest node id connected to the node, directions ignored.
 
-    Each round takes the smallest label among the neighbours and then follows
-    the label's own label, so long chains shorten by half per round. The min is
-    a partial aggregate, so a hub node costs no more than its edges.
+    Edges are contracted: in a round every node joins the neighbour (or itself) that comes first in an order drawn anew by hash, and edges
+    inside what has joined leave. That takes away a constant share of the nodes whatever the shape, so the rounds are few
+    and each moves only the edges that are left. The first is a partial aggregate: a hub costs no more than its
+    edges. Nodes find their component back through the rounds' tables.
     """
-    move = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("nxt"))
-    both = cut(edges.select(group, F.inline(F.array(move("source", "target"), move("target", "source")))).distinct())
-    label = cut(nodes.select(group, "node", F.col("node").alias("component")).distinct())
-    while True:
-        offered = both.join(label.select(group, F.col("node").alias("nxt"), "component"), [group, "nxt"]).select(
-            group, "node", "component"
-        )
-        low = label.union(offered).groupBy(group, "node").agg(F.min("component").alias("component"))
-        jump = low.select(group, F.col("node").alias("component"), F.col("component").alias("_root"))
-        moved = low.join(jump, [group, "component"], "left").select(
-            group, "node", F.least("component", F.coalesce("_root", "component")).alias("component")
-        )
-        nxt = cut(moved)
-        changed = nxt.join(label, [group, "node", "component"], "left_anti")
-        if changed.isEmpty():
-            return nxt
-        label = nxt
+    nodes = nodes.select(group, "node").distinct()
+    left = cut(edges.select(group, F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).filter("a <> b").distinct())
+    joins: list[DataFrame] = []
+    while not left.isEmpty():
+        place = lambda x, r=len(joins): F.struct(F.xxhash64(F.lit(r), F.col(x)).alias("at"), F.col(x).alias("to"))
+        ends = F.inline(F.array(F.struct(F.col("a").alias("node"), place("b").alias("other")), F.struct(F.col("b").alias("node"), place("a").alias("other"))))
+        first = left.select(group, ends).groupBy(group, "node").agg(F.min("other").alias("other"))
+        joined = cut(first.select(group, "node", F.least("other", place("node"))["to"].alias("to")))
+        joins.append(joined)
+        ends = [joined.select(group, F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab"]
+        moved = left.join(ends[0], [group, "a"]).join(ends[1], [group, "b"]).filter("to_a <> to_b")
+        left = cut(moved.select(group, F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    if not joins:
+        return nodes.withColumn("component", F.col("node"))
+    found = joins[-1]
+    for joined in reversed(joins[:-1]):
+        later = found.select(group, F.col("node").alias("to"), F.col("to").alias("_root"))
+        found = joined.join(later, [group, "to"], "left").select(group, "node", F.coalesce("_root", "to").alias("to"))
+    found = cut(found)
+    least = found.groupBy(group, "to").agg(F.min(F.least("node", "to")).alias("component"))
+    named = found.join(least, [group, "to"]).select(group, "node", "component")
+    return nodes.join(named, [group, "node"], "left").select(group, "node", F.coalesce("component", "node").alias("component"))
 
 
 def longest_path(nodes: DataFrame, edges: DataFrame, group: str = M, max_rounds: int | None = None) -> DataFrame:
-    """(group, node, depth): 0 for sources, else 1 + the deepest parent.
-
-    Nodes are peeled off in rounds: a node whose parents have all been peeled gets
-    the number of the round. When only cycles (and what hangs off them) remain,
-    the nodes on them take their depth from the parents already placed, i.e. an
-    edge inside the cycle does not count, and peeling goes on below them.
-    With `max_rounds`, deeper nodes and nodes at or below a cycle are left out.
-    """
-    known = cut(nodes.select(group, "node").distinct())
-    links = edges.select(group, F.col("source").alias("src"), F.col("target").alias("node")).filter("src <> node").distinct()
-    ids = known.withColumnRenamed("node", "src")
-    links = cut(links.join(known, [group, "node"], "left_semi").join(ids, [group, "src"], "left_semi"))
-    every = links
-    ready = cut(known.join(links.select(group, "node").distinct(), [group, "node"], "left_anti"))
-    done: list[DataFrame] = []
-    rounds = 0
-    while not ready.isEmpty():
-        done.append(ready.withColumn("depth", F.lit(rounds)))
-        if max_rounds is not None and rounds >= max_rounds:
-            return _union(done)
-        gone = ready.withColumnRenamed("node", "src")
-        reached = links.join(gone, [group, "src"], "left_semi").select(group, "node").distinct()
-        links = cut(links.join(gone, [group, "src"], "left_anti"))
-        ready = cut(reached.join(links.select(group, "node").distinct(), [group, "node"], "left_anti"))
-        rounds += 1
-        if len(done) > 12:
-            done = [cut(_union(done))]
-    if max_rounds is not None or links.isEmpty():
-        return _union(done) if done else known.withColumn("depth", F.lit(0))
-    # Cycles are left. Nodes on them start from the parents placed so far; below them, a node is
-    # placed once all its parents are, one more than the deepest.
-    placed = cut(_union(done)) if done else known.limit(0).withColumn("depth", F.lit(0))
-    ready = _cycle_core(links, group)
-    while not ready.isEmpty():
-        above = every.join(ready, [group, "node"], "left_semi").join(
-            placed.withColumnRenamed("node", "src"), [group, "src"]
-        ).groupBy(group, "node").agg((F.max("depth") + 1).alias("depth"))
-        placed = cut(placed.unionByName(ready.join(above, [group, "node"], "left").select(group, "node", F.coalesce("depth", F.lit(0)).alias("depth"))))
-        left = known.join(placed.select(group, "node"), [group, "node"], "left_anti")
-        open_ = every.join(left.withColumnRenamed("node", "src"), [group, "src"], "left_semi").select(group, "node").distinct()
-        ready = cut(left.join(open_, [group, "node"], "left_anti"))
-    return placed
-
-
-def _cycle_core(links: DataFrame, group: str) -> DataFrame:
-    """Nodes on a cycle or between two of them: what is left after peeling from below as well."""
-    core = links
-    while True:
-        sources = core.select(group, F.col("src").alias("node")).distinct()
-        kept = cut(core.join(sources, [group, "node"], "left_semi"))
-        if kept.count() == core.count():
-            return cut(kept.select(group, "node").distinct())
-        core = kept
+    """(group, node, depth) as `depth.longest_path` has it."""
+    return depth.longest_path(nodes, edges, group, max_rounds)
 
 
 def _order(prefix: str = "") -> Column:

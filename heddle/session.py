@@ -44,6 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: How often each application's steps have been deleted; what refers to steps is out of date after that.
 _FORGOTTEN: dict[str, int] = {}
+#: Names of each application's steps that are tables.
+_TABLES: dict[str, list[str]] = {}
 
 
 def generation(spark: SparkSession) -> int:
@@ -53,12 +55,79 @@ def generation(spark: SparkSession) -> int:
 def forget(spark: SparkSession) -> None:
     """Delete every step this session has written to its checkpoint folder."""
     _FORGOTTEN[spark.sparkContext.applicationId] = generation(spark) + 1
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         path = spark._jvm.org.apache.hadoop.fs.Path(found.get())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """As `cut`, dealt and sorted by the keys, so that a join or a group on them reads it without moving it again.
+
+    The step is a table of the session's catalogue whose files lie in the checkpoint folder; `forget` drops it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"heddle_step_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+    df.repartition(parts, *keys).write.bucketBy(parts, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
+#: Salts of a hot key for each equal share of a task it holds: so many that chance deals tasks alike.
+SALTS = 8
+
+
+class Dealt:
+    """The side of a loop's join that does not change, moved once: `join` brings only the other side to it.
+
+    Rows of a key that holds more than an equal share of a task are spread over as many tasks as that takes, by a salt; the
+    other side's rows of such a key, and of no other, go to each of them. More keys than tasks cannot be that hot, which
+    bounds what is broadcast.
+    """
+
+    def __init__(self, df: DataFrame, *keys: str, least: int = 100_000) -> None:
+        self.keys = list(keys)
+        df = cut(df)
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = max(least, df.count() // parts + 1)
+        hot = df.groupBy(*keys).count().filter(F.col("count") > share)
+        self.hot = cut(hot.select(*keys, F.ceil(F.col("count") * SALTS / share).cast("int").alias("_salts")))
+        if self.hot.isEmpty():
+            self.hot = None
+            self.table = cut_by(df, *keys)
+        else:
+            salted = df.join(F.broadcast(self.hot), self.keys, "left")
+            salt = F.pmod(F.xxhash64(*df.columns), F.coalesce("_salts", F.lit(1))).cast("int")
+            self.table = cut_by(salted.withColumn("_salt", salt).drop("_salts"), *keys, "_salt")
+
+    def join(self, other: DataFrame) -> DataFrame:
+        """The inner join of `other` with the table on the keys."""
+        if self.hot is None:
+            return other.join(self.table, self.keys)
+        last = F.coalesce("_salts", F.lit(1)) - 1
+        spread = other.join(F.broadcast(self.hot), self.keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
+        return spread.join(self.table, [*self.keys, "_salt"]).drop("_salt")
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], least: int = 100_000) -> DataFrame:
+    """The inner join of `big` with `small` where keys may be hot in `big`: the rows of a key that holds more than an equal share of a task
+    are spread, and only such keys' rows of `small` are repeated. Null keys meet nothing."""
+    big = cut(big)
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(least, big.count() // parts + 1)
+    hot = cut(big.groupBy(*keys).count().filter(F.col("count") > share).select(*keys, F.ceil(F.col("count") * SALTS / share).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return big.join(small, keys)
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.floor(F.rand(7) * F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    spread = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Broadcast hint when the estimated size is proven small, else `df` as it is
     (a shuffled join, which adaptive execution can still split or convert)."""
