@@ -352,7 +352,7 @@ def assign_stages(node: DataFrame, link: DataFrame) -> DataFrame:
 
 def assign_owners(node: DataFrame, link: DataFrame, steps_first: bool = False) -> DataFrame:
     """(graph_id, node_id, owner, layer): one layer per owner (workspace, else lakehouse), by the earliest depth and then first
-    appearance; an unknown owner last; optionally owners that run steps first. `node` (graph_id, ordinal, node_id, kind,
+    appearance (then by name); an unknown owner last; optionally owners that run steps first. `node` (graph_id, ordinal, node_id, kind,
     workspace, lakehouse)."""
     depth = longest_path(node.select("graph_id", F.col("node_id").alias("node")), link, "graph_id").select("graph_id", F.col("node").alias("node_id"), "depth")
     writes = link.filter("kind = 'write'").join(node.select("graph_id", F.col("node_id").alias("target"), F.col("lakehouse").alias("_l")), ["graph_id", "target"])
@@ -361,7 +361,7 @@ def assign_owners(node: DataFrame, link: DataFrame, steps_first: bool = False) -
     owner = F.coalesce(F.nullif("workspace", F.lit("")), F.concat(F.lit("lh:"), lake), F.lit(""))
     rows = cut(node.join(into, ["graph_id", "node_id"], "left").join(depth, ["graph_id", "node_id"]).withColumn("owner", owner))
     owners = rows.groupBy("graph_id", "owner").agg(F.min("depth").alias("_d"), F.min("ordinal").alias("_at"), F.max(F.col("kind") != "table").alias("_runs"))
-    keys = ([~F.col("_runs")] if steps_first else []) + [F.col("owner") == "", "_d", "_at"]
+    keys = ([~F.col("_runs")] if steps_first else []) + [F.col("owner") == "", "_d", "_at", "owner"]
     layer = F.row_number().over(W.partitionBy("graph_id").orderBy(*keys)) - 1
     return rows.join(owners.withColumn("layer", layer).select("graph_id", "owner", "layer"), ["graph_id", "owner"]).select("graph_id", "node_id", "owner", "layer")
 

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from heddle.operators import assemble as am
+from heddle.operators.depth import longest_path, strong_components
+from heddle.session import cut
 
 from .q_sources import bi_parts
 from .registry import query
@@ -207,7 +209,42 @@ def _(t):
     return am.assign_stages(*_run_nodes(t))
 
 
-@query("graph_owner_assign")
+# Depths on these graphs, which have cycles, by the definition: edges between nodes that reach each other leave, then the longest way.
+RUN_DEPTHS = f"""
+l AS (SELECT o_custkey AS g, l_orderkey AS ok, l_suppkey AS sk, l_linenumber < 4 AS rd, l_linenumber * 100000000000000 + l_partkey * 1000000 + l_suppkey AS o,
+      l_orderkey * 10 + l_linenumber AS seen, {LAKE.format(k='l_suppkey')} AS lake FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+x AS (SELECT ok, arg_min(lake, o) FILTER (NOT rd) AS lands FROM l GROUP BY 1),
+n AS (SELECT o_custkey AS g, concat('s', o_orderkey) AS v, o_orderkey * 10 AS seen, true AS runs,
+    CASE WHEN o_orderstatus = 'F' THEN 'Wf' WHEN lands IS NOT NULL THEN concat('lh:', lands) ELSE '' END AS owner FROM orders LEFT JOIN x ON ok = o_orderkey
+  UNION ALL SELECT g, concat('t', sk), min(seen), false, concat('lh:', min(lake)) FROM l GROUP BY g, sk),
+e AS (SELECT DISTINCT g, CASE WHEN rd THEN concat('t', sk) ELSE concat('s', ok) END AS a, CASE WHEN rd THEN concat('s', ok) ELSE concat('t', sk) END AS b FROM l),
+r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.b),
+f AS (SELECT e.g, e.a, e.b FROM e ANTI JOIN r ON r.g = e.g AND r.a = e.b AND r.b = e.a),
+d AS (SELECT g, v, 0 AS depth FROM n UNION SELECT d.g, f.b, d.depth + 1 FROM d JOIN f ON f.g = d.g AND f.a = d.v),
+m AS (SELECT g, v, max(depth) AS depth FROM d GROUP BY 1, 2)"""
+
+
+@query("graph_cycle_depth", f"WITH RECURSIVE {RUN_DEPTHS} SELECT g AS graph_id, v AS node_id, depth FROM m")
+def _(t):
+    node, link = _run_nodes(t)
+    return longest_path(node.select("graph_id", F.col("node_id").alias("node")), link, "graph_id").withColumnRenamed("node", "node_id")
+
+
+@query("graph_cycle_members", f"""
+WITH RECURSIVE {RUN_DEPTHS}
+SELECT g AS graph_id, a AS node_id, max(b) AS scc FROM (SELECT x.g, x.a, x.b FROM r x JOIN r y ON y.g = x.g AND y.a = x.b AND y.b = x.a) c GROUP BY 1, 2""")
+def _(t):
+    link = _run_nodes(t)[1].select("graph_id", F.col("source").alias("src"), F.col("target").alias("node"))
+    found = cut(strong_components(link, "graph_id"))
+    many = found.groupBy("graph_id", "scc").count().filter("count > 1").drop("count")
+    return found.join(many, ["graph_id", "scc"]).select("graph_id", F.col("node").alias("node_id"), "scc")
+
+
+@query("graph_owner_assign", f"""
+WITH RECURSIVE {RUN_DEPTHS},
+w AS (SELECT n.g, owner, row_number() OVER (PARTITION BY n.g ORDER BY NOT bool_or(runs), owner = '', min(depth), min(seen), owner) - 1 AS layer
+      FROM n JOIN m ON m.g = n.g AND m.v = n.v GROUP BY 1, 2)
+SELECT n.g AS graph_id, v AS node_id, n.owner, cast(layer AS integer) AS layer FROM n JOIN w ON n.g = w.g AND n.owner = w.owner""")
 def _(t):
     return am.assign_owners(*_run_nodes(t), steps_first=True)
 

@@ -1,9 +1,14 @@
 """Registered source queries. Metadata documents are composed from the driver tables, one
 small document per entity, and read back; the oracles go by the rows they came from."""
 
+import uuid
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from heddle.sources import landed
+from heddle.session import ensure_checkpoint_dir
+from heddle.sources import folders, landed
 
 from .registry import query
 
@@ -212,3 +217,77 @@ UNION ALL SELECT DISTINCT l_orderkey, 4, 'Column Name', 'x' FROM lineitem WHERE
 def _(t):
     return landed.definition_sheet(t.sql("""SELECT DISTINCT l_orderkey AS table_guid, l_linenumber AS row_no, CASE l_linenumber WHEN 1 THEN 'Field Name' WHEN 2 THEN '  ' WHEN 4 THEN 'Column Name' ELSE concat(' col', l_linenumber) END AS a,
         CASE l_linenumber WHEN 4 THEN 'x' WHEN 2 THEN 'y' ELSE 'about ' END AS b FROM lineitem"""))
+
+
+# --- folders: written and read as files ------------------------------------------------
+
+def _folder(t, files):
+    """The files(path, content) written to a folder of their own in the checkpoint folder, and read back."""
+    ensure_checkpoint_dir(t.spark)
+    root = f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/folder-{uuid.uuid4().hex}"
+    folders.write_files(files, root)
+    return folders.read_files(t.spark, root)
+
+
+def _checkpoints(rows):
+    """Checkpoint files (path, content) with one metadata row each."""
+
+    def pack(batches):
+        for batch in batches:
+            made = []
+            for schema in batch.column("schema").to_pylist():
+                out = pa.BufferOutputStream()
+                pq.write_table(pa.table({"txn": pa.array([None, None], pa.string()), "metaData": [None, {"id": "x", "schemaString": schema}]}), out)
+                made.append(out.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+
+    return rows.mapInArrow(pack, "path string, content binary")
+
+
+# A log per customer. Its paid orders are version 7, which states schemas and ends with a broken byte; others are later commits that only
+# add files. Every third customer has a checkpoint, of version 9. Names without a version belong to no log.
+@query("src_log_folder", """
+SELECT concat('lh', c_nationkey, '/Tables/T', c_custkey) AS table_dir, v.ordinal, v.column_name, v.data_type
+FROM (SELECT c_custkey, c_nationkey, max(o_orderkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+ LATERAL (VALUES (0, concat('c', k), 'bigint'), (1, 'n', 'string'), (2, 'd', 'decimal(9,2)'), (3, 'z', 'timestamp')) AS v(ordinal, column_name, data_type)
+WHERE c_custkey % 3 <> 0
+UNION ALL SELECT concat('lh', c_nationkey, '/Tables/T', c_custkey), 0, concat('k', c_custkey), 'int' FROM customer WHERE c_custkey % 3 = 0""")
+def _(t):
+    lines = t.sql(LOG.replace("\\\\", "\\\\\\\\").replace("\\\\\\\\\"", "\\\\\"")).withColumnRenamed("table_dir", "name")
+    orders = t.sql("""SELECT concat('T', o_custkey) AS name, o_orderkey AS version, concat('lh', c_nationkey, '/Tables/T', o_custkey, '/_delta_log/',
+        lpad(CASE o_orderstatus WHEN 'F' THEN '7' WHEN 'O' THEN '8' ELSE '11' END, 20, '0'), '.json') AS path FROM orders JOIN customer ON o_custkey = c_custkey""")
+    commit = lines.join(orders, ["name", "version"]).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("version", "line_no", "line"))).alias("l"))
+    commits = commit.select("path", F.concat(F.encode(F.array_join("l.line", "\n"), "UTF-8"), F.unhex(F.lit("0AFF7B"))).alias("content"))
+    others = t.sql("SELECT concat('lh', c_nationkey, '/Tables/T', c_custkey, '/_delta_log/', v.n) AS path, encode('{\"metaData\":{\"schemaString\":\"{}\"}}', 'UTF-8') AS content FROM customer CROSS JOIN (VALUES ('_last_checkpoint'), ('draft.json')) AS v(n) WHERE c_custkey % 5 = 0")
+    stated = t.sql("""SELECT concat('lh', c_nationkey, '/Tables/T', c_custkey, '/_delta_log/', lpad('9', 20, '0'), '.checkpoint.parquet') AS path,
+        concat('{"fields":[{"name":"k', c_custkey, '","type":"integer"}]}') AS schema FROM customer WHERE c_custkey % 3 = 0""")
+    files = commits.unionByName(others).unionByName(_checkpoints(stated))
+    return landed.log_schema(folders.log_lines(_folder(t, files)))
+
+
+# Notebooks as folders of parts; one in seven also as a JSON document, with a part that is no base64.
+@query("src_definition_folder", """
+WITH d AS (SELECT concat('nb', doc_id) AS nb_id, doc_id % 2 = 0 AS script, doc_id, concat('x', CASE WHEN doc_id % 2 = 0 THEN replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) ELSE coalesce(text, '') END, 'y') AS body FROM documents)
+SELECT nb_id, 0 AS cell_index, CASE WHEN script THEN concat('spark.table("a', doc_id, '")', chr(10), 'x = 1') ELSE concat('a', doc_id, chr(10), 'b') END AS source FROM d
+UNION ALL SELECT nb_id, 1, body FROM d
+UNION ALL SELECT concat('json', doc_id), 0, 'y = 2' FROM documents WHERE doc_id % 7 = 0""")
+def _(t):
+    part = _definitions(t).select(F.concat(F.lit("nb"), "nb_id").alias("nb_id"), F.explode("parts").alias("p"))
+    files = part.select(F.concat_ws("/", "nb_id", "p.path").alias("path"), F.unbase64("p.payload").alias("content"))
+    single = t.sql(r"""SELECT concat('json', doc_id, '.json') AS path, encode(concat('{"definition":{"parts":[{"path":"other.py","payload":"%%%"},{"path":"notebook-content.py","payload":"',
+        base64(encode('# CELL ****\ny = 2\n', 'UTF-8')), '"}]}}'), 'UTF-8') AS content FROM documents WHERE doc_id % 7 = 0
+        UNION ALL SELECT concat('bad', doc_id, '.json'), encode('{"definition":{"parts":[{"path":"a.py","payload":"%%%"}]}}', 'UTF-8') FROM documents WHERE doc_id % 11 = 0
+        UNION ALL SELECT concat('none', doc_id, '.json'), encode('no json', 'UTF-8') FROM documents WHERE doc_id % 13 = 0""")
+    found = folders.definitions(_folder(t, files.unionByName(single)))
+    return landed.notebook_cells(found.select(F.col("item").alias("nb_id"), F.lit(None).cast("string").alias("lakehouse"), "parts"))
+
+
+@query("src_catalog_folder", """
+SELECT 'workspace' AS kind, concat('w', c_custkey) AS workspace_id, concat(c_name, chr(65533)) AS workspace_name, concat('w', c_custkey) AS id, concat(c_name, chr(65533)) AS name,
+  cast(NULL AS varchar) AS item_type, cast(NULL AS varchar) AS lakehouse_id, cast(NULL AS varchar) AS lakehouse_name FROM customer
+UNION ALL SELECT 'lakehouse', concat('w', c_custkey), concat(c_name, chr(65533)), concat('lh', c_custkey), 'Bronze', 'Lakehouse', NULL, NULL FROM customer
+UNION ALL SELECT 'table', concat('w', c_custkey), concat(c_name, chr(65533)), concat('t', c_nationkey), concat('t', c_nationkey), 'Table', concat('lh', c_custkey), 'Bronze' FROM customer""")
+def _(t):
+    doc = t.sql("""SELECT concat('w', c_custkey, '.json') AS path, concat(encode(concat('{"id":"w', c_custkey, '","displayName":"', c_name), 'UTF-8'), unhex('FF'),
+        encode(concat('","items":[{"id":"lh', c_custkey, '","displayName":"Bronze","type":"Lakehouse","tables":[{"name":"t', c_nationkey, '"}]}]}'), 'UTF-8')) AS content FROM customer""")
+    return landed.catalog_entries(folders.documents(_folder(t, doc)))
