@@ -177,28 +177,63 @@ def numbered(tokens: Column) -> Column:
     )
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, scope: list[str], threshold: float) -> DataFrame:
-    """(scope, left_id, right_id, overlap) of all pairs whose tokens can reach 2*overlap/(a+b) >= threshold.
+#: Tokens that a key of the overlap join holds, with the longest prefix for which so many are taken.
+KEYS = ((4, 10), (3, 14), (2, 40))
+
+
+def _choices(tokens: Column, size: int, head: tuple[Column, ...] = ()) -> Column:
+    """Hashes of all choices of `size` of the tokens, in their order."""
+    if size == 1:
+        return F.transform(tokens, lambda x: F.xxhash64(*head, x))
+    after = lambda i: F.slice(tokens, i + 2, F.greatest(F.size(tokens) - i - 1, F.lit(0)))
+    return F.flatten(F.transform(tokens, lambda x, i: _choices(after(i), size - 1, (*head, x))))
+
+
+def _combined(tokens: Column, size: Column) -> Column:
+    found = _choices(tokens, 1)
+    for n, _ in reversed(KEYS):
+        found = F.when(size == n, _choices(tokens, n)).otherwise(found)
+    return found
+
+
+def overlap_candidates(left: DataFrame, right: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """(scope, left_id, right_id) of pairs that may reach the threshold of `overlap_pairs`, each once.
 
-    `left` and `right` are (scope, id, tokens), tokens distinct. Prefix filter: ordered from rare
-    to frequent, two such sets share a token among the first n - ceil(threshold*n/(2-threshold)) + 1
-    of each, so only these prefixes are joined.
+    Sets of n and m tokens reach it with o = ceil(threshold * (n + m) / 2) common tokens. Ordered from rare to frequent, they then share k
+    tokens among the first n - o + k of the one and m - o + k of the other, so every choice of k tokens of such a prefix is a
+    key, for each pair of lengths that occurs. The more tokens a key has, the fewer pairs meet by chance; long prefixes
+    take fewer, since the choices grow.
     """
-    share = threshold / (2 - threshold)
     both = left.select(F.explode("tokens").alias("_t")).union(right.select(F.explode("tokens").alias("_t")))
     weight = cut(both.groupBy("_t").agg(F.count(F.lit(1)).alias("_f")))
 
-    def prefix(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(*scope, F.col("id").alias(name), F.size("tokens").alias("_n"), F.explode("tokens").alias("_t"))
-        by_rarity = (
-            rows.join(weight, "_t")
-            .groupBy(*scope, name, "_n")
-            .agg(F.sort_array(F.collect_list(F.struct("_f", "_t")))["_t"].alias("_o"))
-        )
-        keep = F.col("_n") - F.ceil(F.col("_n") * share - 1e-9).cast("int") + 1
-        return by_rarity.select(*scope, name, F.explode(F.slice("_o", F.lit(1), F.least(keep, F.col("_n")))).alias("_t"))
+    def ordered(df: DataFrame) -> DataFrame:
+        rows = df.select(*scope, "id", F.size("tokens").alias("_n"), F.explode("tokens").alias("_t")).join(weight, "_t")
+        return cut(rows.groupBy(*scope, "id", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_t")))["_t"].alias("_o")))
+
+    a, b = ordered(left), ordered(right)
+    need = F.greatest(F.lit(1), F.ceil(threshold * (F.col("_n") + F.col("_m")) / 2 - 1e-9)).cast("int")
+    spare = F.greatest("_n", "_m") - need
+    size = F.lit(1)
+    for n, most in reversed(KEYS):
+        size = F.when(spare + n <= most, n).otherwise(size)
+    size = F.least(need, size)
+
+    def keyed_by_lengths(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        lengths = other.select(*scope, F.col("_n").alias("_m")).distinct()
+        rows = df.join(lengths, scope).filter(need <= F.least("_n", "_m")).withColumn("_k", size)
+        prefix = F.slice("_o", F.lit(1), F.least(F.col("_n") - need + F.col("_k"), F.col("_n")))
+        return rows.select(*scope, F.col("id").alias(name), "_n", "_m", F.explode(_combined(prefix, F.col("_k"))).alias("_key"))
+
+    mine = keyed_by_lengths(a, b, "left_id")
+    theirs = keyed_by_lengths(b, a, "right_id").select(*scope, "right_id", F.col("_n").alias("_m"), F.col("_m").alias("_n"), "_key")
+    return mine.join(theirs, [*scope, "_n", "_m", "_key"]).select(*scope, "left_id", "right_id").distinct()
 
-    met = prefix(left, "left_id").join(prefix(right, "right_id"), [*scope, "_t"]).select(*scope, "left_id", "right_id").distinct()
+
+def overlap_pairs(left: DataFrame, right: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """(scope, left_id, right_id, overlap) of all pairs whose tokens can reach 2*overlap/(a+b) >= threshold.
+    `left` and `right` are (scope, id, tokens), tokens distinct."""
+    met = overlap_candidates(left, right, scope, threshold)
     a = left.select(*scope, F.col("id").alias("left_id"), F.col("tokens").alias("_a"))
     b = right.select(*scope, F.col("id").alias("right_id"), F.col("tokens").alias("_b"))
     sized = met.join(a, [*scope, "left_id"]).join(b, [*scope, "right_id"])
@@ -644,8 +679,8 @@ def definition_similarity(sheet: DataFrame, column: DataFrame, floor: float) ->
     return scored.filter(F.col("score") >= floor).select("table_guid", "row_no", "ordinal", "score")
 
 
-def match_definitions(sheet: DataFrame, column: DataFrame) -> DataFrame:
-    """One proposal per sheet row. Rows choose in the order of their best score, each the best column still
+def match_definitions(sheet: DataFrame, column: DataFrame, alternatives: int | None = None) -> DataFrame:
+    """One proposal per sheet row, with all plausible alternatives in their order, or the first so many. Rows choose in the order of their best score, each the best column still
     free; a column goes once. Per round, a row takes its first free column if no row before it could want it."""
     scored = cut(definition_similarity(sheet, column, PLAUSIBLE - MARGIN - 0.001))
     key = ["table_guid"]
@@ -674,7 +709,8 @@ def match_definitions(sheet: DataFrame, column: DataFrame) -> DataFrame:
     ).filter("_by is null or _by >= _turn").filter("ordinal <> _mine")
     names = column.select(*key, "ordinal", "column_guid", F.col("name").alias("column_name"))
     place = F.row_number().over(W.partitionBy(*key, "row_no").orderBy("_pick"))
-    others = free.withColumn("_n", place).filter("_n <= 3").join(names, [*key, "ordinal"])
+    others = free.withColumn("_n", place).join(names, [*key, "ordinal"])
+    others = others if alternatives is None else others.filter(F.col("_n") <= alternatives)
     listed = others.groupBy(*key, "row_no").agg(
         F.max("score").alias("_next"),
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("score") >= PLAUSIBLE, F.struct("_n", "column_name"))))["column_name"], "|").alias("_alt"),

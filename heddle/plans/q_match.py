@@ -46,11 +46,25 @@ def _(t):
     return mt.resolve_names(t("b_query"), t("b_entity"))[1]
 
 
-@query("search_fuzzy_suggest")
+@query("search_fuzzy_names")
 def _(t):
     return mt.fuzzy_suggestions(t("b_query"), t("b_entity"))
 
 
+# Codes with up to three places spoilt: 32 less so many of the characters stand in matching blocks, and no other code comes near. Every fifth
+# query asks for a kind that its entity is not, every seventh has a hit.
+@query("search_fuzzy_suggest", """
+SELECT concat('q', p_partkey) AS query_id, cast(1 AS bigint) AS position, concat('e', p_partkey) AS entity_id, concat('Gold / ', md5(cast(p_partkey AS varchar))) AS path
+FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0""")
+def _(t):
+    entity = t.sql("""SELECT concat('m', p_size) AS model_id, concat('e', p_partkey) AS entity_id, concat(substr(upper(md5(cast(p_partkey AS string))), 1, 9), ' ', substr(md5(cast(p_partkey AS string)), 10)) AS name,
+        concat('Gold / ', md5(cast(p_partkey AS string))) AS path, 'attribute' AS kind, 'Gold' AS layer_name FROM part""")
+    spoilt = "overlay(overlay(overlay(md5(cast(p_partkey AS string)) PLACING 'z' FROM 8) PLACING CASE WHEN p_partkey % 3 > 0 THEN 'y' ELSE substr(md5(cast(p_partkey AS string)), 16, 1) END FROM 16) PLACING CASE WHEN p_partkey % 3 > 1 THEN 'x' ELSE substr(md5(cast(p_partkey AS string)), 24, 1) END FROM 24)"
+    asked = t.sql(f"""SELECT concat('q', p_partkey) AS query_id, concat('m', p_size) AS model_id, CASE WHEN p_partkey % 7 = 0 THEN md5(cast(p_partkey AS string)) ELSE {spoilt} END AS name,
+        CASE WHEN p_partkey % 5 = 0 THEN 'object' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'gold' END AS layer FROM part WHERE p_partkey % 35 <> 0""")
+    return mt.fuzzy_suggestions(asked, entity)
+
+
 @query("search_layer_arg", """
 SELECT concat('m', n_nationkey, '/', r_regionkey) AS query_id, CASE r_regionkey WHEN 0 THEN 'Bronze' WHEN 1 THEN 'Gold' WHEN 2 THEN 'Silver' WHEN 3 THEN 'Landing' END AS layer_name FROM nation, region""")
 def _(t):
@@ -305,11 +319,39 @@ def _sheet(t):
     return sheet, column
 
 
-@query("def_similarity")
+@query("def_similarity_names")
 def _(t):
     return mt.definition_similarity(*_sheet(t), 0.62)
 
 
-@query("def_match")
+@query("def_match_names")
 def _(t):
     return mt.match_definitions(*_sheet(t))
+
+
+# Codes that lose up to nine characters at their end: what is left is one matching block. Every eleventh row has a code of no column.
+CUT = "substr(md5(cast(p_partkey AS {text})), 1, 32 - p_partkey % 10)"
+KNOWN = """WITH s AS (SELECT concat('m', p_size) AS table_guid, p_partkey AS k, p_partkey % 11 = 0 AS alien, p_partkey % 10 AS r FROM part),
+c AS (SELECT *, CASE WHEN alien THEN 0.0::DOUBLE WHEN r = 0 THEN 1.0 ELSE round(least(2.0 * (32 - r) / (64 - r), 0.97)::DOUBLE, 3) END AS score FROM s)"""
+
+
+def _codes(t):
+    cut_ = CUT.format(text="string")
+    sheet = t.sql(f"""SELECT concat('m', p_size) AS table_guid, p_partkey AS row_no, CASE WHEN p_partkey % 11 = 0 THEN md5(concat('x', p_partkey))
+        WHEN p_partkey % 2 = 0 THEN concat(' ', {cut_}) ELSE {cut_} END AS name FROM part""")
+    column = t.sql("SELECT concat('m', p_size) AS table_guid, p_partkey AS ordinal, concat('g', p_partkey) AS column_guid, md5(cast(p_partkey AS string)) AS name FROM part")
+    return sheet, column
+
+
+@query("def_similarity", KNOWN + " SELECT table_guid, k AS row_no, k AS ordinal, score FROM c WHERE NOT alien")
+def _(t):
+    return mt.definition_similarity(*_codes(t), 0.62)
+
+
+@query("def_match", KNOWN + f"""
+SELECT table_guid, k AS row_no, CASE WHEN alien THEN md5(concat('x', k)) WHEN k % 2 = 0 THEN concat(' ', cut) ELSE cut END AS source_name,
+  CASE WHEN NOT alien THEN concat('g', k) END AS column_guid, CASE WHEN NOT alien THEN md5(cast(k AS varchar)) END AS column_name, score AS confidence,
+  CASE WHEN alien THEN 'unmatched' WHEN r = 0 THEN 'exact' ELSE 'fuzzy' END AS status, score >= 0.88 AS selected, '' AS alternatives
+FROM c JOIN (SELECT p_partkey, {CUT.format(text="varchar")} AS cut FROM part) ON k = p_partkey""")
+def _(t):
+    return mt.match_definitions(*_codes(t))

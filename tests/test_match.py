@@ -139,15 +139,15 @@ def definition_score(a, b):
     return round(min(max(best, 0.97) if ta == tb else best, 0.97), 3)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_match_definitions(spark, seed):
+@pytest.mark.parametrize("seed,most", [(1, 3), (2, 3), (1, None)])
+def test_match_definitions(spark, seed, most):
     rnd = random.Random(seed)
     stems = ["order", "date", "customer", "Id", "line", "total", "Amount", "net"]
     name = lambda: rnd.choice(["_", " ", ""]).join(rnd.sample(stems, rnd.randint(1, 3)))
     rows, cols = [name() for _ in range(25)], [name() for _ in range(20)]
     sheet = spark.createDataFrame([("g", i, n) for i, n in enumerate(rows)], "table_guid string, row_no int, name string")
     column = spark.createDataFrame([("g", i, f"c{i}", n) for i, n in enumerate(cols)], "table_guid string, ordinal int, column_guid string, name string")
-    got = {r["row_no"]: (r["column_guid"], r["confidence"], r["status"], r["selected"], r["alternatives"]) for r in mt.match_definitions(sheet, column).collect()}
+    got = {r["row_no"]: (r["column_guid"], r["confidence"], r["status"], r["selected"], r["alternatives"]) for r in mt.match_definitions(sheet, column, most).collect()}
     ranked = [sorted(((definition_score(r, c), -j) for j, c in enumerate(cols)), reverse=True) for r in rows]
     taken, want = set(), {}
     for i in sorted(range(len(rows)), key=lambda i: -ranked[i][0][0]):
@@ -157,7 +157,7 @@ def test_match_definitions(spark, seed):
             score, j = free[0]
             after = free[1][0] if len(free) > 1 else 0.0
             unsure = score < 1.0 and score - after < 0.06
-            others = [] if score >= 1.0 else [cols[k] for s, k in free[1:4] if s >= 0.62]
+            others = [] if score >= 1.0 else [cols[k] for s, k in free[1:][:most] if s >= 0.62]
             want[i] = (f"c{j}", score, "ambiguous" if unsure else "exact" if score >= 1.0 else "fuzzy", score >= 0.88 and not unsure, "|".join(others))
             taken.add(j)
     assert got == want
@@ -178,3 +178,26 @@ def test_search_members_are_the_counted_entities(spark):
     assert sorted(tuple(r) for r in groups.collect()) == [("q", 1, "attribute", "Name", 0, 1), ("q", 2, "object", "Name", 0, 2), ("q", 3, "object", "m_name", 2, 1)]
     assert sorted(tuple(r) for r in members.collect()) == [("q", 1, "c"), ("q", 2, "a"), ("q", 2, "b"), ("q", 3, "d")]
     assert sorted(tuple(r) for r in mt.search_hits(query, entity, 1)[1].collect()) == [("q", 1, "c")]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_overlap_candidates_are_complete(spark, threshold):
+    rng = random.Random(9)
+    sets = lambda n, seed: [sorted({rng.choice("abcdefghijkl") + rng.choice("abc") for _ in range(rng.choice([1, 2, 3, 5, 9, 20, 34]))}) for _ in range(n)]
+    a, b = sets(50, 1), sets(50, 2)
+    b[:20] = [sorted({*x[1:], "new"}) for x in a[:20]]
+    frame = lambda rows: spark.createDataFrame([("m", f"i{i}", x) for i, x in enumerate(rows)], "model_id string, id string, tokens array<string>")
+    got = {(r.left_id, r.right_id): r.overlap for r in mt.overlap_pairs(frame(a), frame(b), ["model_id"], threshold).collect()}
+    shared = {(f"i{i}", f"i{j}"): (len({*x} & {*y}), len(x) + len(y)) for i, x in enumerate(a) for j, y in enumerate(b)}
+    assert got == {k: n for k, (n, total) in shared.items() if 2 * n >= threshold * total - 1e-9} and got
+
+
+def test_overlap_candidates_are_few(spark):
+    rng = random.Random(2)
+    code = lambda: "".join(rng.choices("0123456789abcdef", k=15))
+    a = [code() for _ in range(1500)]
+    b = [x[:3] + x[4:] if i % 2 else code() for i, x in enumerate(a)]
+    frame = lambda rows: spark.createDataFrame([("m", x) for x in {*rows}], "model_id string, id string").withColumn("tokens", mt.bigrams(F.col("id"))).cache()
+    left, right = frame(a), frame(b)
+    found = mt.overlap_pairs(left, right, ["model_id"], 0.6).count()
+    assert found >= 740 and mt.overlap_candidates(left, right, ["model_id"], 0.6).count() <= 5 * found
