@@ -8,7 +8,6 @@ registers give candidates, and what agrees there is verified on the shingles the
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +122,7 @@ def signed(docs: DataFrame) -> DataFrame:
             words = Words(column(table, "text"))
             found = signatures(*shingles(words))
             nodes = _sequence_hashes(words)
+            found &= np.uint64(0xFFFF)  # what the signature keeps, so that it tells the bands in which two nodes meet
             banded = found.reshape(len(found), -1, BAND)
             keys = np.zeros(banded.shape[:2], np.uint64)
             for i in range(BAND):
@@ -135,7 +135,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     "row": column(table, "row"),
                     "node": pa.array([x.tobytes() for x in nodes], pa.binary()),
                     "bands": pa.array([None if e else k for e, k in zip(empty.tolist(), keys, strict=True)], pa.list_(pa.int64())),
-                    "signature": pa.array([x.tobytes() for x in (found & np.uint64(0xFFFF)).astype("<u2")], pa.binary()),
+                    "signature": pa.array([x.tobytes() for x in found.astype("<u2")], pa.binary()),
                 }
             )
 
@@ -194,8 +194,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members(bucket, node) of buckets in which several components meet, with their label and the size of the bucket."""
-    marked = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    """Members(bucket, band, node) of buckets in which several components meet, with their label and the size of the bucket."""
+    marked = members.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high")
     return marked.join(mixed.select("bucket", "size"), "bucket")
 
@@ -206,14 +206,20 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(least, "bucket").filter("a != node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _near_pairs(signature: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Pairs (i < j, registers that agree) of different labels that agree in enough registers."""
+def _near_pairs(signature: np.ndarray, label: np.ndarray, own: np.ndarray, band: int) -> np.ndarray:
+    """Pairs (i < j, registers that agree) of a block's nodes that are this block's to verify: of different labels, agreeing in enough
+    registers, meeting in no earlier band, and from both sides where the block has two."""
     hits = []
+    apart = own.min(initial=0) != own.max(initial=0)
     for i in range(0, len(label), 32):
         some = np.arange(i, min(i + 32, len(label)))
         agree = (signature[some][:, None, :] == signature[None, i:, :]).sum(2)
         differ = (label[some][:, None] != label[None, i:]) & (some[:, None] < np.arange(i, len(label))[None, :])
+        if apart:
+            differ &= own[some][:, None] != own[None, i:]
         x, y = np.nonzero((agree >= LEAST_AGREEING) & differ)
+        first = (signature[some[x]] == signature[y + i]).reshape(len(x), REGISTERS // BAND, BAND).all(2).argmax(1)
+        x, y = x[first == band], y[first == band]
         hits.append(np.column_stack([some[x], y + i, agree[x, y]]))
     return np.concatenate(hits) if hits else np.zeros((0, 3), np.int64)
 
@@ -223,56 +229,122 @@ def _matrix(signatures_: pa.Array) -> np.ndarray:
 
 
 def _undecided(apart: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Block, node, label and signature of the nodes that agree in enough registers with a node of another component in
-    their bucket. Buckets are looked through block by block: a block's nodes with those of its own and of every other
-    block, inside a task. Blocks in which the same nodes are undecided count once."""
+    """Block, band, node, label, own and signature of the nodes that have a pair to verify. Buckets are looked through block by block: a
+    block's nodes with those of its own or of one other block, inside a task. A pair belongs to the first band in which it
+    meets, and there to one block, so it is verified once."""
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = apart.join(nodes.select("node", "signature"), "node").withColumn("own", F.pmod(F.xxhash64("node"), count).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    keys = ["bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
-    blocks = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("node", "label", "signature"))).alias("rows"))
+    keys = ["bucket", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    blocks = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("node", "label", "own", "signature"))).alias("rows"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in batch.column("rows"):
+            for block, band, rows in zip(batch.column("block").to_pylist(), batch.column("band").to_pylist(), batch.column("rows"), strict=True):
                 rows = rows.values
                 label = rows.field("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                pairs = _near_pairs(_matrix(rows.field("signature")), label)
+                pairs = _near_pairs(_matrix(rows.field("signature")), label, rows.field("own").to_numpy(zero_copy_only=False), band)
                 if len(pairs):
                     rows = rows.take(pa.array(np.unique(pairs[:, :2])))
-                    block = int.from_bytes(hashlib.blake2b(b"".join(rows.field("node").to_pylist()), digest_size=8).digest(), "little", signed=True)
-                    columns = [pa.array([block] * len(rows), pa.int64()), *(rows.field(x) for x in ("node", "label", "signature"))]
-                    yield pa.RecordBatch.from_arrays(columns, ["block", "node", "label", "signature"])
+                    fixed = [pa.array([block] * len(rows), pa.int64()), pa.array([band] * len(rows), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*fixed, *(rows.field(x) for x in ("node", "label", "own", "signature"))], ["block", "band", "node", "label", "own", "signature"])
 
-    return blocks.select("rows").mapInArrow(find, "block bigint, node binary, label binary, signature binary").dropDuplicates(["block", "node"])
+    named = blocks.select(F.xxhash64("bucket", "low", "high").alias("block"), F.col("band").cast("int").alias("band"), "rows")
+    return named.mapInArrow(find, "block bigint, band int, node binary, label binary, own int, signature binary")
 
 
-def _similar(sets: list[tuple[np.ndarray, np.ndarray]], pairs: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs (i, j) of weighted sets have at least the similarity: 1 or 0, and 2 for pairs with weights, which are for
-    `probability_jaccard`. Common elements of sets without weights are counted for all pairs at once, some elements at a time."""
-    out = np.full(len(pairs), 2, np.int8)
-    plain = np.array([w.max(initial=0) <= 1 for _, w in sets])
-    sizes = np.array([len(g) for g, _ in sets])
-    counted = plain[pairs[:, 0]] & plain[pairs[:, 1]]
-    if counted.any():
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        element, n = np.unique(np.concatenate([g for g, _ in sets]), return_inverse=True, return_counts=True)[1:]
-        several = n[element] > 1
-        owner, element = owner[several], np.unique(element[several], return_inverse=True)[1]
+def _products(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> dict[tuple[int, int], np.ndarray]:
+    """For every two parts (owners, elements), each of distinct pairs, the number of elements that owner i has in the one and owner j in the
+    other, for all i and j; some elements at a time."""
+    out = {(u, v): np.zeros((n, n), np.float32) for u in range(len(parts)) for v in range(u, len(parts))}
+    ordered = []
+    for owner, element in parts:
         order = np.argsort(element, kind="stable")
-        owner, element = owner[order], element[order]
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int(element.max(initial=-1)) + 1, 4096):
+        ordered.append((owner[order], element[order]))
+    for low in range(0, max((int(e[-1]) + 1 for _, e in ordered if len(e)), default=0), 4096):
+        held = []
+        for owner, element in ordered:
             a, b = np.searchsorted(element, [low, low + 4096])
-            part = np.zeros((len(sets), 4096), np.float32)
+            part = np.zeros((n, 4096), np.float32)
             part[owner[a:b], element[a:b] - low] = 1
-            common += part @ part.T
-        i, j = pairs[counted, 0], pairs[counted, 1]
-        both = common[i, j].astype(np.float64)
-        out[counted] = both / (sizes[i] + sizes[j] - both) >= similarity - 1e-9
+            held.append(part)
+        for u, v in out:
+            out[u, v] += held[u] @ held[v].T
     return out
 
 
+#: Weights that are told apart for all pairs of a block at once; pairs with others are compared one by one.
+WEIGHTS = 4
+
+
+def _similar(sets: list[tuple[np.ndarray, np.ndarray]], pairs: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (i, j) of weighted sets have at least the similarity: 1 or 0, and 2 for pairs that `probability_jaccard` has to decide.
+
+    With M, the weight that two sets share, and their total weights, the share s = M / the greater total bounds the similarity
+    from below by s / (2 - s), and M / the smaller total from above, since it is a coupling of the two distributions that agrees
+    no oftener than any can. Without weights M gives it exactly. What the bounds leave open is computed from the numbers of elements
+    of each weight in either set, for all pairs at once where the weights are few."""
+    i, j = pairs[:, 0], pairs[:, 1]
+    sizes = np.array([len(g) for g, _ in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    weight = np.concatenate([w for _, w in sets]).astype(np.int64)
+    element = np.unique(np.concatenate([g for g, _ in sets]), return_inverse=True)[1]
+    total = np.bincount(owner, weight, len(sets))
+    plain = np.array([w.max(initial=0) <= 1 for _, w in sets])
+
+    # an element of weight w stands for w elements: its first, second, ... copy
+    copy = spans(np.zeros(len(weight), np.int64), weight)
+    copies = np.unique(np.repeat(element, weight) * (int(weight.max(initial=0)) + 1) + copy, return_inverse=True, return_counts=True)
+    several = copies[2][copies[1]] > 1  # what one set alone has is in no common weight
+    copied = np.repeat(owner, weight)[several], np.unique(copies[1][several], return_inverse=True)[1]
+    common = _products([copied], len(sets))[0, 0][i, j].astype(np.float64)
+    exact = common / np.maximum(1, total[i] + total[j] - common)
+    share = common / np.maximum(1, np.maximum(total[i], total[j]))
+    out = np.where(share / (2 - share) >= similarity, 1, np.where(common / np.maximum(1, np.minimum(total[i], total[j])) < similarity - 1e-9, 0, 2)).astype(np.int8)
+    counted = plain[i] & plain[j]
+    out[counted] = exact[counted] >= similarity - 1e-9
+
+    left = np.flatnonzero(out == 2)
+    if len(left):
+        asked = np.zeros(len(sets), bool)
+        asked[pairs[left, :2]] = True
+        kinds, n = np.unique(weight[asked[owner]], return_counts=True)
+        kinds = np.sort(kinds[np.argsort(-n)[:WEIGHTS]])
+        odd = np.zeros(len(sets), bool)
+        odd[owner[~np.isin(weight, kinds)]] = True
+        left = left[~(odd[i[left]] | odd[j[left]])]
+        out[left] = _weighted(owner, element, weight, kinds, len(sets), pairs[left, :2]) >= similarity - 1e-9
+    return out
+
+
+def _weighted(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, kinds: np.ndarray, n: int, pairs: np.ndarray) -> np.ndarray:
+    """`probability_jaccard` of pairs of sets whose weights are among the kinds."""
+    used, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(pairs.shape)
+    here = np.full(n, -1)
+    here[used] = np.arange(len(used))
+    mine = here[owner] >= 0
+    owner, element, weight = here[owner[mine]], element[mine], weight[mine]
+    element = np.unique(element, return_inverse=True)[1]
+    parts = [(owner[weight == k], element[weight == k]) for k in kinds]
+    met = _products(parts, len(used))
+    number = np.zeros((len(kinds) + 1, len(kinds) + 1, len(pairs)))  # elements of weight kinds[u - 1] in i and kinds[v - 1] in j; 0 is none
+    for u in range(len(kinds)):
+        for v in range(len(kinds)):
+            number[u + 1, v + 1] = met[u, v][at[:, 0], at[:, 1]] if u <= v else met[v, u][at[:, 1], at[:, 0]]
+        each = np.bincount(parts[u][0], minlength=len(used))
+        number[u + 1, 0], number[0, u + 1] = each[at[:, 0]], each[at[:, 1]]
+    number[1:, 0] -= number[1:, 1:].sum(1)
+    number[0, 1:] -= number[1:, 1:].sum(0)
+    values = np.concatenate([[0], kinds]).astype(float)
+    found = np.zeros(len(pairs))
+    for u, x in enumerate(kinds, 1):
+        for v, y in enumerate(kinds, 1):
+            ratio = np.maximum(values[:, None] / x, values[None, :] / y)
+            found += number[u, v] / np.maximum(1e-300, np.tensordot(ratio, number, 2))
+    return found
+
+
 def _links(undecided: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Edges(a, b) that connect what is similar in each block, on all shingles; a pair that is connected already is left out, so
     that a block has at most as many edges as nodes."""
@@ -296,9 +368,11 @@ def _links(undecided: DataFrame, texts: DataFrame, similarity: float) -> DataFra
         for table in groups(batches):
             node = table["node"].to_pylist()
             label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            pairs = _near_pairs(_matrix(table["signature"]), label, column(table, "own").to_numpy(zero_copy_only=False), table["band"][0].as_py())
+            if not len(pairs):
+                continue
             grams, weights, first = shingles(Words(column(table, "text")))
             sets = [(grams[x:y], weights[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            pairs = _near_pairs(_matrix(table["signature"]), label)
             group = label.copy()
             edges = []
             answer = _similar(sets, pairs, similarity)
@@ -309,7 +383,7 @@ def _links(undecided: DataFrame, texts: DataFrame, similarity: float) -> DataFra
                     edges.append((min(node[i], node[j]), max(node[i], node[j])))
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
 
-    return met.select("block", "node", "label", "signature", "text").mapInArrow(link, "a binary, b binary")
+    return met.select("block", "band", "node", "label", "own", "signature", "text").mapInArrow(link, "a binary, b binary")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -343,7 +417,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     tested = cut(_stars(members.filter(F.col("band") < FIRST_BANDS).select("bucket", "node")))
     edges = cut(verified(tested, nodes, texts, similarity))
     labels = connected(edges)
-    apart = cut(_apart(members.select("bucket", "node"), labels))
+    apart = cut(_apart(members, labels))
     if not apart.isEmpty():
         edges = cut(edges.unionByName(_links(cut(_undecided(apart, nodes)), texts, similarity)).distinct())
         labels = connected(edges)

@@ -87,3 +87,42 @@ def test_groups(spark, monkeypatch, block):
 def test_no_rows(spark):
     check(spark, [])
     check(spark, [(1, "a"), (2, "b")])
+
+
+def test_pairs_of_a_block_at_once():
+    rng = random.Random(6)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(10, 90))]
+        line = [f"v{rng.randint(0, 30)}" for _ in range(9)]
+        for _ in range(7):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = "edit"
+            texts.append(" ".join(w + line * rng.choice([0, 1, 2, 2, 3, 7, 11])))
+    grams, weights, first = shingles(Words(pa.array(texts)))
+    bags = [(grams[x:y], weights[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+    pairs = np.array([(i, j, 0) for i in range(len(bags)) for j in range(i + 1, len(bags))])
+    exact = np.array([probability_jaccard(bags[i], bags[j]) for i, j, _ in pairs.tolist()])
+    for limit in (0.3, 0.6, 0.8, 0.95):
+        answer = neardup._similar(bags, pairs, limit)
+        assert (answer != 2).mean() > 0.7
+        assert ((answer == 1) == (exact >= limit - 1e-9))[answer != 2].all()
+    with_few = np.array([max(w.max() for w in (bags[i][1], bags[j][1])) <= 3 for i, j, _ in pairs.tolist()])
+    assert (neardup._similar(bags, pairs[with_few], 0.8) != 2).all()
+
+
+def test_recall_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = {r.doc_id: r.label for r in classes(docs).collect()}
+    grams, weights, first = shingles(Words(pa.array([t for _, t in rows])))
+    order = np.lexsort((np.repeat(np.arange(len(rows)), np.diff(first)), grams))
+    owner, gram = np.repeat(np.arange(len(rows)), np.diff(first))[order], grams[order]
+    pairs = set()
+    for a, b in zip(np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]), np.r_[np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram)]):
+        held = owner[a:b].tolist()
+        pairs.update((i, j) for k, i in enumerate(held) for j in held[k + 1 :])
+    bags = [(grams[x:y], weights[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+    links = [(i, j) for i, j in pairs if probability_jaccard(bags[i], bags[j]) >= 0.8]
+    assert len(links) > 50 and all(found[rows[i][0]] == found[rows[j][0]] for i, j in links)
