@@ -30,12 +30,25 @@ LONGEST = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id and v, the components times `scale` rounded down. Left out are vectors that are null, empty, or hold a component that is
-    null or not finite, and rows without an id. Repeated rows count once; of several vectors under one id the largest does."""
+    """row (a number, in the order of vec_id), vec_id and v, the components times `scale` rounded down. Left out are vectors that are null,
+    empty, or hold a component that is null or not finite, and rows without an id."""
     rows = pick(vectors, "vec_id", "embedding").filter("vec_id is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * float(scale)).cast("double"))
-    return rows.filter(finite).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.max(whole).alias("v"))
+    made = rows.filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).withColumn("_h", F.xxhash64("v"))
+    ranged = made.repartitionByRange("vec_id", "_h").sortWithinPartitions("vec_id", "_h")
+    return ranged.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
+
+
+def _whole_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b of whole numbers, exact; it raises where a number passes 62 bits, so that two slices still fit into 63."""
+    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[-1] < 2**53:
+        return (a @ b).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    found = whole(a) @ whole(b)
+    if max((abs(x) for x in np.ravel(found)), default=0) >= 2**62:
+        raise OverflowError("a score does not fit into 62 bits; use a smaller scale")
+    return np.asarray(found).astype(np.int64)
 
 
 def blocks(vectors: DataFrame, size: int, cutoffs: bool = False) -> DataFrame:
@@ -108,12 +121,7 @@ class _Pair:
         self.cutoffs = np.frombuffer(record["cutoffs"], np.int64)
         q = np.frombuffer(record["query_rows"]).reshape(len(self.queries), -1)
         r = np.frombuffer(record["row_rows"]).reshape(len(self.rows), -1)
-        bound = np.abs(q).max(initial=0) * np.abs(r).max(initial=0) * q.shape[1]
-        if bound < 2**53:
-            self.scores = (q @ r.T).astype(np.int64)
-        else:  # whole Python numbers, kept inside 62 bits
-            whole = np.frompyfunc(int, 1, 1)
-            self.scores = np.clip(whole(q) @ whole(r).T, -(2**62), 2**62).astype(np.int64)
+        self.scores = _whole_product(q, r.T)
         self.own = self.queries[:, None] == self.rows[None, :]
 
 
@@ -150,8 +158,9 @@ def _cutoffs(named: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for q, v in zip(batch.column("q").to_pylist(), batch.column("v").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"query_id": batch.column("query_id"), "score": pa.array([max(-LONGEST, min(LONGEST, s)) for s in found], pa.int64())})
+            pairs_ = zip(batch.column("q").to_pylist(), batch.column("v").to_pylist(), strict=True)
+            found = [int(_whole_product(np.array([q]), np.array(v))[0]) for q, v in pairs_]
+            yield pa.RecordBatch.from_pydict({"query_id": batch.column("query_id"), "score": pa.array(found, pa.int64())})
 
     scored = full.select("query_id", "q", "v").mapInArrow(score, "query_id bigint, score bigint")
     best = W.partitionBy("query_id").orderBy(F.desc("score"))
@@ -249,18 +258,21 @@ def _resolved(met: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """The k best inner products of each query among vectors(vec_id, embedding): query_id, rank (from 1), vec_id, score.
 
-    Queries are the vectors whose id `every` divides; candidates are all vectors of the query's length but its own id. Scores are those
-    of `quantised` vectors, exact, kept inside 62 bits a slice; ties go to the smaller id. A query with fewer candidates gets
-    them all. Without queries or candidates there are no rows. Results do not depend on blocks or slices.
+    Queries are the rows whose id `every` divides; candidates are all rows of the query's length but its own, also those of its id. Scores
+    are those of `quantised` vectors, exact; one beyond 62 bits raises OverflowError. Ties go to the smaller id. A query with
+    fewer candidates gets them all. Without queries or candidates there are no rows. Results do not depend on blocks or slices.
 
     Work is queries times vectors, in blocks. A task holds one pair of blocks; the best of many blocks meet by windows that
     Spark limits before the shuffle. The quantised vectors and their blocks are written once.
     """
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    own = cut(quantised(vectors, scale))
+    found = cut(quantised(vectors, scale))
+    ids = found.select("row", "vec_id")
+    # from here on a vector goes by its row, which orders as the ids do
+    own = found.select(F.col("row").alias("vec_id"), "v")
     rows = cut(blocks(own, ROW_BLOCK))
-    queries = own.filter(F.col("vec_id") % every == 0)
+    queries = found.filter(F.col("vec_id") % every == 0).select(F.col("row").alias("vec_id"), "v")
     parts = max(1, rows.select("block").distinct().count())
     named = _named(pairs(cut(blocks(queries.coalesce(_few(queries)), QUERY_BLOCK)), rows, parts), NAMED * k)
     cutoffs = _cutoffs(cut(named), own, k)
@@ -268,7 +280,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     asked = cut(blocks(with_cutoffs.coalesce(_few(queries)), QUERY_BLOCK, cutoffs=True))
     met = pairs(asked, rows, parts)
     wanted = cut(_wanted(_entries(met)))
-    return _resolved(met, wanted, k)
+    best = _resolved(met, wanted, k).withColumnRenamed("vec_id", "row")
+    named = best.join(ids, "row").drop("row").withColumnRenamed("query_id", "row")
+    return named.join(ids.withColumnRenamed("vec_id", "query_id"), "row").select("query_id", "rank", "vec_id", "score")
 
 
 def _few(queries: DataFrame) -> int:

@@ -7,18 +7,15 @@ from heddle.llm import topk
 
 
 def brute(rows, k, every):
-    best = {}
+    whole = []
     for vec_id, v in rows:
-        if vec_id is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        whole = [math.floor(256 * float(np.float32(x))) for x in v]
-        best[vec_id] = max(best.get(vec_id, whole), whole)
+        if vec_id is not None and v and all(x is not None and math.isfinite(x) for x in v):
+            whole.append((vec_id, [math.floor(256 * float(np.float32(x))) for x in v]))
     out = []
-    for q, qv in best.items():
-        if q % every:
-            continue
-        scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in best.items() if i != q and len(v) == len(qv))
-        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    for n, (q, qv) in enumerate(whole):
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for m, (i, v) in enumerate(whole) if m != n and len(v) == len(qv))
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -48,3 +45,12 @@ def test_few_rows(spark):
     check(spark, [])
     check(spark, [(5, [1.0, 2.0])])
     check(spark, [(5, [1.0, 2.0]), (6, [0.0, -1.0]), (7, [1.0, 1.0])])
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    check(spark, [(1, [3.0, 0.0])] * 3 + [(1, [2.0, 2.0])] + [(50, [1.0, 1.0]), (50, [1.0, 1.0])] + [(5, [0.5, 0.5])] * 4)
+
+
+def test_scores_beyond_62_bits_are_refused(spark):
+    with pytest.raises(Exception, match="62 bits"):
+        topk.top_k(spark.createDataFrame([(5, [1e20, 1.0]), (6, [1e20, 1.0])], "vec_id long, embedding array<float>"), 1, 5).collect()
