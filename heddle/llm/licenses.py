@@ -15,9 +15,16 @@ from heddle.llm.common import pick
 #: Anchors that are tried one by one on every text.
 MOST_ANCHORS = 64
 
-# Comment signs and copyright lines, which never count.
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:©|\(c\)|copyright[ \t]*(?:©|\(c\)|[^\n]*[0-9]{4}))[^\n]*"
-RIGHTS_LINE = r"(?m)^[ \t#*/;-]*all rights reserved[^\n]*"
+# Comment signs, and the forms of a copyright notice on a line of its own: the sign and a year or name, a year alone, or a
+# name and a year at the line's end. "(c)" alone counts list items, and a blank to fill in is part of the text. A line
+# "all rights reserved" behind it belongs to it. None of these reaches into what a wrapped license says.
+SIGNS = r"[ \t#*/;-]*"
+COPYRIGHT_LINE = (
+    rf"(?m)^{SIGNS}(?:(?:copyright[ \t]*(?:©|\(c\))|©)[ \t]*(?:[0-9]{{4}}|\p{{L}})|copyright[ \t,:]*[0-9]{{4}}|copyright[ \t]+[\p{{L}}., \t]{{1,60}}[ \t][0-9]{{4}}[ \t.]*$)"
+    rf"[^\n]{{0,200}}$(?:\s*\n{SIGNS}all rights reserved[.]?[ \t]*$)?"
+)
+#: The notice of a license's own text, which every copy has; it stays, whatever the wrapping puts behind it.
+OWN_NOTICE = (r"copyright\s*\(c\)([\s0-9,-]+free\s+software\s+foundation|\s+year\s+(?:your\s+name|name\s+of\s+author))", "copyrighted ")
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 # Spellings that the public matching guidelines for license texts call equivalent.
@@ -90,7 +97,8 @@ LIST_NUMBER = r"(?m)^[ \t]*[0-9]\.[ \t]"
 
 def full_texts() -> list[tuple[str, str]]:
     """The licenses of the folder license_texts, whole, with each of their titles and without, with their appendix and without,
-    with either address of the Free Software Foundation, and the lists of the short ones numbered or not.
+    with either address of the Free Software Foundation, the lists of the short ones numbered or not, and those that hold a
+    notice in one line too.
 
     A file is named after its license, with a variant's name behind a plus sign. It has the titles, one a line, then the text, then
     what may follow it; lines of two percent signs part them. The shortest come first."""
@@ -103,7 +111,10 @@ def full_texts() -> list[tuple[str, str]]:
         for tail in ("", *more):
             text = f"{body}\n{tail}".strip("\n")
             texts = {text: 0, re.sub(*ADDRESSES, text): 0, **({re.sub(LIST_NUMBER, " ", text): 0} if name.startswith("BSD") else {})}
-            found += [(name, f"{title}\n{x}".lstrip("\n")) for title in ("", *titles.split("\n")) for x in texts]
+            whole = [f"{title}\n{x}".lstrip("\n") for title in ("", *titles.split("\n")) for x in texts]
+            found += [(name, x) for x in whole]
+            # in one line, where a notice of its own cannot be told from what follows it
+            found += [(name, line) for x in whole if (line := " ".join(x.split())) and re.search(r"(?i)copyright \(c\) [a-z]", line)]
     return sorted(found, key=lambda row: len(row[1]))
 
 
@@ -112,8 +123,8 @@ KNOWN = NOTICES + full_texts()
 
 def plain(text: Column) -> Column:
     """Lower case, no copyright lines, words parted by one blank."""
-    out = F.lower(text)
-    for pattern in (COPYRIGHT_LINE, RIGHTS_LINE, NO_WORD):
+    out = F.regexp_replace(F.lower(text), OWN_NOTICE[0], OWN_NOTICE[1] + "$1")
+    for pattern in (COPYRIGHT_LINE, NO_WORD):
         out = F.regexp_replace(out, pattern, " ")
     return F.trim(out)
 
@@ -164,7 +175,8 @@ def license_scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
 
     `licenses` is what `known` gives. Nothing is broadcast by hand: the planner does so for a small list.
     A null text, and a text or line without words, matches nothing. Repeated rows each get their result.
-    Copyright lines are dropped before the comparison. A wrapped license matches as a whole document only.
+    Copyright notices on lines of their own are dropped before the comparison, and the wrapping does not count. A license of
+    several lines matches as a whole document only.
     """
     rows = pick(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
     may_be = _anchored(licenses)
@@ -200,8 +212,8 @@ def oracle() -> str:
         return "'" + text.replace("'", "''") + "'"
 
     def canon(text: str) -> str:
-        out = f"lower({text})"
-        for pattern in (COPYRIGHT_LINE, RIGHTS_LINE, NO_WORD):
+        out = f"regexp_replace(lower({text}), {quoted(OWN_NOTICE[0])}, {quoted(OWN_NOTICE[1] + chr(92) + '1')}, 'g')"
+        for pattern in (COPYRIGHT_LINE, NO_WORD):
             out = f"regexp_replace({out}, {quoted(pattern)}, ' ', 'g')"
         for other, one in EQUIVALENT:
             out = f"regexp_replace({out}, {quoted(rf'\b{other}\b')}, {quoted(one)}, 'g')"

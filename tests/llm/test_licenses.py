@@ -70,3 +70,17 @@ def test_license_files(spark):
     ] + [(name, bodies[name]) for name in sorted(asked)]
     got = scan(spark, [(i, text) for i, (_, text) in enumerate(rows)])
     assert {r[0]: r[1] for r in got} == {i: name for i, (name, _) in enumerate(rows)}
+
+
+def test_the_wrapping_does_not_count(spark):
+    rows = []
+    for name, text in full_texts():
+        if "\n" not in text:  # what another is in one line
+            continue
+        body = text.split("\n\n")
+        for width in (None, 10**7, 60, 100):
+            wrapped = text if width is None else "\n\n".join(textwrap.fill(x, width, break_long_words=False) for x in body) if width < 10**7 else " ".join(text.split())
+            rows += [(name, wrapped), (name, "Copyright (c) 2019-2021 Some One <one@example.com>\nCopyright Other, Inc. 2020\nAll rights reserved.\n\n" + wrapped)]
+    got = scan(spark, [(i, text) for i, (_, text) in enumerate(rows)])
+    lost = {rows[r[0]][0] for r in got if r[1] != rows[r[0]][0]}
+    assert not lost
