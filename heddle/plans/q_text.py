@@ -184,7 +184,7 @@ def _(t):
     return code.without_views(_access(t), view).select("nb_id", "cell_index", "access", "ref")
 
 
-@query("code_select_column_maps", """
+COLUMN_MAPS = """
 SELECT l_orderkey AS nb_id, l_linenumber AS cell_index, v.* FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
  LATERAL (VALUES
   (3, 2, 0, 'a.qty', 'qty', NULL, concat('SELECT a.qty, a.price * ', l_suppkey, ' AS total, * , b.ünit FROM')),
@@ -193,11 +193,32 @@ SELECT l_orderkey AS nb_id, l_linenumber AS cell_index, v.* FROM (SELECT DISTINC
   (5, 2, 0, 'k', 'k', NULL, 'SELECT k, v FROM'), (5, 2, 1, 'v', 'v', NULL, 'SELECT k, v FROM'),
   (7, 1, 0, 'k', 'k', NULL, concat('SELECT', chr(10), ' k FROM'))) AS v(n, line, ordinal, from_column, to_column, transform, snippet)
 WHERE v.n = l_linenumber
-""".replace("v.*", "v.line, v.ordinal, v.from_column, v.to_column, v.transform, v.snippet"))
+""".replace("v.*", "v.line, v.ordinal, v.from_column, v.to_column, v.transform, v.snippet")
+
+
+@query("code_select_column_maps", COLUMN_MAPS)
 def _(t):
     return code.select_column_maps(t("b_cell"))
 
 
+def _code_graph(t):
+    ws = t.sql("SELECT concat('m', n_nationkey) AS graph_id, concat('M', n_nationkey) AS name FROM nation")
+    declared = t.sql("""SELECT concat('m', n_nationkey) AS graph_id, concat('table.t_', p_partkey) AS node_id, 'table' AS kind,
+        concat('t_', p_partkey) AS name, concat('workspace.m', n_nationkey) AS parent_id FROM part JOIN nation ON p_partkey % 2 = 0""")
+    return code.code_graph(ws, declared, t("b_notebook").select("graph_id", "nb_id", "name"), t("b_cell"))
+
+
+@query("code_edge_columns", f"""WITH {CELLS},
+w AS (SELECT DISTINCT nb_id, lower(CASE WHEN raw LIKE 'Files/%' THEN split_part(raw, '/', 3) WHEN raw LIKE 'abfss%' THEN concat('t_', split_part(raw, '/t_', 2))
+   WHEN raw LIKE '%.%' THEN split_part(raw, '.', 2) ELSE raw END) AS name FROM acc WHERE access = 'write'),
+m AS ({COLUMN_MAPS})
+SELECT graph_id, concat('notebook.nb_', w.nb_id) AS source, concat('table.', w.name) AS target, concat('notebook.nb_', w.nb_id) AS via, b.name AS notebook,
+  m.cell_index, m.line, m.snippet, m.ordinal, m.from_column, m.to_column, m.transform
+FROM w JOIN m ON w.nb_id = m.nb_id JOIN b_notebook b ON w.nb_id = b.nb_id""")
+def _(t):
+    return code.edge_columns(_code_graph(t)[1], t("b_notebook"), t("b_cell"))
+
+
 @query("code_graph_build", f"""WITH {CELLS},
 s AS (SELECT nb_id, access, lower(CASE WHEN raw LIKE 'Files/%' THEN split_part(raw, '/', 3) WHEN raw LIKE 'abfss%' THEN concat('t_', split_part(raw, '/t_', 2))
    WHEN raw LIKE '%.%' THEN split_part(raw, '.', 2) ELSE raw END) AS name FROM acc),
@@ -212,10 +233,7 @@ UNION ALL SELECT concat('m', n_nationkey), 'node', 'workspace', concat('workspac
 UNION ALL SELECT concat('m', n_nationkey), 'node', 'table', concat('table.t_', p_partkey), concat('workspace.m', n_nationkey), false FROM nation, part WHERE p_partkey % 2 = 0
 """)
 def _(t):
-    ws = t.sql("SELECT concat('m', n_nationkey) AS graph_id, concat('M', n_nationkey) AS name FROM nation")
-    declared = t.sql("""SELECT concat('m', n_nationkey) AS graph_id, concat('table.t_', p_partkey) AS node_id, 'table' AS kind,
-        concat('t_', p_partkey) AS name, concat('workspace.m', n_nationkey) AS parent_id FROM part JOIN nation ON p_partkey % 2 = 0""")
-    nodes, edges = code.code_graph(ws, declared, t("b_notebook").select("graph_id", "nb_id", "name"), t("b_cell"))
+    nodes, edges = _code_graph(t)
     e = edges.select("graph_id", F.lit("edge").alias("part"), "kind", F.col("source").alias("a"), F.col("target").alias("b"), F.lit(False).alias("inferred"))
     return e.union(nodes.select("graph_id", F.lit("node"), "kind", "node_id", "parent_id", "inferred"))
 
