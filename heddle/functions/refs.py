@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.session import keyed, small
+from heddle.session import keyed
 
 # How storage paths and item names are written.
 ABFSS = r"(?i)^abfss://([^@/]+)@[^/]+/(.*)$"
@@ -139,7 +139,7 @@ def qualify(
     rows = _with_parts(df, raw, workspace, lakehouse, placed)
     parts = {p: F.col(f"_q.{p}") for p in ("table", "lakehouse", "workspace")}
     if names is not None:
-        lookup = small(names.select(F.col("guid").alias("_g"), F.col("name").alias("_name")))
+        lookup = names.select(F.col("guid").alias("_g"), F.col("name").alias("_name"))
         for p in parts:
             key = F.when(F.col("_q.by_path") & (F.col(f"_q.{p}") != ""), F.lower(f"_q.{p}"))
             rows = rows.withColumn("_k", keyed(key)).join(
@@ -192,7 +192,7 @@ def guid_names(*sources: DataFrame) -> DataFrame:
 
 def named(df: DataFrame, guid: str, names: DataFrame, out: str) -> DataFrame:
     """A GUID's display name, or the GUID itself when unknown."""
-    lookup = small(names.select(F.col("guid").alias("_g"), F.col("name").alias("_name")))
+    lookup = names.select(F.col("guid").alias("_g"), F.col("name").alias("_name"))
     return df.withColumn("_k", keyed(F.lower(F.trim(F.col(guid))))).join(lookup, F.col("_k") == F.col("_g"), "left").withColumn(
         out, F.coalesce("_name", F.trim(F.col(guid)))
     ).drop("_k", "_g", "_name")

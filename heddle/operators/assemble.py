@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from heddle.functions.refs import make_ref, parse_ref
 from heddle.operators.graph import longest_path
-from heddle.session import cut
+from heddle.session import cut, join_hot
 
 TEXT = "string"
 
@@ -45,16 +45,18 @@ def workspace_graph(
     ws = workspace.select("graph_id", F.concat(F.lit("workspace."), "graph_id").alias("_ws"))
 
     def items(df: DataFrame, kind: str, flag: Column | None = None) -> DataFrame:
-        return df.join(ws, "graph_id").select(
+        return join_hot(df, ws, ["graph_id"]).select(
             "graph_id", F.concat(F.lit(f"{kind}."), "id").alias("node_id"), F.lit(kind).alias("kind"), "name", F.col("_ws").alias("parent_id"),
             _null("ref"), (flag if flag is not None else F.lit(None).cast(TEXT)).alias("flag"),
         )
 
     top = workspace.select("graph_id", F.concat(F.lit("workspace."), "graph_id").alias("node_id"), F.lit("workspace").alias("kind"), "name", _null("parent_id"), _null("ref"), _null("flag"))
     held = (
-        table.withColumnRenamed("name", "_t")
-        .join(lakehouse.select("graph_id", F.col("id").alias("lakehouse_id"), F.col("name").alias("_l")), ["graph_id", "lakehouse_id"])
-        .join(workspace.select("graph_id", F.col("name").alias("_w")), "graph_id")
+        join_hot(
+            join_hot(table.withColumnRenamed("name", "_t"), lakehouse.select("graph_id", F.col("id").alias("lakehouse_id"), F.col("name").alias("_l")), ["graph_id", "lakehouse_id"]),
+            workspace.select("graph_id", F.col("name").alias("_w")),
+            ["graph_id"],
+        )
         .withColumn("ref", make_ref("_t", "_l", "_w"))
     )
     # Two listings of one ref are one node, the first lakehouse id keeps it.

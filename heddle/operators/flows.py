@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.functions.refs import ref_parts
-from heddle.session import cut, running_last, small
+from heddle.session import cut, join_hot, running_last
 
 FLOW_KEY = ["to_table", "to_column", "from_table", "from_column"]
 
@@ -84,7 +84,7 @@ def feed(op: DataFrame, frame: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("_side"), F.col("input_frame").alias("_in")),
         F.struct(F.lit(1).alias("_side"), F.col("input_frame2").alias("_in")),
     )).alias("_i")).select("nb_id", "frame_id", "op", "args", "_i.*").filter("_in is not null")
-    return wanted.join(frame.withColumnRenamed("frame_id", "_in"), ["nb_id", "_in"]).drop("_in")
+    return join_hot(wanted, frame.withColumnRenamed("frame_id", "_in"), ["nb_id", "_in"]).drop("_in")
 
 
 def join_frames(fed: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def merge_star(statement: DataFrame, table_column: DataFrame) -> DataFrame:
     """SET * / INSERT *: every source column into its namesake; only columns the target has, when its schema is known.
     `statement` is (stmt_id, target_ref, source_ref)."""
     cols = table_column.select("ref", "column_name")
-    fed = statement.join(cols.withColumnRenamed("ref", "source_ref"), "source_ref")
+    fed = join_hot(statement, cols.withColumnRenamed("ref", "source_ref"), ["source_ref"])
     has = cols.select(F.col("ref").alias("target_ref"), "column_name", F.lit(True).alias("_has"))
     known = cols.select(F.col("ref").alias("target_ref"), F.lit(True).alias("_known")).distinct()
     checked = fed.join(has, ["target_ref", "column_name"], "left").join(known, "target_ref", "left")
@@ -369,7 +369,7 @@ def lookup_schemas(refs: DataFrame, spaces: DataFrame, dirs: DataFrame) -> DataF
     """
     parts = refs.distinct().withColumn("_p", ref_parts("ref")).filter("_p.kind = 'table'")
     keyed = parts.select("nb_id", "workspace_id", "ref", F.lower("_p.workspace").alias("key"), F.lower("_p.table").alias("short"))
-    placed = keyed.join(small(spaces.select("key", F.col("workspace_id").alias("_ws"))), "key", "left").withColumn(
+    placed = keyed.join(spaces.select("key", F.col("workspace_id").alias("_ws")), "key", "left").withColumn(
         "workspace_id", F.coalesce(F.when(F.col("key") != "", F.col("_ws")), "workspace_id")
     )
     found = placed.join(dirs, ["workspace_id", "short"], "left")

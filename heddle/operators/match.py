@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from heddle.operators.graph import M, descendants
-from heddle.session import cut, placed, small
+from heddle.session import cut, placed
 from heddle.sources.landed import CAMEL, folded
 
 TIERS = ("exact", "normalized", "partial")
@@ -390,7 +390,7 @@ def eligible_pairs(pair: DataFrame, entity: DataFrame, transition: DataFrame, di
     """Candidate (model, source, target, ...) rows that may be mapped: two layers, not connected yet, and
     left to right in layer order unless a side was named."""
     layer = entity.filter("kind = 'layer'").select(M, F.col("entity_id").alias("layer_id"), F.col("ordinal").alias("_o"))
-    place = entity.select(M, "entity_id", "layer_id").join(small(layer), [M, "layer_id"])
+    place = entity.select(M, "entity_id", "layer_id").join(layer, [M, "layer_id"])
     s = place.select(M, F.col("entity_id").alias("source"), F.col("layer_id").alias("_ls"), F.col("_o").alias("_os"))
     t = place.select(M, F.col("entity_id").alias("target"), F.col("layer_id").alias("_lt"), F.col("_o").alias("_ot"))
     rows = pair.filter("source <> target").join(s, [M, "source"]).join(t, [M, "target"]).filter("_ls <> _lt")

@@ -1,4 +1,4 @@
-"""Session helpers: cutting lineage, size-checked broadcast, distributed ranking."""
+"""Session helpers: cutting lineage, joins with hot keys, distributed ranking."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when the optimizer's size estimate is below this.
-BROADCAST_LIMIT = 64 * 1024 * 1024
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; a local session gets its own."""
     jsc = spark.sparkContext._jsc.sc()
@@ -114,25 +110,18 @@ class Dealt:
         return spread.join(self.table, [*self.keys, "_salt"]).drop("_salt")
 
 
-def join_hot(big: DataFrame, small: DataFrame, keys: list[str], least: int = 100_000) -> DataFrame:
-    """The inner join of `big` with `small` where keys may be hot in `big`: the rows of a key that holds more than an equal share of a task
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", least: int = 100_000) -> DataFrame:
+    """The inner or left join of `big` with `small` where keys may be hot in `big`: the rows of a key that holds more than an equal share of a task
     are spread, and only such keys' rows of `small` are repeated. Null keys meet nothing."""
     big = cut(big)
     parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max(least, big.count() // parts + 1)
     hot = cut(big.groupBy(*keys).count().filter(F.col("count") > share).select(*keys, F.ceil(F.col("count") * SALTS / share).cast("int").alias("_salts")))
     if hot.isEmpty():
-        return big.join(small, keys)
+        return big.join(small, keys, how)
     dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.floor(F.rand(7) * F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     spread = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
-
-
-def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast hint when the estimated size is proven small, else `df` as it is
-    (a shuffled join, which adaptive execution can still split or convert)."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
 def keyed(key: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heddle.functions.refs import make_ref
-from heddle.session import keyed, small
+from heddle.session import keyed
 
 # --- catalogue --------------------------------------------------------------
 
@@ -224,7 +224,7 @@ def _dataset(activity: DataFrame, side: str, names: DataFrame, workspace: str, o
     clean = lambda c: F.nullif(F.trim(c), F.lit(""))
     table = F.coalesce(clean(f"{props}.table"), clean(F.coalesce(F.nullif(f"{props}.location.fileName", F.lit("")), f"{props}.location.folderPath")))
     rows = activity.withColumn("_t", table)
-    lookup = small(names.select(F.col("guid").alias("_g"), F.col("name").alias("_name")))
+    lookup = names.select(F.col("guid").alias("_g"), F.col("name").alias("_name"))
     for c, field in (("_w", "workspaceId"), ("_l", "artifactId")):
         raw = clean(f"{linked}.properties.typeProperties.{field}")
         rows = rows.withColumn("_raw", raw).withColumn("_k", keyed(F.lower("_raw"))).join(lookup, F.col("_k") == F.col("_g"), "left").withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.operators.graph import M
-from heddle.session import cut, running_position, small
+from heddle.session import cut, join_hot, running_position
 
 # --- nested documents -----------------------------------------------------------
 
@@ -134,7 +134,7 @@ def read_sheet(grid: DataFrame) -> DataFrame:
         .when(has("source", "target"), "transitions").otherwise("unknown")
     )
     numbered = running_position(filled.select(M, "row_no", "cells"), [M], [F.col("row_no")], "row_number")
-    rows = numbered.withColumnRenamed("cells", "_raw").join(small(first.withColumn("format", kind)), M).filter("not _headed or row_number > 1")
+    rows = join_hot(numbered.withColumnRenamed("cells", "_raw"), first.withColumn("format", kind), [M]).filter("not _headed or row_number > 1")
     at = lambda i: F.trim(F.coalesce(F.get("_raw", i), F.lit("")))
     cells = F.when(F.col("_headed"), F.map_from_entries(F.transform("_columns", lambda s: F.struct(s["k"], at(s["i"]))))).otherwise(
         F.create_map(F.lit("name"), at(F.lit(0)))
@@ -235,7 +235,7 @@ def import_entities(sheet: DataFrame, entity: DataFrame) -> dict[str, DataFrame]
     by_name = known_layers.groupBy(M, F.col("_lname").alias("_p")).agg(F.min("_lid").alias("_a2"))
     objects = objects.join(by_id, [M, "_want"], "left").join(by_name, [M, "_p"], "left")
     imported = known_layers.filter(F.col("_lname") == IMPORTED).groupBy(M).agg(F.min("_lid").alias("_imp"))
-    objects = objects.join(imported, M, "left")
+    objects = join_hot(objects, imported, [M], "left")
     default = F.coalesce("_imp", _new_id("l", M, F.lit(""), F.lit(IMPORTED)))
     objects = objects.withColumn("_parent", F.coalesce("_a1", "_a2", default)).withColumn("_loose", F.coalesce("_a1", "_a2").isNull())
     holders = objects.filter("_loose").select(M, F.col("row_number"), F.lit(None).cast("string").alias("declared_id"), F.lit(IMPORTED).alias("name"), F.lit("").alias("_parent"))
