@@ -211,7 +211,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
 
     def flush() -> None:
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
                 inside = IN_MAIN if mains else IN_ARTICLE
                 out.append(((ASIDE if articles else IN_FRAME) if frame else inside if articles else OPEN, text))
@@ -222,7 +222,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     while token := TOKEN.search(page, last):
         begin = token.start()
         if begin > last:
-            pieces.append(page[last:begin])
+            pieces.append(html.unescape(page[last:begin]))
         last = token.end()
         name = token["name"]
         if name is None:
@@ -269,7 +269,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
         if name in KEPT_OPEN or name == frame:
             open_blocks.push(name)
     if last < len(page):
-        pieces.append(page[last:])
+        pieces.append(html.unescape(page[last:]))
     flush()
     return out
 
@@ -337,7 +337,7 @@ def _lengths(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
 def main_text(lines: list[tuple[int, str]], hashes: list[int], neighbour: Sequence[int] | None) -> str:
     """The article's lines if the page marks one that holds, with its own frame, at least as much text as the open lines that
     the neighbour lacks, or a part of that where <main> marks it; else these open lines, and the marked ones among them that the
-    neighbour lacks."""
+    neighbour lacks; all of them where the neighbour is a copy of the page."""
     long = [0] * 5
     for where, text in lines:
         long[where] += len(text)
@@ -348,7 +348,11 @@ def main_text(lines: list[tuple[int, str]], hashes: list[int], neighbour: Sequen
         long[OPEN] = sum(len(text) for i, (where, text) in enumerate(lines) if where == OPEN and i not in shared)
     if marked and long[OPEN] <= marked:
         return "\n\n".join(text for where, text in lines if where in (IN_ARTICLE, IN_MAIN))
-    return "\n\n".join(text for i, (where, text) in enumerate(lines) if where in (OPEN, IN_ARTICLE, IN_MAIN) and i not in shared)
+    found = [i for i, (where, _) in enumerate(lines) if where in (OPEN, IN_ARTICLE, IN_MAIN)]
+    own = [i for i in found if i not in shared]
+    if not own and neighbour is not None and len(neighbour) == len(lines):  # a copy of its neighbour
+        own = found
+    return "\n\n".join(lines[i][1] for i in own)
 
 
 def _place(url: Column) -> tuple[Column, Column]:
@@ -384,7 +388,8 @@ def _hashes(lines: list[tuple[int, str]]) -> np.ndarray:
 def extract_text(pages: DataFrame) -> DataFrame:
     """Per row of pages(page_id, url, html): page_id, url, text, n_chars (code points of the text).
 
-    A null html is an empty page; a page without main text has an empty text. Repeated rows each get their text; rows with
+    A null html is an empty page; a page without main text has an empty text; an unmarked page whose neighbour is a copy keeps all its
+    lines. Repeated rows each get their text; rows with
     one page_id and url but different html are read on their own, and of their lines the smallest list serves the neighbour.
     Null ids and URLs are kept. Whole pages count. What moves between tasks is each page's lines, compressed, once, and the
     64-bit hashes of its lines; two different lines would have to share a hash to be taken for one.

@@ -127,3 +127,11 @@ def test_mirrored_articles_stay(spark):
     long = "<article>" + "<p>word word</p>" * 20_000
     pages = spark.createDataFrame([(i, f"http://h/{i}", long) for i in range(2)], "page_id long, url string, html string")
     assert {r.n_chars for r in extract_text(pages).collect()} == {20_000 * 9 + 19_999 * 2}
+
+
+def test_references_are_decoded_in_their_own_text_and_copies_stay(spark):
+    page = "<body><div>AT&<b>amp;</b> T</div><div>a &lt<i>; b</i> &amp;amp; &#x41;</div></body>"
+    rows = [(1, "http://h.org/a/1", page), (2, "http://h.org/a/2", page), (3, "http://other.org/x", "<p>R&amp;D &eacute;</p>")]
+    found = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = "AT&amp; T\n\na <; b &amp; A"
+    assert {r.page_id: r.text for r in found} == {1: text, 2: text, 3: "R&D é"}
