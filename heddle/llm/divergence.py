@@ -1,11 +1,14 @@
 """Divergence of the sources of each language, in whole numbers.
 
-CountVectorizer (Spark's own, minDF and the largest vocabSize) turns every document into its exact sparse vector of kept terms. A term
-carries its language, so that one fit keeps the languages apart. Vectors are summed per language and source, and pairs of
-sources are evaluated on the terms that either of them has; terms that neither has give one value, which is multiplied.
-
-A fitted vocabulary stands in the driver and in every executor. It is bounded: documents' terms are split by hash into as
-many shares as keep a vocabulary near SHARE_TERMS terms, and each share has a fit of its own.
+CountVectorizer (Spark's own, with the largest vocabSize) turns every document into its exact sparse vector of kept terms, those in at
+least minDF documents of their language. A term carries its language, so that one vocabulary keeps the languages apart.
+Vectors are summed per language and source, and pairs of sources are evaluated on the terms that either of them has; terms that
+neither has give one value, which is multiplied.
+
+In how many documents a term is, is counted by the tasks that split the texts and added up by Spark, which is cheaper than a fit
+on the documents; the fit is on the terms that are kept. A fitted vocabulary stands in the driver and in every executor. It is
+bounded: terms are split by hash into as many shares as keep a vocabulary near SHARE_TERMS terms, and each share has
+a fit of its own.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ from heddle.session import cut, ensure_checkpoint_dir
 
 #: Kept terms that one vocabulary is made for.
 SHARE_TERMS = 1 << 19
-#: One term in so many, by hash, tells how many terms are kept before the fit.
-TOLD = 64
 #: Terms and sources of a block in which pairs are evaluated.
 TERM_BLOCK = 4096
 SOURCE_BLOCK = 256
 #: Entries of vectors that a task sums before it hands them on.
 HELD_ENTRIES = 2_000_000
+#: Numbers that a task keeps for sums of sources and terms; where more would be needed it hands the sums on at once.
+HELD_SUMS = 1 << 23
+#: Pairs of rows and terms that are marked in one array to count distinct ones.
+MARKED = 1 << 24
 MAX_VOCABULARY = 2**31 - 1
 SCALE = 1_000_000_000
 #: Letters A to Z, which become small ones, and all but ASCII make terms.
@@ -42,42 +47,63 @@ MARK = "\0"
 
 
 def term_lists(docs: DataFrame) -> DataFrame:
-    """lang, source, terms (each with its language in front, in order) of docs(lang, source, text), and told: hashes of the
-    row's distinct terms that fall into one of TOLD classes."""
+    """lang, source, terms (each with its language in front, in order) of docs(lang, source, text), and seen: on the first row of every step of a
+    task the terms of the step with the number of its rows that hold them."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in steps(batches):
             words = Words(column(table, "text"), LETTERS)
             langs = column(table, "lang").dictionary_encode()
-            lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.counts())
-            kinds, code = np.unique(words.code * len(langs.dictionary) + lang, return_inverse=True)
-            spelled = words.spelling.take(pa.array(kinds // max(1, len(langs.dictionary))))
-            terms = pc.binary_join_element_wise(langs.dictionary.take(pa.array(kinds % max(1, len(langs.dictionary)))).cast(pa.large_string()), spelled.cast(pa.large_string()), pa.scalar(MARK, pa.large_string()))
-            hashes = string_hashes(terms)
             owner = np.repeat(np.arange(table.num_rows), words.counts())
-            some = (hashes % np.uint64(TOLD) == 0)[code]
-            pairs = np.unique(owner[some] * max(1, len(kinds)) + code[some])
-            told = hashes[pairs % max(1, len(kinds))].view(np.int64)
+            lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+            width = len(langs.dictionary)
+            place = np.zeros(len(words.spelling) * width, np.int64)
+            place[words.code * width + lang] = 1
+            kinds = np.flatnonzero(place)
+            place[kinds] = np.arange(len(kinds))
+            code = place[words.code * width + lang]
+            spelled = words.spelling.take(pa.array(kinds // width)).cast(pa.large_string())
+            terms = pc.binary_join_element_wise(langs.dictionary.take(pa.array(kinds % width)).cast(pa.large_string()), spelled, pa.scalar(MARK, pa.large_string())).cast(pa.string())
+            rows = _rows_of(owner, code, table.num_rows, len(kinds))
+            seen = pa.StructArray.from_arrays([terms, pa.array(rows, pa.int32())], ["term", "rows"])
             yield pa.RecordBatch.from_arrays(
                 [
                     column(table, "lang"),
                     column(table, "source"),
-                    pa.ListArray.from_arrays(pa.array(words.first, pa.int32()), terms.take(pa.array(code)).cast(pa.string())),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // max(1, len(kinds)), np.arange(table.num_rows + 1)), pa.int32()), pa.array(told)),
+                    pa.ListArray.from_arrays(pa.array(words.first, pa.int32()), terms.take(pa.array(code))),
+                    pa.ListArray.from_arrays(pa.array([0] + [len(kinds)] * table.num_rows, pa.int32()), seen),
                 ],
-                ["lang", "source", "terms", "told"],
+                ["lang", "source", "terms", "seen"],
             )
 
-    return docs.mapInArrow(split, "lang string, source string, terms array<string>, told array<bigint>")
+    return docs.mapInArrow(split, "lang string, source string, terms array<string>, seen array<struct<term: string, rows: int>>")
+
+
+def _rows_of(owner: np.ndarray, code: np.ndarray, rows: int, kinds: int) -> np.ndarray:
+    """For each code the number of distinct owners (0 to rows - 1) beside it."""
+    if rows * kinds > MARKED:
+        return np.bincount(np.unique(owner * kinds + code) % kinds, minlength=kinds)
+    held = np.zeros(rows * kinds, bool)
+    held[owner * kinds + code] = True
+    return held.reshape(rows, kinds).sum(0)
+
+
+def _share(terms: pa.Array, shares: int) -> np.ndarray:
+    return (string_hashes(terms) % np.uint64(shares)).astype(np.int64)
 
 
-def _shares(lists: DataFrame, min_df: int) -> list[DataFrame]:
-    """The lists split by hash of the terms, so that each share's vocabulary is near SHARE_TERMS at most."""
-    told = lists.select(F.explode("told").alias("term")).groupBy("term").count().filter(F.col("count") >= min_df)
-    shares = 1 + told.count() * TOLD // SHARE_TERMS
-    lists = lists.drop("told")
+def _shares(lists: DataFrame, min_df: int) -> list[tuple[DataFrame, DataFrame]]:
+    """The lists with the terms(term) that at least `min_df` rows hold, split by hash of the terms so that each share has near SHARE_TERMS at most."""
+    seen = lists.select(F.inline("seen")).groupBy("term").agg(F.sum("rows").alias("rows"))
+    kept = cut(seen.filter(F.col("rows") >= min_df).select("term"))
+    shares = 1 + kept.count() // SHARE_TERMS
+    lists = lists.drop("seen")
     if shares == 1:
-        return [lists]
+        return [(lists, kept)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(_share(batch.column("term"), shares), pa.int32())], ["term", "share"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,8 +111,7 @@ def _shares(lists: DataFrame, min_df: int) -> list[DataFrame]:
             flat = terms.flatten().dictionary_encode()
             code = flat.indices.to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
-            # the lowest bits chose what was told; others choose the share
-            key = owner * shares + ((string_hashes(flat.dictionary) >> np.uint64(20)) % np.uint64(shares)).astype(np.int64)[code]
+            key = owner * shares + _share(flat.dictionary, shares)[code]
             order = np.argsort(key, kind="stable")
             rows, at = np.unique(key[order], return_index=True)
             dealt = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int32()), flat.dictionary.take(pa.array(code[order])))
@@ -96,35 +121,59 @@ def _shares(lists: DataFrame, min_df: int) -> list[DataFrame]:
     spark = lists.sparkSession
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/shares-{uuid.uuid4().hex}"
     lists.mapInArrow(deal, "lang string, source string, terms array<string>, share int").write.partitionBy("share").parquet(path)
-    dealt = spark.read.parquet(path)
-    return [dealt.filter(F.col("share") == i).drop("share") for i in range(shares)]
+    dealt, names = spark.read.parquet(path), cut(kept.mapInArrow(mark, "term string, share int"))
+    own = lambda df, i: df.filter(F.col("share") == i).drop("share")
+    return [(own(dealt, i), own(names, i)) for i in range(shares)]
 
 
-def group_sums(vectors: DataFrame) -> DataFrame:
-    """Sums of the sparse vectors(source, vector) of each source: source, index, count. A vector's language is that of its terms."""
+def group_sums(vectors: DataFrame, width: int) -> DataFrame:
+    """Sums of the sparse vectors(source, vector), `width` wide, of each source: source, index, count. A vector's language is that of its terms."""
+    most = max(1, HELD_SUMS // max(1, width))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        sums = np.zeros(0)
+        for source, index, value in entries(batches):
+            new = [x for x in source.dictionary.to_pylist() if x not in names]
+            if len(names) + len(new) > most:  # sums of so many sources do not fit
+                yield handed(source.dictionary, *summed(source.indices.to_numpy(zero_copy_only=False), index, value))
+                continue
+            names.update({x: len(names) + i for i, x in enumerate(new)})
+            place = np.array([names[x] for x in source.dictionary.to_pylist()], np.int64)[source.indices.to_numpy(zero_copy_only=False)]
+            found = np.bincount(place * width + index, value, len(names) * width)
+            found[: len(sums)] += sums
+            sums = found
+        for at, name in enumerate(names):
+            own = sums[at * width : (at + 1) * width]
+            index = np.flatnonzero(own)
+            yield handed(pa.array([name], pa.string()), np.zeros(len(index), np.int64), index, own[index])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.DictionaryArray, np.ndarray, np.ndarray]]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
             held.append(batch)
             size += len(batch.column("vector").field("indices").flatten())
             if size >= HELD_ENTRIES:
-                yield total(pa.Table.from_batches(held))
+                yield flat(pa.Table.from_batches(held))
                 held, size = [], 0
         if held:
-            yield total(pa.Table.from_batches(held))
+            yield flat(pa.Table.from_batches(held))
 
-    def total(table: pa.Table) -> pa.RecordBatch:
+    def flat(table: pa.Table) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
         vector = column(table, "vector")
         lists = vector.field("indices")
-        index, value = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), vector.field("values").flatten().to_numpy(zero_copy_only=False)
-        sources = column(table, "source").dictionary_encode()
-        source = np.repeat(sources.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        width = int(index.max(initial=0)) + 1
-        keys, back = np.unique(source * width + index, return_inverse=True)
-        sums = np.bincount(back, value, len(keys)).astype(np.int64)  # whole numbers far below 2^53
-        return pa.RecordBatch.from_arrays([sources.dictionary.take(pa.array(keys // width)), pa.array(keys % width), pa.array(sums)], ["source", "index", "count"])
+        owner = np.repeat(np.arange(table.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        source = column(table, "source").dictionary_encode().take(pa.array(owner))
+        return source, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), vector.field("values").flatten().to_numpy(zero_copy_only=False)
+
+    def summed(source: np.ndarray, index: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, back = np.unique(source.astype(np.int64) * width + index, return_inverse=True)
+        return keys // width, keys % width, np.bincount(back, value, len(keys))
+
+    def handed(names: pa.Array, source: np.ndarray, index: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        # whole numbers far below 2^53
+        return pa.RecordBatch.from_arrays([names.take(pa.array(source)), pa.array(index), pa.array(value.astype(np.int64))], ["source", "index", "count"])
 
     return vectors.select("source", "vector").mapInArrow(add, "source string, index bigint, count bigint").groupBy("source", "index").agg(F.sum("count").alias("count"))
 
@@ -132,17 +181,16 @@ def group_sums(vectors: DataFrame) -> DataFrame:
 def term_counts(lists: DataFrame, min_df: int) -> DataFrame:
     """lang, source, term, index and count of the kept terms, those in at least `min_df` rows of their language."""
     spark = lists.sparkSession
-    out: DataFrame | None = None
-    for number, share in enumerate(_shares(lists, min_df)):
-        # a mark of its own, kept by so many rows, since CountVectorizer refuses an empty vocabulary
-        marks = spark.range(0, min_df, 1, 1).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit(MARK * 2)).alias("terms"))
-        once = share.withColumn("terms", F.array_distinct("terms"))  # a fit asks in how many documents a term is
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=MAX_VOCABULARY).fit(once.unionByName(marks))
+    out = spark.createDataFrame([], "lang string, source string, term string, index long, count long")
+    for number, (share, kept) in enumerate(_shares(lists, min_df)):
+        if kept.isEmpty():  # CountVectorizer refuses an empty vocabulary
+            continue
+        fitted = kept.select(F.array("term").alias("terms"))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=1.0, vocabSize=MAX_VOCABULARY).fit(fitted)
         spelled = [name.rpartition(MARK) for name in model.vocabulary]
         names = pa.table({"index": pa.array(range(len(spelled)), pa.int64()), "lang": pa.array([x[0] for x in spelled], pa.string()), "term": pa.array([x[2] for x in spelled], pa.string())})
-        found = group_sums(model.transform(share)).join(spark.createDataFrame(names), "index")
-        found = cut(found.select("lang", "source", "term", (F.col("index") + F.lit(number << 32)).alias("index"), "count"))
-        out = found if out is None else out.unionByName(found)
+        found = group_sums(model.transform(share), len(spelled)).join(spark.createDataFrame(names), "index")
+        out = out.unionByName(cut(found.select("lang", "source", "term", (F.col("index") + F.lit(number << 32)).alias("index"), "count")))
     return out
 
 

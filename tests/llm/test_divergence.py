@@ -57,9 +57,11 @@ def test_against_brute_force(spark):
 
 
 def test_blocks_and_shares_do_not_matter(spark, monkeypatch):
-    for name, value in (("SHARE_TERMS", 20), ("TOLD", 1), ("TERM_BLOCK", 5), ("SOURCE_BLOCK", 2), ("HELD_ENTRIES", 50)):
+    for name, value in (("SHARE_TERMS", 20), ("TERM_BLOCK", 5), ("SOURCE_BLOCK", 2), ("HELD_ENTRIES", 50)):
         monkeypatch.setattr(divergence, name, value)
     check(spark, made(120, 2))
+    monkeypatch.setattr(divergence, "HELD_SUMS", 30)
+    check(spark, made(60, 4))
 
 
 def test_nothing_kept_empty_and_long(spark):
