@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.refs import qualify
+from heddle.session import moved
 
 # Plan node names and the text around them.
 WRITE_NODES = (
@@ -134,7 +135,7 @@ def node_refs(block: DataFrame, context: DataFrame, names: DataFrame | None = No
         ranked(from_header, HEADER_RANK),
         ranked(identifier_candidates(F.col("body")), IDENTIFIER_RANK),
     )
-    rows = used.select("execution_id", "node_no", "node_name", "kind", F.inline(every)).join(context, "execution_id", "left")
+    rows = used.select("execution_id", "node_no", "node_name", "kind", F.inline(every)).join(moved(context), "execution_id", "left")
     return qualify(rows, "raw", "workspace", "lakehouse", names, placed=True).select(
         "execution_id", "node_no", "node_name", "kind", "rank", "pos", "ref"
     )
@@ -179,7 +180,7 @@ def access_simple(execution: DataFrame, context: DataFrame, names: DataFrame | N
         lines.withColumn("kind", node_class(F.regexp_replace("line", TREE_DRAWING, "")))
         .filter(F.col("kind").isin("read", "write"))
         .select("execution_id", "line_no", "kind", F.explode(path_candidates(F.col("line"))).alias("raw"))
-        .join(context, "execution_id", "left")
+        .join(moved(context), "execution_id", "left")
     )
     made = qualify(rows, "raw", "workspace", "lakehouse", names, placed=True)
     writes = made.filter("kind = 'write'").groupBy("execution_id", "line_no").agg(F.min("ref").alias("ref"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heddle.session import moved
+
 # States in which a run has ended.
 ENDED = ("success", "succeeded", "completed", "finished", "dead", "error", "failed", "killed")
 
@@ -42,7 +44,7 @@ def observed_run(latest: DataFrame, execution: DataFrame, access: DataFrame) ->
     available (no session or application id), has no statements, or none that names a table.
     `execution` is (livy_id, execution_id); `access` (livy_id, execution_id, access, ref)."""
     known = latest.filter((F.col("livy_id") != "") & (F.col("app_id") != ""))
-    used = execution.join(known.select("nb_id", "livy_id"), "livy_id")
+    used = moved(execution.join(known.select("nb_id", "livy_id"), "livy_id"))
     hits = access.join(used.select("nb_id", "livy_id", "execution_id"), ["livy_id", "execution_id"])
     resolved = hits.select("nb_id", "livy_id", "execution_id").distinct().groupBy("nb_id").agg(F.count(F.lit(1)).alias("resolved"))
     seen = used.groupBy("nb_id").agg(F.count(F.lit(1)).alias("seen"))
@@ -68,10 +70,10 @@ def statements(execution: DataFrame, access: DataFrame) -> tuple[DataFrame, Data
     """(statements, access): each statement that names a table, with the tables as rows;
     statements without a table count but are not listed."""
     keep = access.select("livy_id", "execution_id").distinct()
-    rows = execution.join(keep, ["livy_id", "execution_id"], "left_semi")
-    return rows.select(
+    rows = moved(execution.join(keep, ["livy_id", "execution_id"], "left_semi"))
+    return moved(rows.select(
         "livy_id", "execution_id", "description", "status", "submitted", "duration_ms"
-    ), access.join(rows.select("livy_id", "execution_id"), ["livy_id", "execution_id"], "left_semi").distinct()
+    )), access.join(rows.select("livy_id", "execution_id"), ["livy_id", "execution_id"], "left_semi").distinct()
 
 
 def code_newer(latest: DataFrame, modified: DataFrame) -> DataFrame:

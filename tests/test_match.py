@@ -201,3 +201,44 @@ def test_overlap_candidates_are_few(spark):
     left, right = frame(a), frame(b)
     found = mt.overlap_pairs(left, right, ["model_id"], 0.6).count()
     assert found >= 740 and mt.overlap_candidates(left, right, ["model_id"], 0.6).count() <= 5 * found
+
+
+def joins_of(df, key):
+    """The joins of the plan on a key column of that name."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if re.search(rf"Join \[.*\b{key}#", line)]
+
+
+def test_exploded_sides_are_moved_by_key_and_not_sent_through_the_driver(spark):
+    a, b = side(spark, words(41, 20), "s"), side(spark, words(42, 20), "t")
+    found = joins_of(mt.levenshtein_pairs(a, b, ["model_id"], 75), "_s")
+    assert found and all("SortMergeJoin" in x for x in found)
+    tokens = lambda df: df.select("model_id", "id", F.array_distinct(F.split("value", "")).alias("tokens"))
+    found = joins_of(mt.overlap_candidates(tokens(a), tokens(b), ["model_id"], 0.7), "_key")
+    assert found and all("SortMergeJoin" in x for x in found)
+    needle, hay = a.select("model_id", F.col("value").alias("_q")), b.select("model_id", F.col("value").alias("_e"))
+    found = joins_of(mt.containing(needle, hay, ["model_id"]), "_g")
+    assert any("SortMergeJoin" in x and "LeftSemi" in x for x in found) and any("SortMergeJoin" in x and "Inner" in x for x in found)
+
+
+def test_the_lengths_of_one_scope_make_no_keys_in_another(spark):
+    a = spark.createDataFrame([("m", "s1", "abcdefgh"), ("n", "s2", "abcdefghij")], "model_id string, id string, value string")
+    b = spark.createDataFrame([("m", "t1", "abcdefgx"), ("n", "t2", "abcdefghi"), ("o", "t3", "abcdefgh")], "model_id string, id string, value string")
+    assert {(r["source"], r["target"], r["score"]) for r in mt.levenshtein_pairs(a, b, ["model_id"], 80).collect()} == {("s1", "t1", 88), ("s2", "t2", 90)}
+
+
+def test_statements_with_repeated_text_are_moved_by_key(spark):
+    from heddle.functions import plantext
+    from heddle.operators import runs
+
+    execution = spark.createDataFrame([("v", 1, "d", "OK", "s", 1)], "livy_id string, execution_id int, description string, status string, submitted string, duration_ms int")
+    access = spark.createDataFrame([("v", 1, "read", "W/L/x"), ("v", 2, "read", "W/L/x")], "livy_id string, execution_id int, access string, ref string")
+    rows, used = runs.statements(execution, access)
+    joined = rows.join(access, ["livy_id", "execution_id"])
+    assert any("SortMergeJoin" in x and "Inner" in x for x in joins_of(joined, "livy_id")) and joined.count() == 1
+    assert any("SortMergeJoin" in x for x in joins_of(used, "livy_id")) and used.count() == 1
+    plan = "(1) Scan parquet\nLocation: X [abfss://onelake@a/W/L/Tables/x]\n"
+    block = plantext.blocks(spark.createDataFrame([("e", plan)], "execution_id string, plan string"))
+    context = spark.createDataFrame([("e", "W", "L")], "execution_id string, workspace string, lakehouse string")
+    refs = plantext.node_refs(block, context)
+    assert any("SortMergeJoin" in x for x in joins_of(refs, "execution_id")) and refs.count() >= 1
