@@ -16,6 +16,16 @@ SELECT concat('m', cast(c_nationkey AS string)) AS model_id, l_orderkey AS ok, l
               cast(l_suppkey AS string), '-', cast(l_linenumber AS string)) AS lid
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 GROUP BY c_nationkey, l_orderkey, l_partkey, l_suppkey, l_linenumber, o_custkey, o_orderpriority
+""", built="""
+SELECT concat('m', cast(c_nationkey AS string)) AS model_id, l_orderkey AS ok, l_partkey AS pk,
+       l_suppkey AS sk, l_linenumber AS ln, o_custkey AS ck,
+       substr(o_orderpriority, 1, 1) AS pr, substr(o_orderpriority, 3) AS pname,
+       min(l_returnflag) AS rf, min(l_linestatus) AS ls,
+       concat('l:', cast(l_orderkey AS string), '-', cast(l_partkey AS string), '-',
+              cast(l_suppkey AS string), '-', cast(l_linenumber AS string)) AS lid
+FROM (SELECT o_orderkey, o_custkey, o_orderpriority, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey)
+JOIN lineitem ON l_orderkey = o_orderkey
+GROUP BY c_nationkey, l_orderkey, l_partkey, l_suppkey, l_linenumber, o_custkey, o_orderpriority
 """)
 
 binding("b_layer", """
@@ -26,12 +36,19 @@ FROM nation CROSS JOIN (VALUES ('L0', 'Landing', 0), ('L1', 'Bronze', 1), ('L2',
 binding("b_model_supplier", """
 SELECT DISTINCT model_id, sk, s_nationkey AS snk, concat('src_', lower(n_name)) AS oname, s_name AS sname
 FROM b_line JOIN supplier ON sk = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+""", built="""
+SELECT DISTINCT model_id, sk, s_nationkey AS snk, concat('src_', lower(n_name)) AS oname, s_name AS sname
+FROM (SELECT DISTINCT model_id, sk FROM b_line) JOIN supplier ON sk = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 """)
 
 binding("b_model_part", """
 SELECT DISTINCT model_id, pk, p_brand AS brand, p_type AS ptype,
        concat(replace(p_name, ' ', '_'), '_', cast(pk AS string)) AS pname
 FROM b_line JOIN part ON pk = p_partkey
+""", built="""
+SELECT DISTINCT model_id, pk, p_brand AS brand, p_type AS ptype,
+       concat(replace(p_name, ' ', '_'), '_', cast(pk AS string)) AS pname
+FROM (SELECT DISTINCT model_id, pk FROM b_line) JOIN part ON pk = p_partkey
 """)
 
 binding("b_model_order", """
@@ -40,7 +57,8 @@ FROM orders JOIN customer ON o_custkey = c_custkey
 """)
 
 #: kind, depth: layer 0, object 1, attribute 2 and deeper. A group is an attribute with children.
-binding("b_entity", """
+#: Gold attributes are told apart before their customers are joined.
+ENTITY = """
 SELECT model_id, layer_id AS entity_id, 'layer' AS kind, layer_name AS name, cast(NULL AS string) AS parent_id,
        0 AS depth, layer_id, layer_name, cast(NULL AS string) AS object_id, cast(NULL AS string) AS object_name,
        true AS has_children, cast(layer_no AS bigint) AS ordinal, layer_name AS path
@@ -82,8 +100,10 @@ FROM customer c LEFT JOIN (SELECT DISTINCT ck FROM b_line) x ON c_custkey = x.ck
 UNION ALL
 SELECT DISTINCT model_id, concat('cp:', cast(ck AS string), '-', pr), 'attribute', lower(pname), concat('c:', cast(ck AS string)), 2,
        'L3', 'Gold', concat('c:', cast(ck AS string)), c_name, false, cast(pr AS bigint), concat('Gold / ', c_name, ' / ', lower(pname))
-FROM b_line JOIN customer ON ck = c_custkey
-""")
+FROM {gold} JOIN customer ON ck = c_custkey
+"""
+
+binding("b_entity", ENTITY.format(gold="b_line"), built=ENTITY.format(gold="(SELECT DISTINCT model_id, ck, pr, pname FROM b_line)"))
 
 binding("b_transition", """
 SELECT model_id, concat('t1:', lid) AS transition_id, concat('s:', cast(sk AS string)) AS source, lid AS target,
