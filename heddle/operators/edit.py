@@ -59,9 +59,9 @@ def add_transitions(edge: DataFrame, entity: DataFrame, transition: DataFrame) -
     return (
         edge.filter("source <> target")
         .select(M, "source", "target")
-        .distinct()
         .join(ids.withColumnRenamed("entity_id", "source"), [M, "source"], "left_semi")
         .join(ids.withColumnRenamed("entity_id", "target"), [M, "target"], "left_semi")
+        .distinct()  # of edges that lie by their target already
         .join(transition.select(M, "source", "target"), [M, "source", "target"], "left_anti")
     )
 
