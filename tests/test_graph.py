@@ -184,3 +184,52 @@ def test_details_hold_properties_and_ordered_transforms(spark):
         ("m", "n5", "property", None, "Tags", "x"), ("m", "n5", "property", None, "Note", ""),
         ("m", "n5", "transform", 1, "Transform", "z"), ("m", "n5", "transform", 2, "Transform", "b"),
     }
+
+
+def test_positions_of_large_and_small_groups(spark):
+    from heddle.session import hot_keys, placed
+
+    rows = [("a", i) for i in range(40)] + [("b", 1), ("b", 0)] + [(None, i) for i in range(30)]
+    df = spark.createDataFrame([(k, i, i * 7 % 41) for k, i in rows], "k string, i int, o int")
+    assert {(r["k"], r["_salts"] > 0) for r in hot_keys(df, ["k"], 20).collect()} == {("a", True), (None, True)}
+    for least in (10, 1000):
+        got = {(r["k"], r["i"]): r["n"] for r in placed(df, ["k"], ["o"], "n", least=least).collect()}
+        want = {}
+        for k in ("a", "b"):  # rows without a group have no place
+            for n, (_, i) in enumerate(sorted((i * 7 % 41, i) for x, i in rows if x == k), 1):
+                want[(k, i)] = n
+        assert got == want
+
+
+def test_edges_come_out_dealt_by_the_end_that_is_asked_for(spark):
+    entity = spark.createDataFrame([("m", x) for x in "abc"], "model_id string, entity_id string")
+    edges = spark.createDataFrame([("m", "a", "b"), ("m", "a", "b"), ("m", "b", "c"), ("m", "c", "x"), (None, "a", "b")], "model_id string, source string, target string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for direction, want in (("downstream", {("a", "b"), ("b", "c")}), ("upstream", {("b", "a"), ("c", "b")})):
+            step = g.oriented(g.live_edges(edges, entity, g._by(direction)), direction)
+            assert {(r["node"], r["nxt"]) for r in step.collect()} == want
+            plan = step._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            assert plan.count("Exchange hashpartitioning") == 4  # both ends' ids and the edges twice, none to tell edges apart
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_the_model_is_built_with_the_rows_of_its_binding(spark, tmp_path):
+    from heddle.plans import catalog, registry  # noqa: F401
+
+    data = {
+        "nation": ("n_nationkey long, n_name string", [(1, "PERU"), (2, "CHINA")]),
+        "customer": ("c_custkey long, c_name string, c_nationkey long, c_mktsegment string, c_acctbal double", [(1, "C1", 1, "B", 1.0), (2, "C2", 2, "M", 2.0), (2, "C2b", 2, "M", 2.0), (None, "C3", 1, "B", 0.0)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey long", [(1, "S1", 1), (2, "S2", 2), (2, "S2b", 1)]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string", [(1, "a b", "Brand#1", "T"), (2, "c", "Brand#2", "U"), (2, "c", "Brand#2", "V")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string", [(1, 1, "F", "1-URGENT"), (2, 2, "P", "3-LOW"), (2, 1, "O", "2-HIGH"), (3, None, "F", None), (None, 1, "F", "1-URGENT")]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string", [(1, 1, 1, 1, "R", "O"), (1, 1, 1, 1, "A", "F"), (2, 2, 2, 1, "N", "O"), (2, None, 2, 2, None, "O"), (None, 1, 1, 1, "R", "O"), (9, 1, 1, 1, "R", "O")]),
+    }
+    for name, (schema, rows) in data.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = registry.Inputs(spark, str(tmp_path))
+    for name in registry.BUILT:
+        plain = t.sql(registry.BINDINGS[name])
+        assert sorted(map(str, t(name).collect())) == sorted(map(str, plain.collect())), name
