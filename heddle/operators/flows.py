@@ -20,30 +20,47 @@ FLOW_KEY = ["to_table", "to_column", "from_table", "from_column"]
 
 # --- views ------------------------------------------------------------------
 
-def view_closure(view_flow: DataFrame, view: DataFrame) -> DataFrame:
-    """(nb_id, view_key, column, source_name, source_column, transform): what each column of a resolved view comes to in base tables, one row
-    for each way down, with the first transform on it. A way that passes a view twice, or an unresolved one, accounts for nothing.
+def _views(view: DataFrame) -> DataFrame:
+    """(nb_id, source_name, _good): every view once, as what reads it names it, with whether it is resolved."""
+    return view.groupBy("nb_id", F.col("view_key").alias("source_name")).agg(F.coalesce(F.max("resolved"), F.lit(False)).alias("_good"))
+
+
+def first_steps(view_flow: DataFrame, views: DataFrame) -> DataFrame:
+    """The flows of views that do not read an unresolved one, with `_good` where they read a view. `_via` holds the views on a way behind its own."""
+    one = view_flow.join(views, ["nb_id", "source_name"], "left").filter("_good is null or _good")
+    return one.withColumn("_via", F.array().cast("array<string>"))
+
+
+def _ways_down(view_flow: DataFrame, views: DataFrame) -> DataFrame:
+    """(nb_id, view_key, column, source_name, source_column, transform) as `view_closure` has it, also for a view that is unresolved or unknown
+    itself: who reads a view asks whether it is resolved, so that rows need not be moved to ask it here.
 
     The relation is composed with itself: ways of 1, 2, 4, ... steps that still end in a view are put in front of all ways
     down that are known, so views on views of any depth take a logarithmic number of rounds.
     """
-    views = view.groupBy("nb_id", "view_key").agg(F.coalesce(F.max("resolved"), F.lit(False)).alias("_good"))
-    names = views.select("nb_id", F.col("view_key").alias("source_name"), F.col("_good"))
-    one = view_flow.join(views.filter("_good").select("nb_id", "view_key"), ["nb_id", "view_key"], "left_semi").join(names, ["nb_id", "source_name"], "left")
-    one = cut(one.filter("_good is null or _good").withColumn("_via", F.array("view_key")))
+    one = cut(first_steps(view_flow, views))
     row = ["nb_id", "view_key", "column", "source_name", "source_column", "transform", "_via"]
     down = one.filter("_good is null").select(*row)
     still = one.filter("_good").select(*row)
     while not still.isEmpty():
         inner = lambda rows: rows.select("nb_id", F.col("view_key").alias("source_name"), F.col("column").alias("source_column"), *[F.col(x).alias(f"_{x}_") for x in ("source_name", "source_column", "transform", "_via")])
         ends = inner(down).withColumn("_ends", F.lit(True)).unionByName(inner(still).withColumn("_ends", F.lit(False)))
-        met = still.join(ends, ["nb_id", "source_name", "source_column"]).filter(~F.arrays_overlap("_via", "__via_"))
-        met = cut(met.select("nb_id", "view_key", "column", F.col("_source_name_").alias("source_name"), F.col("_source_column_").alias("source_column"), F.coalesce("transform", "_transform_").alias("transform"), F.concat("_via", "__via_").alias("_via"), "_ends"))
+        own, behind = F.concat("_via", F.array("view_key")), F.concat("__via_", F.array("source_name"))
+        met = still.join(ends, ["nb_id", "source_name", "source_column"]).filter(~F.arrays_overlap(own, behind))
+        met = cut(met.select("nb_id", "view_key", "column", F.col("_source_name_").alias("source_name"), F.col("_source_column_").alias("source_column"), F.coalesce("transform", "_transform_").alias("transform"), F.concat("_via", behind).alias("_via"), "_ends"))
         down = down.unionByName(met.filter("_ends").select(*row))
         still = met.filter("not _ends").select(*row)
     return down.drop("_via")
 
 
+def view_closure(view_flow: DataFrame, view: DataFrame) -> DataFrame:
+    """(nb_id, view_key, column, source_name, source_column, transform): what each column of a resolved view comes to in base tables, one row
+    for each way down, with the first transform on it. A way that passes a view twice, or an unresolved one, accounts for nothing."""
+    views = _views(view)
+    good = views.filter("_good").select("nb_id", F.col("source_name").alias("view_key"))
+    return _ways_down(view_flow, views).join(good, ["nb_id", "view_key"], "left_semi")
+
+
 def flatten_views(flow: DataFrame, view_flow: DataFrame, view: DataFrame) -> DataFrame:
     """Replace view sources by the base tables underneath, views on views included.
 
@@ -52,10 +69,11 @@ def flatten_views(flow: DataFrame, view_flow: DataFrame, view: DataFrame) -> Dat
     nothing. An outer passthrough inherits the first transform on the way down.
     A view that leads back to itself accounts for nothing.
     """
-    names = view.select("nb_id", F.col("view_key").alias("source_name")).distinct()
-    base = flow.join(names, ["nb_id", "source_name"], "left_anti")
-    under = view_closure(view_flow, view).select("nb_id", F.col("view_key").alias("source_name"), F.col("column").alias("source_column"), F.col("source_name").alias("_name"), F.col("source_column").alias("_column"), F.col("transform").alias("_transform"))
-    found = flow.join(under, ["nb_id", "source_name", "source_column"]).select(
+    views = _views(view)
+    read = cut(flow.join(views, ["nb_id", "source_name"], "left").filter("_good is null or _good"))
+    base, outer = read.filter("_good is null"), read.filter("_good")
+    under = _ways_down(view_flow, views).select("nb_id", F.col("view_key").alias("source_name"), F.col("column").alias("source_column"), F.col("source_name").alias("_name"), F.col("source_column").alias("_column"), F.col("transform").alias("_transform"))
+    found = outer.join(under, ["nb_id", "source_name", "source_column"]).select(
         "nb_id", "target", "column", F.col("_name").alias("source_name"), F.col("_column").alias("source_column"), F.coalesce("transform", "_transform").alias("transform")
     )
     return base.select(*found.columns).unionByName(found)

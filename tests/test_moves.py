@@ -1,6 +1,6 @@
 """What is moved: results of operators on rows that take different ways through them, and plans that move no more than they must."""
 
-from heddle.operators import edit
+from heddle.operators import edit, flows
 
 EDIT = "model_id string, batch_id long, seq int, kind string, describes string, source_id string, target_id string, entity_id string, key string, value string"
 
@@ -38,3 +38,20 @@ def test_proposals_are_moved_only_by_the_ids_they_have(spark):
         (2, 3, ""), (2, 4, "unknown source"), (2, 5, "unknown source"), (3, 0, "no change"), (3, 1, "no change"), (3, 2, "no change"), (3, 2, ""),
         (3, 3, "no description"), (3, 3, "no description"), (3, 4, ""), (3, 5, "unknown entity"),
     ])
+
+
+VIEW_FLOW = "nb_id long, view_key string, column string, source_name string, source_column string, transform string"
+
+
+def test_views_are_asked_about_where_they_are_read(spark):
+    steps = [("v1", "t", None), ("v2", "v1", "f"), ("v3", "v2", "g"), ("bad", "v2", None), ("top", "bad", None), ("a", "b", None), ("b", "a", None), ("b", "u", "h"), ("lost", "v1", None)]
+    rows = spark.createDataFrame([(1, v, "c", s, "c", f) for v, s, f in steps], VIEW_FLOW)
+    names = ("v1", "v2", "v3", "bad", "top", "a", "b")
+    view = spark.createDataFrame([(1, v, v != "bad") for v in names] + [(1, "v1", None)], "nb_id long, view_key string, resolved boolean")
+    views = flows._views(view)
+    assert {tuple(r._via) for r in flows.first_steps(rows, views).collect()} == {()}
+    found = {(r.view_key, r.source_name, r.transform) for r in flows.view_closure(rows, view).collect()}
+    assert found == {("v1", "t", None), ("v2", "t", "f"), ("v3", "t", "g"), ("a", "u", "h"), ("b", "u", "h")}
+    flow = spark.createDataFrame([(1, "o", "c", s, "c", None) for s in ("v3", "bad", "base", "b", None)], "nb_id long, target string, column string, source_name string, source_column string, transform string")
+    assert sorted((r.source_name or "", r.transform or "") for r in flows.flatten_views(flow, rows, view).collect()) == [("", ""), ("base", ""), ("t", "g"), ("u", "h")]
+    assert {(r.view_key, r.ref) for r in flows.view_base_refs(rows, view).collect()} == {(v, s) for v, s, _ in found}
