@@ -4,9 +4,11 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heddle.functions import ratio
 from heddle.operators import match as mt
 
 
@@ -242,3 +244,33 @@ def test_statements_with_repeated_text_are_moved_by_key(spark):
     context = spark.createDataFrame([("e", "W", "L")], "execution_id string, workspace string, lakehouse string")
     refs = plantext.node_refs(block, context)
     assert any("SortMergeJoin" in x for x in joins_of(refs, "execution_id")) and refs.count() >= 1
+
+
+def test_block_ratios_equal_the_library(spark):
+    rnd = random.Random(51)
+    for letters, low, high in (("ab ", 1, 9), ("0123456789abcdef", 1, 40), ("abc", 60, 140), ("ab", 195, 205)):
+        a, b = words(rnd.random(), 20, letters, low, high), words(rnd.random(), 20, letters, low, high)
+        i, j = (x.ravel() for x in np.indices((20, 20)))
+        want = [SequenceMatcher(None, x, y).ratio() for x in a for y in b]
+        assert ratio.ratios(a, b, i, j).tolist() == want
+        bound = ratio.common_bound(a, b)
+        assert all(2 * bound[k // 20, k % 20] / (len(a[k // 20]) + len(b[k % 20])) >= w - 1e-12 for k, w in enumerate(want))
+
+
+def test_few_codes_are_scored_by_blocks(spark):
+    a, b = words(52, 200, "0123456789abcdef", 32, 32), words(53, 200, "0123456789abcdef", 32, 32)
+    shared = lambda x, y: sum(min(x.count(c), y.count(c)) for c in set(x))
+    passed = ratio.common_bound(a, b) >= 18
+    assert sum(shared(x, y) >= 18 for x in a for y in b) > 20000 and passed.sum() < 400
+    # Pairs of blocks meet; no keys of names are exploded and joined.
+    sheet = spark.createDataFrame([("g", i, n) for i, n in enumerate(a)], "table_guid string, row_no int, name string")
+    column = spark.createDataFrame([("g", i, f"c{i}", n) for i, n in enumerate(b)], "table_guid string, ordinal int, column_guid string, name string")
+    found = mt.definition_similarity(sheet, column, 0.62)
+    assert "CoGroups" in found._jdf.queryExecution().executedPlan().toString() and not joins_of(found, "_key")
+
+
+def test_rows_and_columns_that_come_twice_are_chosen_twice(spark):
+    sheet = spark.createDataFrame([("g", 1, "order date")] * 2 + [("g", 2, "order dates"), ("g", None, "x"), (None, 3, "order date")], "table_guid string, row_no int, name string")
+    column = spark.createDataFrame([("g", 1, "c1", "orderDate")] * 2 + [("g", 2, "c2", "order dat"), ("g", None, "c3", "order date")], "table_guid string, ordinal int, column_guid string, name string")
+    assert mt.definition_similarity(sheet, column, 0.62).count() == 9
+    assert mt.match_definitions(sheet, column, None).filter("row_no = 1 and column_guid = 'c1'").count() == 2 * 4 * 2
