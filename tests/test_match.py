@@ -274,3 +274,14 @@ def test_rows_and_columns_that_come_twice_are_chosen_twice(spark):
     column = spark.createDataFrame([("g", 1, "c1", "orderDate")] * 2 + [("g", 2, "c2", "order dat"), ("g", None, "c3", "order date")], "table_guid string, ordinal int, column_guid string, name string")
     assert mt.definition_similarity(sheet, column, 0.62).count() == 9
     assert mt.match_definitions(sheet, column, None).filter("row_no = 1 and column_guid = 'c1'").count() == 2 * 4 * 2
+
+
+def test_chance_pairs_do_not_grow_with_the_square_of_the_sets(spark):
+    """Short codes within long ones: two tokens a key would let most of these pairs meet."""
+    rng = random.Random(54)
+    code = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    a, b = {code(15) for _ in range(3000)}, [code(32) for _ in range(3000)]
+    b[:20] = [code(8) + x + code(9) for x in sorted(a)[:20]]
+    frame = lambda rows: spark.createDataFrame([("m", x) for x in rows], "model_id string, id string").withColumn("tokens", mt.bigrams(F.col("id"))).cache()
+    found = {(r.left_id, r.right_id) for r in mt.overlap_candidates(frame(a), frame(b), ["model_id"], 0.6).collect()}
+    assert {*zip(sorted(a)[:20], b[:20])} <= found and len(found) <= 100
