@@ -89,20 +89,17 @@ def clone(ids: DataFrame, entity: DataFrame, transition: DataFrame, prop: DataFr
     nested = inside.filter("hops > 0").select(M, F.col("entity_id").alias("start")).distinct()
     roots = inside.join(nested, [M, "start"], "left_anti")
     tops = chosen.select(M, F.col("entity_id").alias("start"), (F.col("kind") == "layer").alias("whole"))
-    fresh = cut(
-        roots.join(tops, [M, "start"]).select(M, "entity_id", "whole").distinct().withColumn(
-            "new_id", F.concat(F.lit("copy-"), F.sha2(F.concat_ws("\u0001", F.lit(salt), M, "entity_id"), 256))
-        )
-    )
-    table = lambda old, new: fresh.select(M, F.col("entity_id").alias(old), F.col("new_id").alias(new))
-    made = entity.join(fresh.select(M, "entity_id", "new_id"), [M, "entity_id"])
-    for column in ("parent_id", "layer_id", "object_id"):
-        made = made.join(table(column, f"_{column}"), [M, column], "left").withColumn(
-            column, F.coalesce(f"_{column}", column)
-        ).drop(f"_{column}")
-    made = made.withColumn("entity_id", F.col("new_id")).select(*entity.columns)
-    bags = prop.join(fresh.select(M, "entity_id", "new_id"), [M, "entity_id"]).withColumn("entity_id", F.col("new_id")).select(*prop.columns)
-    end = lambda c: fresh.select(M, F.col("entity_id").alias(c), F.col("new_id").alias(f"_{c}"), F.col("whole").alias(f"_w{c}"))
+    fresh = cut(roots.join(tops, [M, "start"]).select(M, "entity_id", "whole").distinct())
+    # The id of a copy follows from its original's, so only the originals' are moved and looked up.
+    copy = lambda c: F.concat(F.lit("copy-"), F.sha2(F.concat_ws("\u0001", F.lit(salt), M, c), 256))
+    held = ("parent_id", "layer_id", "object_id")
+    made = entity.join(fresh.select(M, "entity_id"), [M, "entity_id"])
+    for c in held:
+        made = made.join(fresh.select(M, F.col("entity_id").alias(c), F.lit(True).alias(f"_{c}")), [M, c], "left")
+    names = {"entity_id": copy("entity_id"), **{c: F.when(F.col(f"_{c}"), copy(c)).otherwise(F.col(c)) for c in held}}
+    made = made.select(*[names[c].alias(c) if c in names else c for c in entity.columns])
+    bags = prop.join(fresh.select(M, "entity_id"), [M, "entity_id"]).withColumn("entity_id", copy("entity_id")).select(*prop.columns)
+    end = lambda c: fresh.select(M, F.col("entity_id").alias(c), F.col("whole").alias(f"_w{c}"))
     alive = lambda c: entity.select(M, F.col("entity_id").alias(c), F.lit(True).alias(f"_a{c}"))
     edges = transition.select(M, "source", "target")
     for c in ("source", "target"):
@@ -110,7 +107,8 @@ def clone(ids: DataFrame, entity: DataFrame, transition: DataFrame, prop: DataFr
     copied = edges.filter("coalesce(_wsource, false) or coalesce(_wtarget, false)").filter(
         "coalesce(_wsource, _asource) and coalesce(_wtarget, _atarget)"
     )
-    added = copied.select(M, F.coalesce("_source", "source").alias("source"), F.coalesce("_target", "target").alias("target"))
+    named = lambda c: F.when(F.col(f"_w{c}").isNotNull(), copy(c)).otherwise(F.col(c)).alias(c)
+    added = copied.select(M, named("source"), named("target"))
     return made, added.filter("source <> target").distinct(), bags
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from heddle.operators import edit as ed
 from heddle.operators import match as mt
 from heddle.operators import rollups as ru
+from heddle.session import cut
 
 from .registry import query
 
@@ -68,6 +69,7 @@ UNION ALL SELECT concat('m', c_nationkey), 'property', 'Segment', c_mktsegment,
 def _(t):
     ids = t.sql("SELECT model_id, entity_id FROM b_entity WHERE (kind = 'layer' AND name = 'Gold') OR (layer_name = 'Gold' AND kind = 'attribute') OR (layer_name = 'Bronze' AND depth > 0)")
     made, edges, bags = ed.clone(ids, t("b_entity"), t("b_transition"), t("b_property"), "one")
+    made = cut(made.select(M, "entity_id", "name", "kind", "depth"))
     n = F.count(F.lit(1)).alias("n")
     a = made.groupBy(M, F.lit("entity").alias("part"), F.col("name").alias("a"), F.col("kind").alias("b")).agg(n)
     names = made.select(M, F.col("entity_id").alias("target"), "name", "depth")

@@ -1,5 +1,7 @@
 """What is moved: results of operators on rows that take different ways through them, and plans that move no more than they must."""
 
+import hashlib
+
 from heddle.operators import edit, flows
 
 EDIT = "model_id string, batch_id long, seq int, kind string, describes string, source_id string, target_id string, entity_id string, key string, value string"
@@ -55,3 +57,19 @@ def test_views_are_asked_about_where_they_are_read(spark):
     flow = spark.createDataFrame([(1, "o", "c", s, "c", None) for s in ("v3", "bad", "base", "b", None)], "nb_id long, target string, column string, source_name string, source_column string, transform string")
     assert sorted((r.source_name or "", r.transform or "") for r in flows.flatten_views(flow, rows, view).collect()) == [("", ""), ("base", ""), ("t", "g"), ("u", "h")]
     assert {(r.view_key, r.ref) for r in flows.view_base_refs(rows, view).collect()} == {(v, s) for v, s, _ in found}
+
+
+def test_ids_of_copies_are_made_and_not_moved(spark):
+    entity = spark.createDataFrame(
+        [("m", "L", "layer", None, "L", None), ("m", "o", "object", "L", "L", "o"), ("m", "a", "attribute", "o", "L", "o"), ("m", "K", "layer", None, "K", None), ("m", "p", "object", "K", "K", "p")],
+        "model_id string, entity_id string, kind string, parent_id string, layer_id string, object_id string",
+    )
+    transition = spark.createDataFrame([("m", "a", "o"), ("m", "p", "a"), ("m", "a", "gone")], "model_id string, source string, target string")
+    prop = spark.createDataFrame([("m", "a", "k", "v"), ("m", "p", "k", "v")], "model_id string, entity_id string, key string, value string")
+    ids = spark.createDataFrame([("m", "L"), ("m", "a")], "model_id string, entity_id string")
+    made, edges, bags = edit.clone(ids, entity, transition, prop, "s")
+    new = {x: "copy-" + hashlib.sha256("\u0001".join(["s", "m", x]).encode()).hexdigest() for x in "Loa"}
+    assert {tuple(r) for r in made.collect()} == {("m", new["L"], "layer", None, new["L"], None), ("m", new["o"], "object", new["L"], new["L"], new["o"]), ("m", new["a"], "attribute", new["o"], new["L"], new["o"])}
+    assert {tuple(r) for r in edges.collect()} == {("m", new["a"], new["o"]), ("m", "p", new["a"])}
+    assert [tuple(r) for r in bags.collect()] == [("m", new["a"], "k", "v")]
+    assert not any("new_id" in x._jdf.queryExecution().executedPlan().toString() for x in (made, edges, bags))
