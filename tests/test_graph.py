@@ -233,3 +233,62 @@ def test_the_model_is_built_with_the_rows_of_its_binding(spark, tmp_path):
     for name in registry.BUILT:
         plain = t.sql(registry.BINDINGS[name])
         assert sorted(map(str, t(name).collect())) == sorted(map(str, plain.collect())), name
+
+
+def _trace_tables(spark):
+    ids = [("m", x, "attribute", "own" if x == "s" else None) for x in ("s", "a", "b", "loop", "back")] + [("m", "t", "attribute", None)] * 2 + [("m", "own", "object", None), ("m", "far", "object", None)]
+    entity = spark.createDataFrame([(*r, "Gold" if r[1] == "t" else "Bronze") for r in ids], "model_id string, entity_id string, kind string, object_id string, layer_name string")
+    ends = [("s", "a"), ("a", "t"), ("s", "b"), ("b", "t"), ("s", "loop"), ("loop", "back"), ("back", "loop"), ("a", "gone"), ("gone", "t"), ("s", None), ("own", "far")]
+    transition = spark.createDataFrame(
+        [("m", f"{a}>{b}", a, b, i) for i, (a, b) in enumerate(ends)], "model_id string, transition_id string, source string, target string, ordinal bigint"
+    )
+    return entity, transition
+
+
+def test_steps_of_a_trace(spark):
+    """Only edges towards a goal, once for each row of the goal, with a missing end on neither side; a walk joins them where they lie."""
+    entity, transition = _trace_tables(spark)
+    for to_layer, want in ((None, {"s>a", "a>t", "s>b", "b>t", "own>far"}), (" gold", {"s>a", "a>t", "s>b", "b>t"})):
+        step, _, _ = g._steps(entity, transition, "downstream", to_layer)
+        rows = [(r["hop"], r["goal"]) for r in step.rows().collect()]
+        assert {h for h, _ in rows} == want
+        assert sorted(h for h, goal in rows if goal and h != "own>far") == ["a>t", "a>t", "b>t", "b>t"]
+    starts = spark.createDataFrame([("m", "s")], "model_id string, start string")
+    paths, status = g.trace_paths(starts, entity, transition)
+    assert sorted((r["path_no"], tuple(r["nodes"])) for r in paths.collect()) == [(1, ("s", "a", "t")), (2, ("s", "a", "t")), (3, ("s", "b", "t")), (4, ("s", "b", "t"))]
+    assert status.first()["n_paths"] == 4
+    got = {(r["transition_id"], r["goal"]) for r in g.trace_edges(starts, entity, transition).collect()}
+    assert got == {("s>a", False), ("a>t", True), ("s>b", False), ("b>t", True)}
+
+
+def test_fallback_goes_along_one_set_of_steps(spark, monkeypatch):
+    entity, transition = _trace_tables(spark)
+    transition = transition.filter("source <> 's' or source is null")
+    made, steps = [], g._steps
+    monkeypatch.setattr(g, "_steps", lambda *a: made.append(a) or steps(*a))
+    starts = spark.createDataFrame([("m", "s"), ("m", "a"), ("m", "loop")], "model_id string, start string")
+    paths, status = g.trace_with_fallback(starts, entity, transition.filter("target <> 's'"))
+    assert {(r["start"], r["answered"], r["n_paths"]) for r in status.collect()} == {("s", "object", 1), ("a", "own", 2), ("loop", "none", 0)}
+    assert len(made) == 1
+
+
+def test_level_of_a_start_needs_no_paths_group(spark):
+    entity, _ = _trace_tables(spark)
+    rows = [("m", "s", 1, ["s", "a"]), ("m", "s", 2, ["s", "b"]), ("m", "own", 1, ["own", "far"]), ("m", "a", 1, ["a", "far"])]
+    paths = spark.createDataFrame(rows, "model_id string, start string, path_no bigint, nodes array<string>")
+    per_start = g.trace_levels(paths, entity)[1]
+    assert {(r["start"], r["level"]) for r in per_start.collect()} == {("s", "attribute"), ("own", "object"), ("a", "mixed")}
+    assert per_start._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    unknown = entity.withColumn("kind", F.when(F.col("entity_id").isin("a", "b"), None).otherwise(F.col("kind")))
+    odd = spark.createDataFrame([("m", "a", 1, ["a", "s"]), ("m", "a", 2, ["a", "b"])], paths.schema)
+    assert g.trace_levels(odd, unknown)[1].first()["level"] == "mixed"
+
+
+def test_levels_of_a_walk_are_not_moved_again(spark, monkeypatch):
+    monkeypatch.setattr(g, "SMALL", 0)
+    edges = spark.createDataFrame([("m", f"n{i}", f"n{(i + 1) % 20}") for i in range(20)], "model_id string, node string, nxt string")
+    seeds = spark.createDataFrame([("m", "n0", "n0"), ("m", "n5", "n5")], "model_id string, start string, node string")
+    got = {(r["start"], r["node"], r["hops"]) for r in g.reachable(seeds, edges).collect()}
+    assert got == {(f"n{s}", f"n{(s + i) % 20}", i) for s in (0, 5) for i in range(20)}
+    alone = g.reachable(seeds.select("model_id", "node"), edges, 2)
+    assert sorted((r["node"], r["hops"]) for r in alone.collect()) == [("n0", 0), ("n1", 1), ("n2", 2), ("n5", 0), ("n6", 1), ("n7", 2)]
