@@ -5,6 +5,7 @@ The oracles state what each spelling must come to, from the keys it was composed
 from pyspark.sql import functions as F
 
 from heddle.functions import code, plantext, refs
+from heddle.session import cut
 
 from .registry import query
 
@@ -257,7 +258,7 @@ SELECT f.nb_id, count(*) AS cells, cast(sum(stmts) AS bigint) AS sql_statements,
   coalesce(max(u.covered), 0) AS writes_covered, coalesce(max(missing), '') AS uncovered
 FROM f LEFT JOIN u ON f.nb_id = u.nb_id GROUP BY f.nb_id""")
 def _(t):
-    access = _access(t)
+    access = cut(_access(t))  # read several times
     flow = access.filter("ref like '%/out@_%' escape '@'").select("nb_id", F.col("ref").alias("to_table"))
     rollup, missing = code.coverage_rollup(code.cell_features(t("b_cell")), access, flow)
     listed = missing.groupBy("nb_id").agg(F.array_join(F.sort_array(F.collect_set("ref")), ",").alias("uncovered"))

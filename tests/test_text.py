@@ -118,3 +118,15 @@ def test_flatten_any_depth_and_broken_documents(spark):
     assert rows["a23"]["depth"] == 25 and rows["a23"]["parent_id"] == "a22" and not rows["a23"]["has_children"]
     assert rows["b"]["ordinal"] == [0, 0, 1] and rows["a5"]["object_id"] == "o"
     assert edges.count() == 0 and bags.count() == 0
+
+
+def test_patterns_are_matched_once_and_where_they_can(spark):
+    """Letters that count as others in any case are found, a cell's import lines are not, and a cell is scanned once whatever the patterns."""
+    cells = [(1, "ſpark.table('kelvin')"), (2, "SPARK.TABLE('A.b')\ninsert  into c.d"), (3, "from a import b\nx = 1"), (4, None), (5, "SELECT 1 FROM t JOIN u"), (6, "df.ｗrite.parquet('p')")]
+    df = spark.createDataFrame(cells, "nb_id int, source string").withColumn("cell_index", F.lit(0))
+    found = code.raw_access(df)
+    assert {(r["nb_id"], r["access"], r["raw"]) for r in found.collect()} == {
+        (1, "read", "kelvin"), (2, "read", "A.b"), (2, "write", "c.d"), (5, "read", "t"), (5, "read", "u")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 1
+    wide = {r["nb_id"]: r["frame_write"] for r in code.cell_features(df).collect()}
+    assert wide[6] is True and wide[1] is False
