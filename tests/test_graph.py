@@ -186,6 +186,22 @@ def test_details_hold_properties_and_ordered_transforms(spark):
     }
 
 
+def test_coverage_has_what_is_untraced_and_the_edges(spark):
+    layers = [("m", "L", "layer", "L", "Raw", True), ("m", "K", "layer", "K", "Gold", False), ("bare", "B", "layer", "B", "Raw", False)]
+    rows = [("m", "o", "object", "L", "Raw", True), ("m", "a", "attribute", "L", "Raw", False), ("m", "b", "attribute", "L", "Raw", False), ("m", "g", "attribute", "L", "Raw", True)]
+    entity = spark.createDataFrame(layers + rows, "model_id string, entity_id string, kind string, layer_id string, layer_name string, has_children boolean")
+    edges = [("m", "t1", "a", "o"), ("m", "t2", "o", "a"), ("m", "t3", "a", "gone"), ("lost", "t1", "x", "y")]
+    transition = spark.createDataFrame(edges, "model_id string, transition_id string, source string, target string")
+    prop = spark.createDataFrame([("m", "t1", "Source", "run"), ("m", "t2", "Source", "")], "model_id string, entity_id string, key string, value string")
+    columns = ["objects", "objects_untraced", "attributes", "attributes_traced", "attributes_untraced", "transitions", "derived", "hand_drawn", "dangling"]
+    got = {(r["model_id"], r["layer_name"]): tuple(r[c] for c in columns) for r in md.coverage_by_layer(entity, transition, prop).collect()}
+    none = (None,) * 4
+    assert got == {
+        ("m", "Raw"): (1, 0, 2, 1, 1, *none), ("m", "Gold"): (0, 0, 0, 0, 0, *none), ("bare", "Raw"): (0, 0, 0, 0, 0, *none),
+        ("m", None): (1, 0, 2, 1, 1, 2, 1, 1, 1), ("bare", None): (0,) * 9, ("lost", None): (0, 0, 0, 0, 0, 0, 0, 0, 1),
+    }
+
+
 def test_positions_of_large_and_small_groups(spark):
     from heddle.session import hot_keys, placed
 
