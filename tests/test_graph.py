@@ -186,6 +186,20 @@ def test_details_hold_properties_and_ordered_transforms(spark):
     }
 
 
+def test_description_is_whole(spark):
+    entity, transition = tables(spark, [(0, 5), (1, 5), (5, 6), (5, 99)], 7)
+    entity = entity.withColumn("ordinal", F.lit(4).cast("long"))
+    rows = [("m", "n5", "Tags", "x"), ("m", "t000", "Transform", "z"), ("m", "t001", "Transform", "b"), ("m", "gone", "Tags", "x")]
+    prop = spark.createDataFrame(rows, "model_id string, entity_id string, key string, value string")
+    found = md.describe(entity, transition, prop).collect()
+    counts = {r.entity_id: (r.path, r.upstream, r.downstream, r.children, r.properties) for r in found if r.part == "entity"}
+    assert len(counts) == 7 and counts["n5"] == ("n5", 2, 1, 0, 1) and counts["n0"] == ("n0", 0, 1, 2, 0)
+    assert {(r.entity_id, r.part, r.position, r.key, r.value) for r in found if r.part != "entity"} == {
+        ("n5", "property", None, "Tags", "x"), ("n5", "transform", 1, "Transform", "z"), ("n5", "transform", 2, "Transform", "b"),
+        *[(f"n{i % 3}", "child", 4, f"n{i}", f"n{i}") for i in range(3, 7)],
+    }
+
+
 def test_coverage_has_what_is_untraced_and_the_edges(spark):
     layers = [("m", "L", "layer", "L", "Raw", True), ("m", "K", "layer", "K", "Gold", False), ("bare", "B", "layer", "B", "Raw", False)]
     rows = [("m", "o", "object", "L", "Raw", True), ("m", "a", "attribute", "L", "Raw", False), ("m", "b", "attribute", "L", "Raw", False), ("m", "g", "attribute", "L", "Raw", True)]
