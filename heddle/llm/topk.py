@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.llm.common import pick
-from heddle.session import cut
+from heddle.session import cut, moved
 
 SLICES = 2
 #: Entries that a holder names for a query in phase one, as a multiple of k.
@@ -26,6 +26,8 @@ NAMED = 4
 #: Queries and vectors of a block.
 QUERY_BLOCK = 256
 ROW_BLOCK = 4096
+#: Numbers that holders are dealt to, as a multiple of the tasks that run at a time.
+DEALS = 4
 LONGEST = 2**63 - 1
 
 
@@ -103,12 +105,12 @@ def _edges(length: int) -> np.ndarray:
 
 def pairs(queries: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
     """Every holder of rows beside the same slice of every block of queries. Holders are dealt to `parts` numbers, and the
-    query blocks, the smaller side, go to each."""
+    query blocks, the smaller side, go to each; they are moved there, not sent as many times through the driver."""
     r = rows.select("slice", "length", "slices", F.col("block").alias("row_block"), F.col("ids").alias("row_ids"), F.col("rows").alias("row_rows"))
     r = r.withColumn("deal", F.pmod(F.xxhash64("row_block"), F.lit(parts)))
     q = queries.select("slice", "length", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), "cutoffs")
     q = q.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    return r.join(q, ["slice", "length", "deal"]).drop("deal")
+    return r.join(moved(q), ["slice", "length", "deal"]).drop("deal")
 
 
 class _Pair:
@@ -273,7 +275,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     own = found.select(F.col("row").alias("vec_id"), "v")
     rows = cut(blocks(own, ROW_BLOCK))
     queries = found.filter(F.col("vec_id") % every == 0).select(F.col("row").alias("vec_id"), "v")
-    parts = max(1, rows.select("block").distinct().count())
+    # a copy of the queries for each number: as many as keep all tasks busy, not as many as there are blocks
+    parts = max(1, min(rows.select("block").distinct().count(), DEALS * spark.sparkContext.defaultParallelism))
     named = _named(pairs(cut(blocks(queries.coalesce(_few(queries)), QUERY_BLOCK)), rows, parts), NAMED * k)
     cutoffs = _cutoffs(cut(named), own, k)
     with_cutoffs = queries.join(cutoffs.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")

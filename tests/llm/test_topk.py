@@ -54,3 +54,10 @@ def test_rows_of_one_id_are_rows_of_their_own(spark):
 def test_scores_beyond_62_bits_are_refused(spark):
     with pytest.raises(Exception, match="62 bits"):
         topk.top_k(spark.createDataFrame([(5, [1e20, 1.0]), (6, [1e20, 1.0])], "vec_id long, embedding array<float>"), 1, 5).collect()
+
+
+def test_queries_are_moved_to_their_numbers(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, v array<double>")
+    met = topk.pairs(topk.blocks(rows, 8), topk.blocks(rows, 8), 3)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.select("row_block", "query_block", "slice").distinct().count() == met.count()
