@@ -2,7 +2,10 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from heddle.operators import edit, flows
+from heddle.session import FACTOR, cut, sized
 
 EDIT = "model_id string, batch_id long, seq int, kind string, describes string, source_id string, target_id string, entity_id string, key string, value string"
 
@@ -73,3 +76,22 @@ def test_ids_of_copies_are_made_and_not_moved(spark):
     assert {tuple(r) for r in edges.collect()} == {("m", new["a"], new["o"]), ("m", "p", new["a"])}
     assert [tuple(r) for r in bags.collect()] == [("m", new["a"], "k", "v")]
     assert not any("new_id" in x._jdf.queryExecution().executedPlan().toString() for x in (made, edges, bags))
+
+
+def test_steps_are_sized_by_their_rows(spark):
+    ids = cut(spark.range(50_000).select(F.concat(F.lit("l:"), "id").alias("k")))
+    before = {c: spark.conf.get(c) for c in (FACTOR, "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set(FACTOR, "1.0")
+        size = int(str(ids.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 4 * size)
+        joined = lambda: ids.join(ids.withColumn("n", F.lit(1)).filter("k <> 'x'"), "k")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in joined()
+        sized(spark)
+        assert "BroadcastHashJoin" not in joined()
+        spark.conf.set(FACTOR, "2.0")  # one of the session's own stays
+        sized(spark)
+        assert float(spark.conf.get(FACTOR)) == 2
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
