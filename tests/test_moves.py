@@ -1,11 +1,14 @@
 """What is moved: results of operators on rows that take different ways through them, and plans that move no more than they must."""
 
 import hashlib
+import os
+import time
 
 from pyspark.sql import functions as F
 
 from heddle.operators import edit, flows
-from heddle.session import FACTOR, cut, sized
+from heddle.operators import graph, model
+from heddle.session import FACTOR, SWEEP, Passing, cut, cut_by, lasting, sized, swept
 
 EDIT = "model_id string, batch_id long, seq int, kind string, describes string, source_id string, target_id string, entity_id string, key string, value string"
 
@@ -95,3 +98,61 @@ def test_steps_are_sized_by_their_rows(spark):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_steps_that_only_lead_to_others_are_deleted(spark):
+    files = lambda df: [x.removeprefix("file:") for x in df.inputFiles()]
+    there = lambda paths: [os.path.exists(x) for x in paths]
+    rows = spark.range(10).withColumnRenamed("id", "k")
+    with Passing(spark) as outer:
+        with Passing(spark) as here:
+            a, b = cut(rows), cut_by(rows, "k")
+            gone = files(a) + files(b)
+            with here.outside():
+                c = cut(a.union(b))
+            d = here.kept(b, "k")
+            with lasting():
+                e = cut(a)
+            passed, kept = files(c) + files(d), files(e)
+        assert gone and not any(there(gone)) and all(there(passed)) and c.count() == 20 and d.count() == 10
+        f = outer.kept(c)
+    assert not any(there(passed)) and all(there(kept + files(f))) and f.count() == 20 and e.count() == 10
+
+
+def test_shuffle_files_of_a_step_go_when_it_is_written(spark):
+    before = spark.conf.get(SWEEP, None)
+    with swept(spark):
+        assert spark.conf.get(SWEEP) == "true"
+    assert spark.conf.get(SWEEP, None) == before
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    had = shuffled()
+    step = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # they may take a moment
+        if not shuffled() - had:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - had and step.count() == 7
+
+
+def test_steps_of_a_trace_do_not_outlast_it(spark):
+    entity = spark.createDataFrame([("m", x) for x in "abc"], "model_id string, entity_id string")
+    transition = spark.createDataFrame([("m", "t1", "a", "b", 1), ("m", "t2", "b", "c", 2)], "model_id string, transition_id string, source string, target string, ordinal long")
+    starts = spark.createDataFrame([("m", "a")], "model_id string, start string")
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("heddle_step")}
+    before = tables()
+    paths, _ = graph.trace_paths(starts, entity, transition)
+    assert [(r.nodes, r.hops) for r in paths.collect()] == [(["a", "b", "c"], ["t1", "t2"])]
+    assert tables() == before
+
+
+def test_views_of_an_edge_lie_by_their_entity(spark):
+    rows = [("m", x, x, "attribute", "o", "L", x) for x in "ab"]
+    entity = spark.createDataFrame(rows, "model_id string, entity_id string, name string, kind string, object_name string, layer_name string, path string")
+    transition = spark.createDataFrame([("m", "t", "a", "b"), ("m", "u", "a", "gone")], "model_id string, transition_id string, source string, target string")
+    prop = spark.createDataFrame([("m", "t", "Derives", "d")], "model_id string, entity_id string, key string, value string")
+    links = model.explain_links(entity, transition, prop)
+    assert plan_of(links).count("Join") == 1  # the other moves are done
+    assert {tuple(r)[1:] for r in links.collect()} == {
+        ("a", "downstream", "t", "b", "o.b", "b", "from d"), ("b", "upstream", "t", "a", "o.a", "a", "from d"), ("a", "downstream", "u", "gone", "(deleted)", "", None),
+    }
