@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.operators.graph import M, descendants
-from heddle.session import cut, keyed
+from heddle.session import Passing, cut, keyed
 
 TAGS = "Tags"
 
@@ -27,14 +27,16 @@ def _untouched(transition: DataFrame, doomed: DataFrame) -> DataFrame:
 
 def delete_cascade(ids: DataFrame, entity: DataFrame, transition: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, transitions) that are left; property bags outlive their entity."""
-    doomed = cut(with_descendants(ids, entity))
+    with Passing(entity.sparkSession) as here:
+        doomed = here.kept(with_descendants(ids, entity))
     return entity.join(doomed, [M, "entity_id"], "left_anti"), _untouched(transition, doomed)
 
 
 def delete_bridging(ids: DataFrame, entity: DataFrame, transition: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As `delete_cascade`, and what fed a removed entity feeds what it fed: one hop, both ends surviving,
     no self loop, no duplicate. A chain of two removed entities is not bridged."""
-    doomed = cut(with_descendants(ids, entity))
+    with Passing(entity.sparkSession) as here:
+        doomed = here.kept(with_descendants(ids, entity))
     left = _untouched(transition, doomed)
     into = transition.join(doomed.withColumnRenamed("entity_id", "target"), [M, "target"], "left_semi").select(
         M, F.col("target").alias("_mid"), "source"
@@ -85,11 +87,12 @@ def clone(ids: DataFrame, entity: DataFrame, transition: DataFrame, prop: DataFr
     """
     chosen = ids.select(M, "entity_id").distinct().join(entity.select(M, "entity_id", "kind"), [M, "entity_id"])
     seeds = chosen.select(M, F.col("entity_id").alias("start"), F.col("entity_id").alias("node"))
-    inside = cut(descendants(seeds, entity).select(M, F.col("start"), F.col("node").alias("entity_id"), "hops"))
-    nested = inside.filter("hops > 0").select(M, F.col("entity_id").alias("start")).distinct()
-    roots = inside.join(nested, [M, "start"], "left_anti")
-    tops = chosen.select(M, F.col("entity_id").alias("start"), (F.col("kind") == "layer").alias("whole"))
-    fresh = cut(roots.join(tops, [M, "start"]).select(M, "entity_id", "whole").distinct())
+    with Passing(entity.sparkSession) as here:
+        inside = descendants(seeds, entity).select(M, F.col("start"), F.col("node").alias("entity_id"), "hops")
+        nested = inside.filter("hops > 0").select(M, F.col("entity_id").alias("start")).distinct()
+        roots = inside.join(nested, [M, "start"], "left_anti")
+        tops = chosen.select(M, F.col("entity_id").alias("start"), (F.col("kind") == "layer").alias("whole"))
+        fresh = here.kept(roots.join(tops, [M, "start"]).select(M, "entity_id", "whole").distinct())
     # The id of a copy follows from its original's, so only the originals' are moved and looked up.
     copy = lambda c: F.concat(F.lit("copy-"), F.sha2(F.concat_ws("\u0001", F.lit(salt), M, c), 256))
     held = ("parent_id", "layer_id", "object_id")
@@ -107,9 +110,14 @@ def clone(ids: DataFrame, entity: DataFrame, transition: DataFrame, prop: DataFr
     copied = edges.filter("coalesce(_wsource, false) or coalesce(_wtarget, false)").filter(
         "coalesce(_wsource, _asource) and coalesce(_wtarget, _atarget)"
     )
-    named = lambda c: F.when(F.col(f"_w{c}").isNotNull(), copy(c)).otherwise(F.col(c)).alias(c)
-    added = copied.select(M, named("source"), named("target"))
-    return made, added.filter("source <> target").distinct(), bags
+    # Few edges are left by now. They are written as what they copy, which is short, and come once; so do their copies' names,
+    # unless some end has the name of a copy already.
+    copied = cut(copied.select(M, "source", "target", *[F.col(f"_w{c}").isNotNull().alias(f"_c{c}") for c in ("source", "target")]).distinct())
+    named = lambda c: F.when(F.col(f"_c{c}"), copy(c)).otherwise(F.col(c)).alias(c)
+    added = copied.select(M, named("source"), named("target")).filter("source <> target")
+    if not copied.filter("source like 'copy-%' or target like 'copy-%'").isEmpty():
+        added = added.distinct()
+    return made, added, bags
 
 
 # --- properties -----------------------------------------------------------------
